@@ -195,3 +195,87 @@ def _mapping(part: DataFrame) -> DataFrame:
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbol map from ``part``; every tenth address is unmapped and many share a name."""
     return _once(spark, sf_dir, "mapping", lambda: _mapping(_read(spark, sf_dir, "part")))
+
+
+# --- encoded files -------------------------------------------------------------------
+
+
+def _le_hex(value: Column, size: int) -> Column:
+    """Little-endian hex text of an integer in ``size`` bytes."""
+    big = F.lpad(F.hex(value), 2 * size, "0")
+    return F.concat(*[F.substring(big, 2 * i + 1, 2) for i in reversed(range(size))])
+
+
+def _samples_as_files(samples: DataFrame) -> DataFrame:
+    """Trace files of at most ``FILE_SAMPLES`` records, some damaged by rule: a wrong
+    signature, ten junk bytes, or junk so long that the scan gives up."""
+    block = F.floor(F.col("sample_ord") / FILE_SAMPLES)
+    depth = _le_hex(F.col("depth"), 4)
+    frames = F.array_join(F.transform("frames", lambda a: _le_hex(a, 8)), "")
+    record = F.concat(_le_hex(F.col("marker"), 2), F.repeat(F.lit("00"), 66), depth, depth, frames)
+    files = (
+        samples.select("trace_id", block.alias("block"), "sample_ord", record.alias("record"))
+        .groupBy("trace_id", "block")
+        .agg(F.array_sort(F.collect_list(F.struct("sample_ord", "record"))).alias("records"))
+    )
+    block = F.col("block")
+    meta = F.concat(F.lit('{"processId":'), (block + 1000).cast("string"), F.lit("}"))
+    junk = F.when(block % 9 == 4, 300).when(block % 4 == 1, 10).otherwise(0)
+    text = F.concat(
+        F.when(block % 7 == 3, "DEADBEEF").otherwise("04030201"), F.lit("00000000"),
+        _le_hex(F.lit(5), 4), _le_hex(block * 1_000_000, 8), _le_hex(F.lit(25_000), 4),
+        _le_hex(F.length(meta), 4), F.hex(meta), F.repeat(F.lit("00"), junk),
+        F.array_join(F.transform("records", lambda r: r["record"]), ""),
+    )
+    return files.select(
+        F.concat("trace_id", F.lit("-"), block.cast("string")).alias("trace_id"),
+        F.unhex(text).alias("content"),
+    )
+
+
+def trace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(trace_id, content)`` of encoded sample files."""
+    source = samples(spark, sf_dir)
+    return _once(spark, sf_dir, "trace_files", lambda: _samples_as_files(source))
+
+
+def _mapping_as_files(mapping: DataFrame) -> DataFrame:
+    """Mapping files of at most ``MAPPING_FILE_SIZE`` addresses. Every fifth address has
+    an outdated record first; every other file ends with an empty record and leftovers."""
+    def record(name: Column) -> Column:
+        return F.concat(
+            _le_hex(F.col("addr"), 8), _le_hex(F.octet_length(name), 2), F.hex(name)
+        )
+
+    stale = F.when(F.col("addr") % 5 == 0, record(F.lit("void old.Name.gone()"))).otherwise("")
+    block = F.floor(F.col("addr") / MAPPING_FILE_SIZE)
+    files = (
+        mapping.select(
+            block.alias("block"), "addr", F.concat(stale, record(F.col("name"))).alias("records")
+        )
+        .groupBy("block")
+        .agg(F.array_sort(F.collect_list(F.struct("addr", "records"))).alias("r"))
+    )
+    leftover = F.concat(
+        _le_hex(F.lit(0), 8), F.lit("0000"), _le_hex(F.lit(7), 8), F.lit("0100"), F.lit("41")
+    )
+    text = F.concat(
+        F.repeat(F.lit("00"), 8), _le_hex(F.lit(1), 4), _le_hex(F.size("r"), 4),
+        F.array_join(F.transform("r", lambda x: x["records"]), ""),
+        F.when(F.col("block") % 2 == 0, leftover).otherwise(""),
+    )
+    return files.select(
+        F.concat(F.lit("m"), F.col("block").cast("string")).alias("trace_id"),
+        F.unhex(text).alias("content"),
+    )
+
+
+def mapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(trace_id, content)`` of encoded symbol maps."""
+    source = mapping(spark, sf_dir)
+    return _once(spark, sf_dir, "mapping_files", lambda: _mapping_as_files(source))
+
+
+def traces(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every trace of a slice model, from its small thread table."""
+    return tables["thread"].select("trace_id").distinct()

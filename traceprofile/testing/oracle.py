@@ -117,6 +117,216 @@ def _variant(kind: str, where: str, limit: int) -> str:
     return _one("found", _hits("found", kind, where, limit, False))
 
 
+
+def _fixed1(x: str) -> str:
+    """One decimal; printf rounds exact quarters to even, they go up here."""
+    return (f"CASE WHEN ({x}) - floor({x}) IN (0.25, 0.75) THEN printf('%.1f', ({x}) + 0.01) "
+            f"ELSE printf('%.1f', {x}) END")
+
+
+_NAME = "'`' || name || '`'"
+_MS = _fixed1("raw")
+_AVG = _fixed1("avg_ms")
+_RATIO = _fixed1("raw / 16.6::DOUBLE")
+_SEVERITY = ("CASE WHEN {0} > 500 THEN 'P0' WHEN {0} > 200 THEN 'P1' "
+             "WHEN {0} > 100 THEN 'P2' ELSE 'P3' END")
+
+_COUNTED = """
+counted AS (
+  SELECT trace_id, kind, 0 ko, pos, id, name, ts, dur, dur_ms raw,
+         NULL::BIGINT "count", NULL::DOUBLE avg_ms FROM long_slices WHERE dur_ms > 50
+  UNION ALL
+  SELECT trace_id, kind, 1, pos, id, name, ts, dur, dur_ms, NULL, NULL FROM frame_jank
+  UNION ALL
+  SELECT trace_id, kind, 2, pos, id, name, ts, dur, dur_ms, NULL, NULL FROM main_thread_io
+  WHERE dur_ms > 50
+  UNION ALL
+  SELECT trace_id, kind, 3, pos, NULL, name, NULL, NULL, total_ms, "count", avg_ms
+  FROM cpu_heavy)"""
+
+_TEXT_COLUMNS = f"""
+  {_SEVERITY.format('raw')} severity,
+  CASE kind WHEN 'long' THEN '主线程长耗时: ' WHEN 'jank' THEN '帧卡顿: '
+            WHEN 'io' THEN '主线程 I/O: ' ELSE 'CPU 密集型方法: ' END || name title,
+  CASE kind
+    WHEN 'long' THEN '主线程方法 ' || {_NAME} || ' 单次执行耗时 ' || {_MS} || 'ms，可能导致 UI 卡顿'
+    WHEN 'jank' THEN '帧渲染方法 ' || {_NAME} || ' 耗时 ' || {_MS} || 'ms，超过 16.6ms 帧预算'
+    WHEN 'io' THEN '主线程上执行了 I/O 操作 ' || {_NAME} || '，耗时 ' || {_MS} || 'ms'
+    ELSE '方法 ' || {_NAME} || ' 被调用 ' || "count" || ' 次，总耗时 ' || {_MS} || 'ms（平均 '
+         || {_AVG} || 'ms/次）' END what,
+  {_NAME} "where",
+  CASE kind WHEN 'cpu' THEN {_MS} || 'ms (' || "count" || '次, 平均' || {_AVG} || 'ms)'
+            ELSE {_MS} || 'ms' END duration,
+  CASE kind
+    WHEN 'long' THEN CASE WHEN raw > 500 THEN '严重阻塞主线程，用户可感知明显卡顿或无响应'
+        WHEN raw > 200 THEN '主线程阻塞时间较长，可能导致掉帧和交互延迟'
+        WHEN raw > 100 THEN '主线程有一定阻塞，可能在低端设备上引起卡顿'
+        ELSE '轻微影响，建议关注' END
+    WHEN 'jank' THEN '帧渲染超时 ' || {_RATIO} || ' 倍，用户可感知明显掉帧'
+    WHEN 'io' THEN '主线程 I/O 操作会阻塞 UI 渲染，导致卡顿和 ANR 风险'
+    ELSE CASE WHEN raw > 500 THEN '累计耗时极高，严重消耗 CPU 资源，影响整体性能'
+        WHEN raw > 200 THEN '累计耗时较高，占用较多 CPU 资源'
+        ELSE '有一定 CPU 开销，建议关注' END END impact,
+  CASE kind
+    WHEN 'long' THEN '考虑将 ' || {_NAME} || ' 的耗时操作移至后台线程，或优化其执行逻辑以减少耗时'
+    WHEN 'jank' THEN '优化帧渲染流程，减少 ' || {_NAME} || ' 中的同步操作，避免在 doFrame 中执行耗时任务'
+    WHEN 'io' THEN '将 ' || {_NAME} || ' 移至后台线程执行，使用异步 API 或 WorkManager 处理 I/O 操作'
+    ELSE '优化 ' || {_NAME} || ' 的实现，减少调用频次或单次执行耗时，考虑缓存计算结果' END suggestion"""
+
+_RATED = f"""{_COUNTED},
+worst AS (
+  SELECT *, min(pos) OVER (PARTITION BY trace_id, kind, name) first_pos,
+         row_number() OVER (PARTITION BY trace_id, kind, name
+                            ORDER BY {_SEVERITY.format('raw')}, raw DESC, pos) rn
+  FROM counted),
+rated AS (
+  SELECT trace_id, kind, id, ts, dur, raw duration_raw, name,
+    CAST(row_number() OVER (PARTITION BY trace_id
+         ORDER BY {_SEVERITY.format('raw')}, raw DESC, ko, first_pos) AS INTEGER) "position",
+    {_TEXT_COLUMNS}
+  FROM worst WHERE rn = 1)"""
+
+
+def _stack(seeds: str) -> str:
+    """Stack text per seed from a CTE with ``(trace_id, slice_id)``."""
+    return f"""
+walk AS (
+  SELECT d.trace_id, d.slice_id, 0 lvl, s.id, s.name, s.parent_id
+  FROM {seeds} d JOIN slice s ON s.trace_id = d.trace_id AND s.id = d.slice_id
+  UNION ALL
+  SELECT w.trace_id, w.slice_id, w.lvl + 1, s.id, s.name, s.parent_id
+  FROM walk w JOIN slice s ON s.trace_id = w.trace_id AND s.id = w.parent_id
+  WHERE w.lvl < 25),
+walk_size AS (
+  SELECT trace_id, slice_id, count(*) n,
+         count(*) > 25 AND arg_max(parent_id IS NOT NULL, lvl) truncated
+  FROM walk GROUP BY ALL),
+stack_text AS (
+  SELECT trace_id, slice_id, n, truncated,
+    string_agg(CASE WHEN lvl < n - 1 THEN repeat('  ', CAST(n - 1 - lvl AS BIGINT)) || '→ ' ELSE '' END
+               || name || '()' || CASE WHEN lvl = 0 THEN '          ← 瓶颈' ELSE '' END,
+               chr(10) ORDER BY lvl DESC)
+    || CASE WHEN truncated THEN chr(10) || repeat('  ', CAST(n AS BIGINT)) || '... (调用栈已截断)'
+            ELSE '' END call_stack
+  FROM walk JOIN walk_size USING (trace_id, slice_id)
+  GROUP BY trace_id, slice_id, n, truncated)"""
+
+
+_STACK_SELECT = "SELECT trace_id, slice_id, CAST(n AS INTEGER) entries, truncated, call_stack FROM stack_text"
+
+_ISSUES = f"""{_FOUR}, {_RATED},
+seeds AS (SELECT DISTINCT trace_id, id slice_id FROM rated WHERE id IS NOT NULL), {_stack('seeds')},
+issues AS (
+  SELECT r.* EXCLUDE (name), coalesce(t.call_stack, '') call_stack
+  FROM rated r LEFT JOIN stack_text t ON t.trace_id = r.trace_id AND t.slice_id = r.id)"""
+
+_COUNTS = """
+counts AS (
+  SELECT trace_id, count(*) FILTER (severity = 'P0') p0, count(*) FILTER (severity = 'P1') p1,
+         count(*) FILTER (severity = 'P2') p2, count(*) FILTER (severity = 'P3') p3,
+         count(*) total
+  FROM rated GROUP BY trace_id)"""
+
+_SUMMARY = """
+summary AS (
+  SELECT t.trace_id, CASE WHEN coalesce(total, 0) = 0
+    THEN '本次 trace 分析未发现显著性能问题，应用整体运行状况良好。'
+    ELSE '本次分析共发现 ' || total || ' 个性能问题，其中 ' || concat_ws('、',
+        CASE WHEN p0 > 0 THEN p0 || ' 个 P0（阻塞级）' END,
+        CASE WHEN p1 > 0 THEN p1 || ' 个 P1（严重）' END,
+        CASE WHEN p2 > 0 THEN p2 || ' 个 P2（中等）' END,
+        CASE WHEN p3 > 0 THEN p3 || ' 个 P3（轻微）' END) || '。' ||
+      CASE WHEN p0 > 0 THEN '存在阻塞级问题，建议优先处理 P0 问题以改善用户体验。'
+           WHEN p1 > 0 THEN '建议优先关注 P1 级别问题。' ELSE '' END
+    END summary
+  FROM (SELECT DISTINCT trace_id FROM thread) t LEFT JOIN counts USING (trace_id))"""
+
+_REPORT = f"""{_ISSUES}, {_COUNTS}, {_SUMMARY},
+blocks AS (
+  SELECT trace_id, string_agg(
+      '### [' || severity || '] ' || title || chr(10) || '- **What**: ' || what || chr(10)
+      || '- **Where**: ' || "where" || chr(10) || '- **Duration**: ' || duration || chr(10)
+      || '- **Impact**: ' || impact || chr(10)
+      || CASE WHEN call_stack <> '' THEN '- **Call Stack**:' || chr(10) || '  ```' || chr(10) || '  '
+           || replace(call_stack, chr(10), chr(10) || '  ') || chr(10) || '  ```' || chr(10) ELSE '' END
+      || '- **Suggestion**: ' || suggestion || chr(10), chr(10) ORDER BY "position") body
+  FROM issues GROUP BY trace_id),
+report AS (
+  SELECT s.trace_id, '# Perfetto Trace 性能分析报告' || chr(10) || chr(10)
+    || '**分析时间**: 2024-01-15 10:30:45' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10)
+    || summary || chr(10) || chr(10) || '## Issues' || chr(10) || chr(10)
+    || coalesce(body, '未发现显著性能问题。' || chr(10)) markdown
+  FROM summary s LEFT JOIN blocks b ON b.trace_id = s.trace_id)"""
+
+
+def _windows(pad: str) -> str:
+    margin = {"tenth": "CAST(floor(CAST(dur AS DOUBLE) * 0.1::DOUBLE + 0.5::DOUBLE) AS BIGINT)",
+              "third": "(dur // 3)", "none": "0"}[pad]
+    start = f"CASE WHEN ts - {margin} > 0 THEN ts - {margin} ELSE ts END" if pad == "tenth" \
+        else f"ts - {margin}"
+    return (f"SELECT trace_id, kind, id, \"position\", '{pad}' pad, "
+            f"CAST({start} AS BIGINT) window_start, CAST(dur + 2 * {margin} AS BIGINT) window_width "
+            "FROM rated WHERE ts IS NOT NULL AND dur IS NOT NULL")
+
+
+# ---------------------------------------------------------------------------
+# Sampling tables
+# ---------------------------------------------------------------------------
+_SAMPLES = """
+samples AS (
+  SELECT CASE WHEN (o_orderkey // 500) % 3 = 0 THEN 'hot'
+      ELSE 's' || CAST((o_orderkey // 50000) * 4 + (o_orderkey // 500) % 4 AS VARCHAR) END trace_id,
+    o_orderkey sample_ord, o_orderkey // 500 AS block,
+    CASE WHEN o_orderkey % 3 = 1 THEN [3::BIGINT, 2, 1] ELSE list_concat(
+      CASE WHEN o_orderkey % 1000 = 17 THEN [-o_orderkey - 1] ELSE CAST([] AS BIGINT[]) END,
+      list_transform(range(0, o_orderkey % 12 + 1), lambda i: o_custkey + i * (o_orderkey % 5)),
+      [1::BIGINT]) END frames
+  FROM orders),
+mapping AS (
+  SELECT p_partkey addr, CASE
+    WHEN p_partkey = 1 THEN 'void android.app.ActivityThread.main(java.lang.String[])'
+    WHEN p_partkey = 2 THEN 'void android.os.Looper.loop()'
+    WHEN p_partkey = 3 THEN 'android.os.Message android.os.MessageQueue.next()'
+    WHEN p_partkey % 97 = 0 THEN
+      '<runtime method>.<runtime internal callee-save reference registers method>'
+    WHEN p_partkey % 20 = 11 THEN CASE (p_partkey // 20) % 6
+      WHEN 0 THEN 'org.json.JSONObject org.json.JSONObject.put(java.lang.String)'
+      WHEN 1 THEN 'java.lang.Object java.lang.reflect.Method.invoke(java.lang.Object)'
+      WHEN 2 THEN 'void com.vivo.perf.Monitor.tick()'
+      WHEN 3 THEN 'void androidx.room.RoomDatabase.query(java.lang.String)'
+      WHEN 4 THEN 'void android.view.Choreographer.doFrame(long)'
+      ELSE 'void com.app.log.FilePrinter.print(java.lang.String)' END
+    WHEN p_partkey % 3 = 0 THEN
+      'void com.shop.' || replace(p_name, ' ', '.') || '.m' || CAST(p_partkey AS VARCHAR) || '()'
+    ELSE 'void com.shop.' || replace(p_name, ' ', '.') || '(' || p_brand || ')' END AS name
+  FROM part WHERE p_partkey % 10 <> 0)"""
+
+_FRAMES = f"""{_SAMPLES},
+flat AS (SELECT trace_id, sample_ord, unnest(frames) addr,
+                generate_subscripts(frames, 1) - 1 frame_pos FROM samples),
+frames_named AS (
+  SELECT f.trace_id, f.sample_ord, CAST(f.frame_pos AS INTEGER) frame_pos, f.addr,
+         coalesce(m.name, 'native:0x' || lower(to_hex(f.addr))) AS name
+  FROM flat f LEFT JOIN mapping m USING (addr)),
+totals AS (SELECT trace_id, count(*) sample_count FROM samples GROUP BY trace_id)"""
+
+
+def _methods(where: str, extra: str = "") -> str:
+    return _with(f"""{_FRAMES},
+per_sample AS (SELECT trace_id, sample_ord, name, min(frame_pos) p FROM frames_named
+               WHERE {where} GROUP BY ALL),
+per_name AS (SELECT trace_id, name, count(*) "count", min(sample_ord * 1000 + p) seen
+             FROM per_sample GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY "count" DESC, seen)
+                        AS INTEGER) pos FROM per_name QUALIFY pos <= 30)""",
+                 f"""SELECT trace_id, pos, name, split_part(name, '(', 1) short_name, "count",
+       "count" / sample_count * 100 percent {extra}
+FROM best JOIN totals USING (trace_id)""")
+
+
+_RUNTIME = "<runtime method>.<runtime internal callee-save reference registers method>"
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "slice_scan": _with(_SLICE, "SELECT * FROM slice"),
@@ -143,5 +353,140 @@ def oracle_sql() -> dict[str, str]:
         ),
         "main_thread_io_undeduped": _variant("io", f"{_MAIN_NAME_FLAG} AND {_IO}", 20),
         "cpu_heavy_all_threads": _one("cpu_all", _cpu("cpu_all", "slice", "true")),
+        "trace_status": _with(_SLICE, """
+SELECT trace_id, bool_or(has) AS ready,
+       CASE WHEN NOT bool_or(has) THEN '请先在 Perfetto 中加载 trace 文件' END AS error
+FROM (SELECT trace_id, false has FROM thread UNION ALL SELECT trace_id, false FROM process
+      UNION ALL SELECT trace_id, true FROM slice) GROUP BY trace_id"""),
+        "dedup_slices": _with(_SLICE, f"""
+SELECT trace_id, ts, dur, min(id) id, arg_min(name, id) AS name FROM joined
+WHERE {_MAIN} GROUP BY trace_id, ts, dur"""),
+        "is_io_related": _with(_SLICE, """
+SELECT trace_id, id, name, coalesce(name LIKE '%Binder%' OR name LIKE '%sqlite%'
+  OR name LIKE '%SharedPreferences%' OR name LIKE '%File%' OR name LIKE '%network%'
+  OR name LIKE '%http%', false) is_io FROM slice"""),
+        "longest_slice_by_keyword": _with(_SLICE, """
+SELECT trace_id, id, coalesce(parent_id, -1) parent_id, name, ts, dur FROM slice
+WHERE name ILIKE '%submit%'
+QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY dur DESC, id) = 1"""),
+        "diagnostic_counts": _with(_FOUR, " UNION ALL ".join(
+            f"SELECT trace_id, '{d}' diagnostic, count(*) AS \"rows\" FROM {d} GROUP BY trace_id"
+            for d in ("long_slices", "frame_jank", "cpu_heavy", "main_thread_io"))),
+        "stack_seeds": _with(_FOUR, """
+SELECT trace_id, id slice_id FROM long_slices UNION SELECT trace_id, id FROM frame_jank
+UNION SELECT trace_id, id FROM main_thread_io"""),
+        "call_stacks": _with(f"""{_FOUR}, all_seeds AS (
+SELECT trace_id, id slice_id FROM long_slices UNION SELECT trace_id, id FROM frame_jank
+UNION SELECT trace_id, id FROM main_thread_io), {_stack('all_seeds')}""", _STACK_SELECT, True),
+        "call_stack_by_keyword": _with(f"""{_SLICE}, kw AS (
+SELECT trace_id, id slice_id FROM slice WHERE name ILIKE '%submit%'
+QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY dur DESC, id) = 1), {_stack('kw')}""",
+                                       _STACK_SELECT, True),
+        "call_stack_text": _with(f"""{_SLICE}, deep AS (
+SELECT trace_id, id slice_id FROM slice WHERE dur > 500000000), {_stack('deep')}""",
+                                 _STACK_SELECT, True),
+        "severity": _with(_SLICE, f"""
+SELECT trace_id, id, {_SEVERITY.format('dur / 1e6')} severity,
+  CASE WHEN dur / 1e6 > 500 THEN 0 WHEN dur / 1e6 > 200 THEN 1 WHEN dur / 1e6 > 100 THEN 2
+       ELSE 3 END severity_rank FROM slice"""),
+        "issue_text": _with(f"{_FOUR}, {_COUNTED}", f"""
+SELECT trace_id, kind, pos, raw duration_raw, {_TEXT_COLUMNS} FROM counted"""),
+        "issues": _with(_ISSUES, "SELECT * FROM issues", True),
+        "issues_roundtrip": _with(_ISSUES, "SELECT * FROM issues", True),
+        "severity_counts": _with(f"{_FOUR}, {_RATED}, {_COUNTS}", "SELECT * FROM counts"),
+        "issue_listing": _with(f"{_FOUR}, {_RATED}", """
+SELECT trace_id, "position", '[' || severity || '] ' || name AS label,
+       '耗时: ' || duration AS duration,
+       CASE WHEN ts IS NOT NULL THEN 'locate' ELSE 'aggregated' END badge FROM rated"""),
+        "focus_window": _with(f"{_FOUR}, {_RATED}", " UNION ALL ".join(
+            _windows(p) for p in ("tenth", "third", "none"))),
+        "issue_context": _with(f"{_FOUR}, {_RATED}, w AS ({_windows('tenth')})", """
+SELECT w.trace_id, w."position", w.kind, w.id, count(*) slice_count,
+  CAST(sum(least(s.ts + s.dur, window_start + window_width) - greatest(s.ts, window_start))
+       AS BIGINT) overlap_ns,
+  max(s.dur) longest_ns, min(s.ts) first_ts
+FROM w JOIN slice s ON s.trace_id = w.trace_id AND s.ts < window_start + window_width
+  AND s.ts + s.dur > window_start GROUP BY ALL"""),
+        "report_summary": _with(f"{_FOUR}, {_RATED}, {_COUNTS}, {_SUMMARY}",
+                                "SELECT * FROM summary"),
+        "report": _with(_REPORT, "SELECT * FROM report", True),
+        "report_sink": _with(_REPORT, """SELECT trace_id, markdown,
+'perfetto_analysis_report_20240115_103045.md' file_name FROM report""", True),
+        "report_filename": """
+SELECT event_id, 'perfetto_analysis_report_' || strftime(ts, '%Y%m%d_%H%M%S') || '.md' file_name
+FROM events""",
+        "trace_id_from_path": """
+SELECT page_id, CASE WHEN page_id % 3 = 0
+  THEN 'analysis_' || strftime(TIMESTAMP '2024-03-05 08:05:03' + to_seconds(page_id), '%Y%m%d_%H%M%S')
+  ELSE 'strace_a' || page_id || '_huawei' END trace_id FROM pages""",
+        "annotate_methods": _with(rf"""{_SLICE}, {_SAMPLES}, methods AS (
+SELECT name FROM slice UNION SELECT name FROM mapping),
+noted AS (SELECT name, CASE
+  WHEN regexp_matches(name, '\w+\$\w+\$\d+\$\d+\.invokeSuspend\b') THEN '← Kotlin lambda in '
+    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\$\d+\.invokeSuspend', 1) || '.'
+    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\$\d+\.invokeSuspend', 2) || '()'
+  WHEN regexp_matches(name, '\w+\$\w+\$\d+\.invokeSuspend\b') THEN '← coroutine continuation of '
+    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invokeSuspend', 1) || '.'
+    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invokeSuspend', 2) || '()'
+  WHEN regexp_matches(name, '\w+\$\w+\$\d+\.invoke\b') THEN '← lazy init of '
+    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invoke', 1) || '.'
+    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invoke', 2)
+  WHEN regexp_matches(name, '\w+\$\d+\.run\b') THEN '← anonymous Runnable in '
+    || regexp_extract(name, '(\w+)\$\d+\.run', 1)
+  WHEN regexp_matches(name, '\.[A-Za-z]\d(\(|$)') THEN '← obfuscated method (ProGuard)'
+  WHEN regexp_matches(name, '\bmsdocker\.|\b[Il1i]{{4,}}\b')
+    THEN '← DroidPlugin hook / string decryption'
+  ELSE '' END note FROM methods)""",
+            "SELECT name, note, CASE WHEN note <> '' THEN name || ' ' || note ELSE name END annotated FROM noted"),
+        "pattern_tags": _with(f"""{_SLICE}, {_SAMPLES}, methods AS (
+SELECT name FROM slice UNION SELECT name FROM mapping)""", r"""
+SELECT name, tag, advice FROM methods JOIN (VALUES
+  ('idle', 'MessageQueue\.next', 'Normal idle state'),
+  ('json', 'JSONObject\.put|ReflectiveTypeAdapterFactory', 'Use code-gen (Moshi, kotlinx.serialization)'),
+  ('reflection', 'java\.lang\.reflect\.', 'Use code generation'),
+  ('io', '(?i)file|network|http', 'Move to background thread'),
+  ('vendor_sdk', '(?i)vivo|huawei', 'Disable or reduce frequency'),
+  ('database', '(?i)androidx\.room\.|sqlite', 'Optimize query frequency'),
+  ('animation', '(?i)choreographer|vsync', 'Keep frame callbacks light'),
+  ('logging', 'FilePrinter', 'Async batch logging')) r(tag, pattern, advice)
+ON regexp_matches(name, pattern)"""),
+        "sample_count": _with(_FRAMES, "SELECT * FROM totals"),
+        "symbolized_frames": _with(_FRAMES, "SELECT * FROM frames_named"),
+        "short_name": _with(_SAMPLES, """
+SELECT addr, name, split_part(name, '(', 1) short_name, '0x' || lower(to_hex(addr)) addr_hex
+FROM mapping"""),
+        "self_time": _methods("frame_pos = 0"),
+        "self_time_no_runtime": _methods(f"frame_pos = 0 AND name <> '{_RUNTIME}'"),
+        "self_time_est_ms": _methods("frame_pos = 0", ", \"count\" * 25000 / 1000 est_ms"),
+        "inclusive_time": _methods("true"),
+        "hot_stacks": _with(f"""{_FRAMES},
+heads AS (SELECT trace_id, sample_ord, list(name ORDER BY frame_pos) names FROM frames_named
+          WHERE frame_pos < 5 GROUP BY ALL),
+per_stack AS (SELECT trace_id, names, count(*) "count", min(sample_ord) seen FROM heads GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY "count" DESC, seen)
+                        AS INTEGER) pos FROM per_stack QUALIFY pos <= 15)""", """
+SELECT trace_id, pos, array_to_string(names, '|') stack,
+  array_to_string(list_transform(names, lambda x: split_part(x, '(', 1)), chr(10)) short_stack,
+  "count", "count" / sample_count * 100 percent FROM best JOIN totals USING (trace_id)"""),
+        "parse_samples": _with(_SAMPLES, """
+SELECT trace_id || '-' || block trace_id,
+  row_number() OVER (PARTITION BY trace_id, block ORDER BY sample_ord) - 1 sample_ord,
+  2 AS marker, CAST(len(frames) AS INTEGER) AS depth, array_to_string(frames, ',') frames
+FROM samples WHERE block % 7 <> 3 AND block % 9 <> 4"""),
+        "parse_stats": _with(_SAMPLES, """
+SELECT trace_id || '-' || block trace_id,
+  CASE WHEN block % 9 = 4 THEN 0 ELSE count(*) END sample_count,
+  CAST(CASE WHEN block % 9 = 4 THEN 201 WHEN block % 4 = 1 THEN 10 ELSE 0 END AS BIGINT) bad
+FROM samples WHERE block % 7 <> 3 GROUP BY trace_id, block"""),
+        "trace_header": _with(_SAMPLES, """
+SELECT DISTINCT trace_id || '-' || block trace_id, CAST(5 AS BIGINT) AS version,
+  block * 1000000 ts, CAST(25000 AS BIGINT) interval_us,
+  '{"processId":' || (block + 1000) || '}' meta, block + 1000 process_id FROM samples"""),
+        "valid_trace_files": _with(_SAMPLES, """
+SELECT DISTINCT trace_id || '-' || block trace_id, block % 7 <> 3 AS valid,
+  CASE WHEN block % 7 = 3 THEN 'deadbeef' END signature FROM samples"""),
+        "parse_mapping": _with(_SAMPLES, """
+SELECT 'm' || (addr // 1000) trace_id, addr, name FROM mapping"""),
+        "mapping_json_roundtrip": _with(_SAMPLES, "SELECT addr, name FROM mapping"),
     }
     return sql

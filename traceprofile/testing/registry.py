@@ -3,30 +3,187 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceprofile.functions import annotate, text
 from traceprofile.functions import predicates as P
+from traceprofile.operators import callstack as C
 from traceprofile.operators import diagnostics as D
+from traceprofile.operators import issues as I
+from traceprofile.operators import sampling as S
+from traceprofile.operators.context import issue_context
 from traceprofile.operators.main_thread import SLICE_COLUMNS, main_thread_slices
+from traceprofile.operators.topk import collapse_duplicates
+from traceprofile.plans import analysis, report
+from traceprofile.session import new_shared_path
+from traceprofile.sources import mapping_files, outputs, trace_files
 from traceprofile.testing import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
+Tables = dict[str, DataFrame]
 
+# A fixed report time keeps results repeatable.
+AS_OF = "2024-01-15 10:30:45"
+KEYWORD = "submit"
+DEEP_NS = 500_000_000
 
-def _on_slices(operator: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+
+def _as_of():
+    return F.expr(f"TIMESTAMP_NTZ '{AS_OF}'")
+
+
+def _on_slices(operator: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(B.slice_model(spark, sf_dir))
 
 
+def _on_samples(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(B.samples(spark, sf_dir), B.mapping(spark, sf_dir))
+
+
+def _on_trace_files(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(B.trace_files(spark, sf_dir))
+
+
+def _stack_rows(stacks: DataFrame) -> DataFrame:
+    return stacks.select(
+        "trace_id", "slice_id", F.size("stack").alias("entries"), "truncated",
+        C.stack_text(F.col("stack"), F.col("truncated")).alias("call_stack"),
+    )
+
+
+def _dedup(tables: Tables) -> DataFrame:
+    keys = ["trace_id", "ts", "dur"]
+    return collapse_duplicates(main_thread_slices(tables), keys, "id", ["name"])
+
+
+def _severity(tables: Tables) -> DataFrame:
+    label = I.severity(text.ns_to_ms(F.col("dur")))
+    return tables["slice"].select(
+        "trace_id", "id", label.alias("severity"), I.severity_rank(label).alias("severity_rank")
+    )
+
+
+def _issue_text(tables: Tables) -> DataFrame:
+    hits = I.counted_hits(analysis.all_findings(tables))
+    return I.issue_texts(hits).drop("id", "name", "dur_ms", "ts", "dur", "count", "total_ms", "avg_ms")
+
+
+def _focus_windows(tables: Tables) -> DataFrame:
+    issues = analysis.rated_issues(tables)
+    columns = ["trace_id", "kind", "id", "position"]
+    return reduce(DataFrame.unionByName, [
+        I.focus_window(issues, pad).select(
+            *columns, F.lit(pad).alias("pad"), "window_start", "window_width"
+        )
+        for pad in ("tenth", "third", "none")
+    ])
+
+
+def _deep_stacks(tables: Tables) -> DataFrame:
+    seeds = tables["slice"].filter(F.col("dur") > DEEP_NS)
+    return C.call_stacks(seeds.select("trace_id", F.col("id").alias("slice_id")), tables["slice"])
+
+
+def _issues_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "issues")
+    outputs.write_issues(analysis.analyze(B.slice_model(spark, sf_dir)), path)
+    return outputs.read_issues(spark, path)
+
+
+def _report(tables: Tables) -> DataFrame:
+    return report.reports(analysis.analyze(tables), B.traces(tables), _as_of())
+
+
+def _report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "reports")
+    outputs.write_reports(_report(B.slice_model(spark, sf_dir)), path, _as_of())
+    return outputs.read_reports(spark, path)
+
+
+def _report_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", text.report_filename(F.col("ts")).alias("file_name"))
+
+
+def _trace_id_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    tail = F.when(
+        F.col("page_id") % 3 != 0,
+        F.concat(F.lit("/strace_a"), F.col("page_id").cast("string"), F.lit("_huawei.bin")),
+    ).otherwise("")
+    as_of = F.expr("timestampadd(SECOND, page_id, TIMESTAMP_NTZ '2024-03-05 08:05:03')")
+    return pages.select(
+        "page_id", text.trace_id_from_path(F.concat("url", tail), as_of).alias("trace_id")
+    )
+
+
+def _method_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slices = B.slice_model(spark, sf_dir)["slice"].select("name")
+    return slices.unionByName(B.mapping(spark, sf_dir).select("name")).distinct()
+
+
+def _annotate_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("name")
+    return _method_names(spark, sf_dir).select(
+        "name", annotate.method_note(name).alias("note"),
+        annotate.annotated_name(name).alias("annotated"),
+    )
+
+
+def _parse_samples(files: DataFrame) -> DataFrame:
+    parsed = trace_files.parse_samples(trace_files.valid_files(files))
+    joined = F.array_join(F.transform("frames", lambda a: a.cast("string")), ",")
+    return parsed.withColumn("frames", joined)
+
+
+def _file_validity(files: DataFrame) -> DataFrame:
+    good = trace_files.valid_files(files).select(
+        "trace_id", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("signature")
+    )
+    bad = trace_files.rejected_files(files)
+    return good.unionByName(bad.select("trace_id", F.lit(False).alias("valid"), "signature"))
+
+
+def _mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "mapping-json")
+    mapping_files.write_mapping_json(B.mapping(spark, sf_dir), path)
+    return mapping_files.read_mapping_json(spark, path).select("addr", "name")
+
+
 def queries() -> dict[str, Query]:
     return {
+        # sources
         "slice_scan": _on_slices(lambda t: t["slice"].select(*SLICE_COLUMNS)),
+        "trace_status": _on_slices(analysis.trace_status),
+        "valid_trace_files": _on_trace_files(_file_validity),
+        "trace_header": _on_trace_files(trace_files.trace_headers),
+        "parse_samples": _on_trace_files(_parse_samples),
+        "parse_stats": _on_trace_files(
+            lambda f: trace_files.parse_stats(trace_files.scan_files(trace_files.valid_files(f)))
+        ),
+        "parse_mapping": lambda spark, sf_dir: mapping_files.parse_mapping(
+            B.mapping_files(spark, sf_dir)
+        ),
+        "mapping_json_roundtrip": _mapping_json,
+        # predicates
         "main_thread_slices": _on_slices(main_thread_slices),
         "framework_excluded": _on_slices(
             lambda t: t["slice"].filter(P.not_framework(F.col("name")))
             .select("trace_id", "id", "name")
         ),
+        "is_io_related": _on_slices(
+            lambda t: t["slice"].select(
+                "trace_id", "id", "name", P.is_io_related(F.col("name")).alias("is_io")
+            )
+        ),
+        "longest_slice_by_keyword": _on_slices(
+            lambda t: D.longest_slice_by_keyword(t["slice"], KEYWORD)
+        ),
+        "dedup_slices": _on_slices(_dedup),
+        # diagnostics
         "long_slices": _on_slices(D.long_slices),
         "frame_jank": _on_slices(D.frame_jank),
         "main_thread_io": _on_slices(D.main_thread_io),
@@ -36,4 +193,48 @@ def queries() -> dict[str, Query]:
         "frame_jank_literal": _on_slices(D.frame_jank_literal),
         "main_thread_io_undeduped": _on_slices(D.main_thread_io_undeduped),
         "cpu_heavy_all_threads": _on_slices(D.cpu_heavy_all_threads),
+        "diagnostic_counts": _on_slices(lambda t: D.diagnostic_counts(D.run_diagnostics(t)[0])),
+        # call stacks
+        "stack_seeds": _on_slices(analysis.stack_seeds),
+        "call_stacks": _on_slices(
+            lambda t: _stack_rows(C.call_stacks(analysis.stack_seeds(t), t["slice"]))
+        ),
+        "call_stack_by_keyword": _on_slices(
+            lambda t: _stack_rows(C.call_stacks_by_keyword(t["slice"], KEYWORD))
+        ),
+        "call_stack_text": _on_slices(lambda t: _stack_rows(_deep_stacks(t))),
+        # issues
+        "severity": _on_slices(_severity),
+        "issue_text": _on_slices(_issue_text),
+        "issues": _on_slices(analysis.analyze),
+        "severity_counts": _on_slices(lambda t: I.severity_counts(analysis.rated_issues(t))),
+        "issue_listing": _on_slices(lambda t: I.issue_listing(analysis.rated_issues(t))),
+        "focus_window": _on_slices(_focus_windows),
+        "issue_context": _on_slices(
+            lambda t: issue_context(t["slice"], analysis.rated_issues(t))
+        ),
+        "issues_roundtrip": _issues_roundtrip,
+        # report
+        "report_summary": _on_slices(
+            lambda t: report.report_summary(analysis.rated_issues(t), B.traces(t))
+        ),
+        "report": _on_slices(_report),
+        "report_sink": _report_sink,
+        "report_filename": _report_filename,
+        "trace_id_from_path": _trace_id_from_path,
+        # names
+        "annotate_methods": _annotate_methods,
+        "pattern_tags": lambda spark, sf_dir: annotate.pattern_tags(_method_names(spark, sf_dir)),
+        "short_name": lambda spark, sf_dir: B.mapping(spark, sf_dir).select(
+            "addr", "name", text.short_name(F.col("name")).alias("short_name"),
+            text.hex_address(F.col("addr")).alias("addr_hex"),
+        ),
+        # sampling
+        "sample_count": _on_samples(lambda s, m: S.sample_count(s)),
+        "symbolized_frames": _on_samples(S.symbolized_frames),
+        "self_time": _on_samples(S.self_time),
+        "self_time_no_runtime": _on_samples(lambda s, m: S.self_time(s, m, skip_runtime=True)),
+        "self_time_est_ms": _on_samples(lambda s, m: S.with_estimated_ms(S.self_time(s, m))),
+        "inclusive_time": _on_samples(S.inclusive_time),
+        "hot_stacks": _on_samples(S.hot_stacks),
     }
