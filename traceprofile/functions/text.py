@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from fractions import Fraction
 
 from pyspark.sql import Column
@@ -22,27 +24,29 @@ def ns_to_ms(ns: Column) -> Column:
     return ns.cast("double") / F.lit(NS_PER_MS)
 
 
+def _half_marks() -> list[float]:
+    """Smallest doubles that round up to each next tenth: 0.05, 0.15 … 0.95, or the
+    double after it where the stored mark lies below its true value."""
+    marks = []
+    for k in range(10):
+        mark = (2 * k + 1) / 20
+        low = Fraction(mark) < Fraction(2 * k + 1, 20)
+        marks.append(math.nextafter(mark, 1.0) if low else mark)
+    return marks
+
+
 def to_fixed1(x: Column) -> Column:
     """One-decimal text of a double, rounded by its exact binary value, ties upward.
 
-    The fraction of a double is exact, so counting how many half-way marks
-    (0.05, 0.15 … 0.95) it has reached gives the rounded tenth. A mark that is stored
-    slightly below its true value must be passed, not only reached.
+    The fraction of a double is exact, so the number of half-way marks it has reached
+    is the rounded tenth.
     """
     size = F.abs(x)
-    whole = F.floor(size)
-    fraction = size - whole.cast("double")
-    tenths = F.lit(0)
-    for k in range(10):
-        mark = (2 * k + 1) / 20
-        stored_low = Fraction(mark) < Fraction(2 * k + 1, 20)
-        reached = fraction > F.lit(mark) if stored_low else fraction >= F.lit(mark)
-        tenths = tenths + reached.cast("int")
-    carry = (tenths == 10).cast("int")
-    return F.concat(
-        F.when(x < 0, "-").otherwise(""),
-        (whole + carry).cast("string"), F.lit("."), (tenths % 10).cast("string"),
-    )
+    marks = F.array(*[F.lit(m) for m in _half_marks()])
+    reached = F.size(F.filter(marks, lambda m: m <= size - F.floor(size)))
+    tenths = F.floor(size) * 10 + reached
+    text = (tenths.cast("decimal(20,0)") * F.lit(Decimal("0.1"))).cast("string")
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)
 
 
 def short_name(name: Column) -> Column:

@@ -125,13 +125,13 @@ def counted_hits(findings: DataFrame) -> DataFrame:
 def issue_texts(hits: DataFrame) -> DataFrame:
     """Add severity and texts to counted hits."""
     raw = F.col("duration_raw")
-    values = {
-        "name": F.col("name"),
-        "ms": to_fixed1(raw),
-        "count": F.col("count").cast("string"),
-        "avg": to_fixed1(F.col("avg_ms")),
-        "ratio": to_fixed1(raw / F.lit(FRAME_BUDGET_MS)),
-    }
+    fields = ("name", "ms", "count", "avg", "ratio")
+    values = {f: F.col(f"t.{f}") for f in fields}
+    texts = F.struct(
+        F.col("name"), to_fixed1(raw).alias("ms"), F.col("count").cast("string").alias("count"),
+        to_fixed1(F.col("avg_ms")).alias("avg"),
+        to_fixed1(raw / F.lit(FRAME_BUDGET_MS)).alias("ratio"),
+    )
 
     def filled(templates: dict[str, str]) -> Column:
         return _by_kind({k: _fill(t, values) for k, t in templates.items()})
@@ -142,8 +142,8 @@ def issue_texts(hits: DataFrame) -> DataFrame:
         "io": F.lit(IMPACT_IO),
         "cpu": _tiers(raw, IMPACT_CPU_ABOVE_MS, IMPACT_CPU_OTHER),
     }
-    return hits.select(
-        "*",
+    return hits.withColumn("t", texts).select(
+        *hits.columns,
         severity(raw).alias("severity"),
         filled({k: f"{prefix}{{name}}" for k, prefix in TITLE_PREFIX.items()}).alias("title"),
         filled(WHAT).alias("what"),

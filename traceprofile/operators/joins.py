@@ -62,4 +62,5 @@ def join_small(
     salted_small = small.withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    return salted_fact.join(salted_small, [*on, _SALT], how).drop(_SALT)
+    # hash the small side rather than sort the large one
+    return salted_fact.join(salted_small.hint("shuffle_hash"), [*on, _SALT], how).drop(_SALT)

@@ -14,6 +14,7 @@ from traceprofile.functions.predicates import not_runtime_overhead
 from traceprofile.functions.text import native_name, short_name
 from traceprofile.operators.joins import fits_broadcast, join_small
 from traceprofile.operators.topk import top_k
+from traceprofile.session import materialize
 
 # Rows reported, frames that identify a hot stack, typical interval.
 SELF_LIMIT = 30
@@ -116,7 +117,9 @@ def inclusive_counts(samples: DataFrame, mapping: DataFrame) -> DataFrame:
     per_address = occurrences.groupBy("trace_id", "addr").agg(
         F.count(F.lit(1)).alias("count"), F.min("place").alias("first_seen")
     )
-    named = name_addresses(per_address, mapping)
+    # read three times below; writing this short table spares three scans of the samples
+    # and tells the true size of the part that is joined with them
+    named = materialize(name_addresses(per_address, mapping), "named-addresses")
     per_name = named.groupBy("trace_id", "name").agg(
         F.count(F.lit(1)).alias("addresses"),
         F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"),
@@ -126,9 +129,11 @@ def inclusive_counts(samples: DataFrame, mapping: DataFrame) -> DataFrame:
     shared = named.select("trace_id", "addr", "name").join(
         shared_names, ["trace_id", "name"], "left_semi"
     )
+    occurring = join_small(
+        occurrences, shared, ["trace_id", "addr"], spread_by="sample_ord", inputs=(named,)
+    )
     regrouped = (
-        join_small(occurrences, shared, ["trace_id", "addr"], spread_by="sample_ord")
-        .groupBy("trace_id", "name", "sample_ord")
+        occurring.groupBy("trace_id", "name", "sample_ord")
         .agg(F.min("place").alias("place"))
         .groupBy("trace_id", "name")
         .agg(F.count(F.lit(1)).alias("count"), F.min("place").alias("first_seen"))

@@ -17,6 +17,7 @@ from traceprofile.operators.issues import (
     ranked_issues,
     union_findings,
 )
+from traceprofile.session import materialize
 
 Tables = Mapping[str, DataFrame]
 
@@ -78,7 +79,13 @@ def rated_issues(tables: Tables) -> DataFrame:
     return ranked_issues(issue_findings(tables))
 
 
+def staged_issues(tables: Tables) -> DataFrame:
+    """Rated issues written once: a few rows per trace that several steps read, for
+    which the slice table must not be searched again. Their size is then known too."""
+    return materialize(rated_issues(tables), "rated-issues")
+
+
 def analyze(tables: Tables) -> DataFrame:
     """Issues of every trace, with call stacks walked for surviving issues only."""
-    issues = rated_issues(tables)
+    issues = staged_issues(tables)
     return attach_stacks(issues, call_stacks(issue_seeds(issues), tables["slice"]))

@@ -29,6 +29,13 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _materialized[key]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when the input is fewer files than cores; an input that
+    already has more partitions is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -113,7 +120,7 @@ def slice_model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     events = _read(spark, sf_dir, "events")
     thread = _once(spark, sf_dir, "thread", lambda: _threads(events))
     return {
-        "slice": _once(spark, sf_dir, "slice", lambda: _slices(events)),
+        "slice": _once(spark, sf_dir, "slice", lambda: _spread(_slices(events))),
         "thread": thread,
         "thread_track": _once(
             spark, sf_dir, "thread_track",
@@ -156,7 +163,9 @@ def _samples(orders: DataFrame) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stack samples from ``orders``; a third of them are one identical idle stack."""
-    return _once(spark, sf_dir, "samples", lambda: _samples(_read(spark, sf_dir, "orders")))
+    return _once(
+        spark, sf_dir, "samples", lambda: _spread(_samples(_read(spark, sf_dir, "orders")))
+    )
 
 
 FIXED_NAMES = {

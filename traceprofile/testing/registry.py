@@ -72,7 +72,7 @@ def _issue_text(tables: Tables) -> DataFrame:
 
 
 def _focus_windows(tables: Tables) -> DataFrame:
-    issues = analysis.rated_issues(tables)
+    issues = analysis.staged_issues(tables)
     columns = ["trace_id", "kind", "id", "position"]
     return reduce(DataFrame.unionByName, [
         I.focus_window(issues, pad).select(
@@ -211,7 +211,7 @@ def queries() -> dict[str, Query]:
         "issue_listing": _on_slices(lambda t: I.issue_listing(analysis.rated_issues(t))),
         "focus_window": _on_slices(_focus_windows),
         "issue_context": _on_slices(
-            lambda t: issue_context(t["slice"], analysis.rated_issues(t))
+            lambda t: issue_context(t["slice"], analysis.staged_issues(t))
         ),
         "issues_roundtrip": _issues_roundtrip,
         # report
