@@ -19,7 +19,7 @@ MAX_NAME_BYTES = 2000  # exclusive
 _SCHEMA = "trace_id string, addr bigint, name string"
 
 
-def _symbols(content: bytes) -> dict[int, str]:
+def _symbols(content: memoryview) -> dict[int, str]:
     """Address to name; a later record replaces an earlier one of the same address."""
     names: dict[int, str] = {}
     at, size = FILE_HEADER, len(content)
@@ -29,7 +29,7 @@ def _symbols(content: bytes) -> dict[int, str]:
         at += RECORD_HEAD
         if not 0 < length < MAX_NAME_BYTES or at + length > size:
             break
-        names[addr] = content[at : at + length].decode("utf-8", errors="replace")
+        names[addr] = str(content[at : at + length], "utf-8", "replace")
         at += length
     return names
 
@@ -37,7 +37,7 @@ def _symbols(content: bytes) -> dict[int, str]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for trace, value in zip(batch.column(0), batch.column(1)):
-            names = _symbols(value.as_buffer().to_pybytes())
+            names = _symbols(memoryview(value.as_buffer()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([trace.as_py()] * len(names), pa.string()),

@@ -68,7 +68,7 @@ def trace_headers(files: DataFrame) -> DataFrame:
     )
 
 
-def _records(content: bytes) -> Iterator[tuple[int, int, int]]:
+def _records(content: memoryview) -> Iterator[tuple[int, int, int]]:
     """``(start, depth, bad)`` of each record; ``bad`` counts skipped bytes so far.
     Ends with ``(-1, 0, bad)``."""
     size, bad = len(content), 0
@@ -89,7 +89,7 @@ def _records(content: bytes) -> Iterator[tuple[int, int, int]]:
     yield -1, 0, bad
 
 
-def _batch(trace: str, content: bytes, first: int, found: list[tuple[int, int, int]]):
+def _batch(trace: str, content: memoryview, first: int, found: list[tuple[int, int, int]]):
     depths = np.array([d for _, d, _ in found], dtype=np.int32)
     offsets = np.zeros(len(found) + 1, dtype=np.int32)
     np.cumsum(depths, out=offsets[1:])
@@ -126,7 +126,7 @@ def _summary(trace: str, bad: int):
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for trace, value in zip(batch.column(0), batch.column(1)):
-            name, content = trace.as_py(), value.as_buffer().to_pybytes()
+            name, content = trace.as_py(), memoryview(value.as_buffer())
             found: list[tuple[int, int, int]] = []
             done = 0
             for record in _records(content):
