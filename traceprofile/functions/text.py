@@ -16,7 +16,7 @@ REPORT_FILE_PREFIX = "perfetto_analysis_report_"
 FALLBACK_TRACE_PREFIX = "analysis_"
 FILE_TIME_FORMAT = "yyyyMMdd_HHmmss"
 DATE_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-TRACE_NAME_PATTERN = r"([a-z]*trace_[A-Za-z0-9]+_[A-Za-z0-9]+)"
+TRACE_NAME_PATTERN = r"(?:^|[/=])([a-z]*trace_[A-Za-z0-9]+_[A-Za-z0-9]+)"
 NATIVE_PREFIX = "native:0x"
 
 
