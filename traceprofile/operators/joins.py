@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Estimated bytes up to which a side may be broadcast.
 BROADCAST_CONF = "spark.traceprofile.broadcastBytes"
-DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
+DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 
 #: Salts given to each key of a small side that is too large to broadcast.
 SALT_CONF = "spark.traceprofile.joinSalts"
