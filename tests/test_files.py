@@ -12,6 +12,7 @@ from tests.test_issues import as_of, findings, trace_list, with_text
 from traceprofile import schema
 from traceprofile.operators import issues
 from traceprofile.plans import report
+from traceprofile.plans.profile import sample_profile
 from traceprofile.sources import binary_files, mapping_files, outputs, slice_model, trace_files
 
 
@@ -191,3 +192,27 @@ def test_slice_model_at_rest(spark, tmp_path):
     back = slice_model.read_slice_model(spark, str(tmp_path / "model"))
     for name, df in tables.items():
         assert [tuple(r) for r in back[name].collect()] == [tuple(r) for r in df.collect()]
+
+
+def test_profile_from_files_with_a_map_per_trace(spark, tmp_path):
+    head = struct.pack("<QII", 0, 1, 2)
+    for name, leaf in (("xtrace_a1_huawei", b"void A.x()"), ("xtrace_b2_vivo", b"void B.y()")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "sampling").write_bytes(header() + record([5, 6]) * 3 + record([6]))
+        (tmp_path / name / "sampling-mapping").write_bytes(head + symbol(5, leaf))
+    read = binary_files.read_binary_files
+    mapping = mapping_files.parse_mapping(read(spark, str(tmp_path), "*-mapping"))
+    reports = sample_profile(read(spark, str(tmp_path), "sampling"), mapping)
+    got = {(r.trace_id, r.pos): (r.short_name, r["count"], r.percent, r.est_ms)
+           for r in reports["self_time"].collect()}
+    assert got == {
+        ("xtrace_a1_huawei", 1): ("void A.x", 3, 75.0, 75.0),
+        ("xtrace_a1_huawei", 2): ("native:0x6", 1, 25.0, 25.0),
+        ("xtrace_b2_vivo", 1): ("void B.y", 3, 75.0, 75.0),
+        ("xtrace_b2_vivo", 2): ("native:0x6", 1, 25.0, 25.0),
+    }
+    assert {r.name: r["count"] for r in reports["inclusive_time"].collect()} == {
+        "void A.x()": 3, "void B.y()": 3, "native:0x6": 4
+    }
+    assert reports["hot_stacks"].filter("pos = 1").count() == 2
+    assert reports["rejected"].count() == 0

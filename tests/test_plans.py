@@ -71,8 +71,10 @@ def test_broadcast_only_below_the_limit(spark, tables):
     session = spark.newSession()
     fact = session.range(100).withColumn("k", F.col("id") % 3)
     small = session.range(3).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in plan(joins.join_small(fact, small, ["k"], spread_by="id"))
+    assert "BroadcastHashJoin" in plan(joins.join_small(fact, small, ["k"]))
     force_shuffles(session)
-    salted = joins.join_small(fact, small, ["k"], spread_by="id")
-    assert "BroadcastHashJoin" not in plan(salted) and "__salt" in plan(salted)
+    plain = joins.join_small(fact, small, ["k"])
+    assert "ShuffledHashJoin" in plan(plain) and plain.count() == 100
+    salted = joins.join_small(fact, small, ["k"], spread_by="id", salts=4)
+    assert "ShuffledHashJoin" in plan(salted) and "__salt" in plan(salted)
     assert salted.count() == 100

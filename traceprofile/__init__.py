@@ -1,0 +1,20 @@
+"""Analytics over mobile performance traces as Spark DataFrame jobs.
+
+Slices: :func:`read_slice_model` → :func:`analyze` → :func:`reports`.
+Samples: :func:`read_binary_files` → :func:`sample_profile`.
+"""
+
+from traceprofile.plans.analysis import analyze, trace_status
+from traceprofile.plans.profile import sample_profile
+from traceprofile.plans.report import report_summary, reports
+from traceprofile.session import configure
+from traceprofile.sources.binary_files import read_binary_files
+from traceprofile.sources.mapping_files import parse_mapping
+from traceprofile.sources.outputs import read_issues, read_reports, write_issues, write_reports
+from traceprofile.sources.slice_model import read_slice_model, write_slice_model
+
+__all__ = [
+    "analyze", "configure", "parse_mapping", "read_binary_files", "read_issues", "read_reports",
+    "read_slice_model", "report_summary", "reports", "sample_profile", "trace_status",
+    "write_issues", "write_reports", "write_slice_model",
+]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from traceprofile.operators.issues import focus_window
 from traceprofile.operators.joins import join_small
 
+#: Tasks that may share the slices of one trace; its short window list goes to each.
+TRACE_SALTS = 256
+
 
 def windows_by_trace(issues: DataFrame, pad: str = "tenth") -> DataFrame:
     """One row per trace with all its focus windows (at most the diagnostic limits)."""
@@ -35,6 +38,7 @@ def slices_in_windows(slices: DataFrame, issues: DataFrame, pad: str = "tenth")
         windows_by_trace(issues, pad),
         ["trace_id"],
         spread_by="slice_id",
+        salts=TRACE_SALTS,
         inputs=(issues,),
     )
     end = F.col("ts") + F.col("dur")

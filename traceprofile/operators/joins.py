@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 BROADCAST_CONF = "spark.traceprofile.broadcastBytes"
 DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 
-#: Salts given to each key of a small side that is too large to broadcast.
-SALT_CONF = "spark.traceprofile.joinSalts"
-DEFAULT_SALTS = 16
-
 _SALT = "__salt"
 
 
@@ -41,26 +37,31 @@ def join_small(
     small: DataFrame,
     on: list[str],
     *,
-    spread_by: str,
+    spread_by: str | None = None,
     how: str = "inner",
+    salts: int = 1,
     inputs: tuple[DataFrame, ...] | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``small`` on equal keys; hot keys do not end in one task.
 
     Under the size limit the small side is broadcast and the large side is not
-    shuffled. Over it, each key of the small side is repeated once per salt and the
-    rows of the large side pick a salt by hashing ``spread_by`` (a column that differs
-    within a hot key); AQE splits what is still uneven.
+    shuffled. Over it both sides are shuffled, the small one is hashed rather than the
+    large one sorted, and AQE splits the partition of a hot key by its measured size.
+
+    AQE leaves a join alone when the next step groups by a superset of the join keys,
+    because it reuses their layout. Such callers pass ``salts``: each key of the small
+    side is repeated once per salt and a row of the large side picks its salt by hashing
+    ``spread_by``, a column that differs within a hot key.
     """
     spark = fact.sparkSession
     if fits_broadcast(spark, *(inputs or (small,))):
         return fact.join(F.broadcast(small), on, how)
-    salts = int(spark.conf.get(SALT_CONF, str(DEFAULT_SALTS)))
+    if salts == 1:
+        return fact.join(small.hint("shuffle_hash"), on, how)
     salted_fact = fact.withColumn(
         _SALT, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     )
     salted_small = small.withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    # hash the small side rather than sort the large one
     return salted_fact.join(salted_small.hint("shuffle_hash"), [*on, _SALT], how).drop(_SALT)

@@ -46,7 +46,7 @@ def main_tracks(tables: Tables, rule: str = "any") -> DataFrame:
 def join_tracks(slices: DataFrame, tracks: DataFrame, tables: Tables) -> DataFrame:
     """Attach per-track columns to slices; filter ``slices`` first, at the scan."""
     return join_small(
-        slices, tracks, ["trace_id", "track_id"], spread_by="id",
+        slices, tracks, ["trace_id", "track_id"],
         inputs=(tables["thread_track"], tables["thread"]),
     )
 

@@ -121,24 +121,23 @@ def inclusive_counts(samples: DataFrame, mapping: DataFrame) -> DataFrame:
     # and tells the true size of the part that is joined with them
     named = materialize(name_addresses(per_address, mapping), "named-addresses")
     per_name = named.groupBy("trace_id", "name").agg(
-        F.count(F.lit(1)).alias("addresses"),
+        F.count(F.lit(1)).alias("addresses"), F.min("addr").alias("lead"),
         F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"),
     )
-    single = per_name.filter(F.col("addresses") == 1).drop("addresses")
-    shared_names = per_name.filter(F.col("addresses") > 1).select("trace_id", "name")
-    shared = named.select("trace_id", "addr", "name").join(
-        shared_names, ["trace_id", "name"], "left_semi"
-    )
-    occurring = join_small(
-        occurrences, shared, ["trace_id", "addr"], spread_by="sample_ord", inputs=(named,)
-    )
+    single = per_name.filter(F.col("addresses") == 1)
+    several = per_name.filter(F.col("addresses") > 1).select("trace_id", "name", "lead")
+    # names are stood for by one of their addresses while occurrences are shuffled
+    leads = named.join(several, ["trace_id", "name"]).select("trace_id", "addr", "lead")
     regrouped = (
-        occurring.groupBy("trace_id", "name", "sample_ord")
+        join_small(occurrences, leads, ["trace_id", "addr"], inputs=(named,))
+        .groupBy("trace_id", "lead", "sample_ord")
         .agg(F.min("place").alias("place"))
-        .groupBy("trace_id", "name")
+        .groupBy("trace_id", "lead")
         .agg(F.count(F.lit(1)).alias("count"), F.min("place").alias("first_seen"))
+        .join(several, ["trace_id", "lead"])
     )
-    return single.unionByName(regrouped)
+    columns = ("trace_id", "name", "count", "first_seen")
+    return single.select(*columns).unionByName(regrouped.select(*columns))
 
 
 def inclusive_time(

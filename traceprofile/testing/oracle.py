@@ -301,7 +301,7 @@ mapping AS (
     ELSE 'void com.shop.' || replace(p_name, ' ', '.') || '(' || p_brand || ')' END AS name
   FROM part WHERE p_partkey % 10 <> 0)"""
 
-_FRAMES = f"""{_SAMPLES},
+_NAMED = """
 flat AS (SELECT trace_id, sample_ord, unnest(frames) addr,
                 generate_subscripts(frames, 1) - 1 frame_pos FROM samples),
 frames_named AS (
@@ -309,10 +309,18 @@ frames_named AS (
          coalesce(m.name, 'native:0x' || lower(to_hex(f.addr))) AS name
   FROM flat f LEFT JOIN mapping m USING (addr)),
 totals AS (SELECT trace_id, count(*) sample_count FROM samples GROUP BY trace_id)"""
+_FRAMES = f"{_SAMPLES}, {_NAMED}"
 
+# samples that survive the encoded files, each file a trace of its own
+_FILE_FRAMES = f"""{_SAMPLES},
+file_samples AS (SELECT trace_id || '-' || block trace_id, sample_ord, frames FROM samples
+                 WHERE block % 7 <> 3 AND block % 9 <> 4), {_NAMED}""".replace(
+    "1) - 1 frame_pos FROM samples", "1) - 1 frame_pos FROM file_samples"
+).replace("sample_count FROM samples", "sample_count FROM file_samples")
 
-def _methods(where: str, extra: str = "") -> str:
-    return _with(f"""{_FRAMES},
+
+def _methods(where: str, extra: str = "", frames: str = _FRAMES) -> str:
+    return _with(f"""{frames},
 per_sample AS (SELECT trace_id, sample_ord, name, min(frame_pos) p FROM frames_named
                WHERE {where} GROUP BY ALL),
 per_name AS (SELECT trace_id, name, count(*) "count", min(sample_ord * 1000 + p) seen
@@ -458,6 +466,9 @@ FROM mapping"""),
         "self_time": _methods("frame_pos = 0"),
         "self_time_no_runtime": _methods(f"frame_pos = 0 AND name <> '{_RUNTIME}'"),
         "self_time_est_ms": _methods("frame_pos = 0", ", \"count\" * 25000 / 1000 est_ms"),
+        "self_time_from_files": _methods(
+            "frame_pos = 0", ", \"count\" * 25000 / 1000 est_ms", _FILE_FRAMES
+        ),
         "inclusive_time": _methods("true"),
         "hot_stacks": _with(f"""{_FRAMES},
 heads AS (SELECT trace_id, sample_ord, list(name ORDER BY frame_pos) names FROM frames_named

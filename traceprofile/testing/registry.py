@@ -18,6 +18,7 @@ from traceprofile.operators.context import issue_context
 from traceprofile.operators.main_thread import SLICE_COLUMNS, main_thread_slices
 from traceprofile.operators.topk import collapse_duplicates
 from traceprofile.plans import analysis, report
+from traceprofile.plans.profile import sample_profile
 from traceprofile.session import new_shared_path
 from traceprofile.sources import mapping_files, outputs, trace_files
 from traceprofile.testing import bindings as B
@@ -235,6 +236,9 @@ def queries() -> dict[str, Query]:
         "self_time": _on_samples(S.self_time),
         "self_time_no_runtime": _on_samples(lambda s, m: S.self_time(s, m, skip_runtime=True)),
         "self_time_est_ms": _on_samples(lambda s, m: S.with_estimated_ms(S.self_time(s, m))),
+        "self_time_from_files": lambda spark, sf_dir: sample_profile(
+            B.trace_files(spark, sf_dir), B.mapping(spark, sf_dir)
+        )["self_time"],
         "inclusive_time": _on_samples(S.inclusive_time),
         "hot_stacks": _on_samples(S.hot_stacks),
     }
