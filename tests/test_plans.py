@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from tests.compare import force_shuffles
 from traceprofile.functions.predicates import ISSUE_THRESHOLD_NS
 from traceprofile.operators import callstack, diagnostics, joins
+from traceprofile.session import materialize
 from traceprofile.testing import bindings
 
 SF = "/root/testdata/sf0.001"
@@ -57,10 +58,10 @@ def test_counts_are_combined_before_the_shuffle(tables):
 def test_large_walks_share_one_exchange_of_the_slices(spark):
     session = spark.newSession()
     force_shuffles(session)
-    slices = bindings.slice_model(session, SF)["slice"]
+    slices = bindings.slice_model(session, "/root/testdata/sf0.01")["slice"]
     slices = session.read.schema(slices.schema).parquet(*slices.inputFiles())
-    seeds = slices.filter("dur > 500000000").select("trace_id", F.col("id").alias("slice_id"))
-    df = callstack.ancestor_paths(seeds, slices)
+    seeds = slices.filter("dur > 600000000").select("trace_id", F.col("id").alias("slice_id"))
+    df = callstack.ancestor_paths(materialize(seeds, "seeds"), slices)
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert text.count("ReusedExchange") >= callstack.MAX_PARENTS - 1

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from traceprofile.functions.predicates import ROOT_PARENT
 from traceprofile.operators.diagnostics import longest_slice_by_keyword
-from traceprofile.operators.joins import fits_broadcast
+from traceprofile.operators.joins import estimated_bytes, fits_broadcast
 
 # Depth limit and the marks of the text form.
 MAX_PARENTS = 25
 BOTTLENECK_MARK = "          ← 瓶颈"
 TRUNCATED_MARK = "... (调用栈已截断)"
 
+#: Seeds are few when the parent pointers are this many times their size.
+FEW_SEEDS = 8
+
 
 def ancestor_paths(
     seeds: DataFrame, slices: DataFrame, max_parents: int = MAX_PARENTS
@@ -26,22 +29,28 @@ def ancestor_paths(
     walk is one plan of equal joins between the shrinking set of open walks and the
     ``(trace_id, id, parent_id)`` projection. A small projection is broadcast once for
     all levels. A large one is shuffled once by ``(trace_id, id)``, a key no two slices
-    share, and every level reuses that exchange, hashing only the open walks; it is
-    never sorted.
+    share, and every level reuses that exchange. When the seeds are few beside it, their
+    walks are hashed and the projection is never sorted; else both sides are merged in
+    order, which spills, and AQE splits the key of a caller that many walks share.
     """
     spark = slices.sparkSession
     edges = slices.select(
         "trace_id", "id", F.when(F.col("parent_id") != ROOT_PARENT, F.col("parent_id")).alias("up")
     )
-    hint = "BROADCAST(e)" if fits_broadcast(spark, edges) else "SHUFFLE_HASH(w)"
+    if fits_broadcast(spark, edges):
+        hint = "/*+ BROADCAST(e) */"
+    elif estimated_bytes(seeds) * FEW_SEEDS <= estimated_bytes(edges):
+        hint = "/*+ SHUFFLE_HASH(w) */"
+    else:
+        hint = ""
     # One statement, so the chain is analysed once. An ended walk looks up a key of its
     # own, so ended walks spread over all tasks instead of meeting at NULL.
-    walk = f"""SELECT /*+ {hint} */ w.trace_id, w.slice_id, e.id AS id0, e.up AS up0
+    walk = f"""SELECT {hint} w.trace_id, w.slice_id, e.id AS id0, e.up AS up0
       FROM {{seeds}} w JOIN {{edges}} e ON e.trace_id = w.trace_id AND e.id = w.slice_id"""
     for level in range(1, max_parents + 1):
         last = f"up{level - 1}"
         ids = ", ".join(f"w.id{i}" for i in range(level))
-        walk = f"""SELECT /*+ {hint} */ w.trace_id, w.slice_id, {ids},
+        walk = f"""SELECT {hint} w.trace_id, w.slice_id, {ids},
             e.id AS id{level}, e.up AS up{level}
           FROM ({walk}) w LEFT JOIN {{edges}} e
             ON e.trace_id = w.trace_id AND e.id = coalesce(w.{last}, -2 - w.slice_id)

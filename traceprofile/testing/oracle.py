@@ -390,8 +390,8 @@ UNION SELECT trace_id, id FROM main_thread_io), {_stack('all_seeds')}""", _STACK
 SELECT trace_id, id slice_id FROM slice WHERE name ILIKE '%submit%'
 QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY dur DESC, id) = 1), {_stack('kw')}""",
                                        _STACK_SELECT, True),
-        "call_stack_text": _with(f"""{_SLICE}, deep AS (
-SELECT trace_id, id slice_id FROM slice WHERE dur > 500000000), {_stack('deep')}""",
+        "call_stack_text": _with(f"""{_SLICE}, every AS (
+SELECT trace_id, id slice_id FROM slice), {_stack('every')}""",
                                  _STACK_SELECT, True),
         "severity": _with(_SLICE, f"""
 SELECT trace_id, id, {_SEVERITY.format('dur / 1e6')} severity,

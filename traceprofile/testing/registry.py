@@ -19,7 +19,7 @@ from traceprofile.operators.main_thread import SLICE_COLUMNS, main_thread_slices
 from traceprofile.operators.topk import collapse_duplicates
 from traceprofile.plans import analysis, report
 from traceprofile.plans.profile import sample_profile
-from traceprofile.session import new_shared_path
+from traceprofile.session import materialize, new_shared_path
 from traceprofile.sources import mapping_files, outputs, trace_files
 from traceprofile.testing import bindings as B
 
@@ -29,7 +29,6 @@ Tables = dict[str, DataFrame]
 # A fixed report time keeps results repeatable.
 AS_OF = "2024-01-15 10:30:45"
 KEYWORD = "submit"
-DEEP_NS = 500_000_000
 
 
 def _as_of():
@@ -83,9 +82,14 @@ def _focus_windows(tables: Tables) -> DataFrame:
     ])
 
 
-def _deep_stacks(tables: Tables) -> DataFrame:
-    seeds = tables["slice"].filter(F.col("dur") > DEEP_NS)
-    return C.call_stacks(seeds.select("trace_id", F.col("id").alias("slice_id")), tables["slice"])
+def _seed_stacks(tables: Tables) -> DataFrame:
+    seeds = materialize(analysis.stack_seeds(tables), "seeds")
+    return C.call_stacks(seeds, tables["slice"])
+
+
+def _all_stacks(tables: Tables) -> DataFrame:
+    slices = tables["slice"]
+    return C.call_stacks(slices.select("trace_id", F.col("id").alias("slice_id")), slices)
 
 
 def _issues_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,13 +201,11 @@ def queries() -> dict[str, Query]:
         "diagnostic_counts": _on_slices(lambda t: D.diagnostic_counts(D.run_diagnostics(t)[0])),
         # call stacks
         "stack_seeds": _on_slices(analysis.stack_seeds),
-        "call_stacks": _on_slices(
-            lambda t: _stack_rows(C.call_stacks(analysis.stack_seeds(t), t["slice"]))
-        ),
+        "call_stacks": _on_slices(lambda t: _stack_rows(_seed_stacks(t))),
         "call_stack_by_keyword": _on_slices(
             lambda t: _stack_rows(C.call_stacks_by_keyword(t["slice"], KEYWORD))
         ),
-        "call_stack_text": _on_slices(lambda t: _stack_rows(_deep_stacks(t))),
+        "call_stack_text": _on_slices(lambda t: _stack_rows(_all_stacks(t))),
         # issues
         "severity": _on_slices(_severity),
         "issue_text": _on_slices(_issue_text),
