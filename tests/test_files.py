@@ -110,10 +110,10 @@ def test_files_without_the_signature_are_reported(files):
 
 
 def test_trace_name_comes_from_the_path(spark, tmp_path):
-    inner = tmp_path / "xtrace_abc123_huawei"
+    inner = tmp_path / "strace_abc123_huawei"
     inner.mkdir()
     (inner / "sampling").write_bytes(CASES["good"])
-    assert binary_files.read_binary_files(spark, str(tmp_path)).first().trace_id == "xtrace_abc123_huawei"
+    assert binary_files.read_binary_files(spark, str(tmp_path)).first().trace_id == "strace_abc123_huawei"
 
 
 def symbol(addr, name):
@@ -196,7 +196,7 @@ def test_slice_model_at_rest(spark, tmp_path):
 
 def test_profile_from_files_with_a_map_per_trace(spark, tmp_path):
     head = struct.pack("<QII", 0, 1, 2)
-    for name, leaf in (("xtrace_a1_huawei", b"void A.x()"), ("xtrace_b2_vivo", b"void B.y()")):
+    for name, leaf in (("strace_a1_huawei", b"void A.x()"), ("strace_b2_vivo", b"void B.y()")):
         (tmp_path / name).mkdir()
         (tmp_path / name / "sampling").write_bytes(header() + record([5, 6]) * 3 + record([6]))
         (tmp_path / name / "sampling-mapping").write_bytes(head + symbol(5, leaf))
@@ -206,10 +206,10 @@ def test_profile_from_files_with_a_map_per_trace(spark, tmp_path):
     got = {(r.trace_id, r.pos): (r.short_name, r["count"], r.percent, r.est_ms)
            for r in reports["self_time"].collect()}
     assert got == {
-        ("xtrace_a1_huawei", 1): ("void A.x", 3, 75.0, 75.0),
-        ("xtrace_a1_huawei", 2): ("native:0x6", 1, 25.0, 25.0),
-        ("xtrace_b2_vivo", 1): ("void B.y", 3, 75.0, 75.0),
-        ("xtrace_b2_vivo", 2): ("native:0x6", 1, 25.0, 25.0),
+        ("strace_a1_huawei", 1): ("void A.x", 3, 75.0, 75.0),
+        ("strace_a1_huawei", 2): ("native:0x6", 1, 25.0, 25.0),
+        ("strace_b2_vivo", 1): ("void B.y", 3, 75.0, 75.0),
+        ("strace_b2_vivo", 2): ("native:0x6", 1, 25.0, 25.0),
     }
     assert {r.name: r["count"] for r in reports["inclusive_time"].collect()} == {
         "void A.x()": 3, "void B.y()": 3, "native:0x6": 4

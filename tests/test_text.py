@@ -59,7 +59,7 @@ def test_report_file_names(spark):
 
 
 def test_trace_name_from_path_or_time(spark):
-    rows = [("https://h/x/xtrace_abc123_huawei?k=1",), ("https://h/x/file.bin",)]
+    rows = [("https://h/x/strace_abc123_huawei?k=1",), ("https://h/x/file.bin",)]
     as_of = F.expr("TIMESTAMP_NTZ '2024-03-05 08:05:03'")
     got = _values(spark, rows, "p string", text.trace_id_from_path(F.col("p"), as_of))
-    assert got == [("xtrace_abc123_huawei",), ("analysis_20240305_080503",)]
+    assert got == [("strace_abc123_huawei",), ("analysis_20240305_080503",)]
