@@ -15,12 +15,30 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.licenses import license_report
+
+    return license_report(_documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from traceprofile.llm.mixing import mix
 
     return mix(_documents(spark, sf_dir)).drop("source")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.html_text import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(_documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from traceprofile.llm.line_dedup import line_report
 
@@ -29,7 +47,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_license_scan": op4_license_scan,
         "op6_mix_sources": op6_mix_sources,
+        "op7_html_text": op7_html_text,
+        "op8_fingerprints": op8_fingerprints,
         "op10_line_dedup": op10_line_dedup,
     }
 
