@@ -92,8 +92,13 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     The rows should be partitioned by a part of the keys already: then nothing moves.
     """
     table = gamma_quantiles()
-    quantile, log_quantile = F.lit(table), F.lit(np.log(table))
-    terms = weighted_terms(texts, keys)
+    one = texts.sparkSession.range(1)
+    # the tables are scalar subqueries, so that the plan holds them once, not per sample
+    terms = weighted_terms(texts, keys).select(
+        "*", one.select(F.lit(table)).scalar().alias("quantile"),
+        one.select(F.lit(np.log(table))).scalar().alias("log_quantile"),
+    )
+    quantile, log_quantile = F.col("quantile"), F.col("log_quantile")
     minima = terms.groupBy(*keys).agg(*[
         F.min(F.when(F.col("term").isNotNull(), _sample(k, quantile, log_quantile))).alias(f"m{k}")
         for k in range(samples)

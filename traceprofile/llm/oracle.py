@@ -75,6 +75,56 @@ text AS (
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM text JOIN doc USING (r)
 """
 
+_SUBSTRINGS = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS p, w FROM doc WHERE len(w) >= 35),
+keyed AS (
+  SELECT r, p, array_to_string(w[p:p + 34], ' ') AS k FROM win),
+hit AS (
+  SELECT r, p FROM keyed WHERE k IN (SELECT k FROM keyed GROUP BY k HAVING count(*) > 1)),
+gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM hit),
+word AS (
+  SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM doc),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)
+"""
+
+_SUFFIXES = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h,
+         octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents),
+win AS (
+  SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS k
+  FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS p FROM doc WHERE n >= 50)),
+hit AS (
+  SELECT r, p FROM (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY k) AS least FROM win)
+  WHERE doc_id > least),
+gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 50)) AS i FROM hit),
+span AS (
+  SELECT r, count(*) AS n_removed, count(*) FILTER (before IS DISTINCT FROM i - 1) AS n_spans
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM gone) GROUP BY r),
+kept AS (
+  SELECT r, string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i) AS kept
+  FROM (SELECT r, h, unnest(range(0, n)) AS i FROM doc) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM doc LEFT JOIN span USING (r) LEFT JOIN kept USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": _MIX, "op10_line_dedup": _LINES}
+    return {
+        "op3_suffix_dedup": _SUFFIXES,
+        "op6_mix_sources": _MIX,
+        "op9_substring_dedup": _SUBSTRINGS,
+        "op10_line_dedup": _LINES,
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from traceprofile.llm import oracle
 
@@ -15,12 +16,35 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _digested(kept: DataFrame, column: str) -> DataFrame:
+    digest = F.sha2(F.col(column).cast("binary"), 256).alias("kept_sha256")
+    return kept.select(*[c for c in kept.columns if c != column], digest)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.langid import language_report
+
+    return language_report(_documents(spark, sf_dir))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.suffix_dedup import remove_earlier
+
+    return _digested(remove_earlier(_documents(spark, sf_dir)), "kept")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from traceprofile.llm.licenses import license_report
 
     return license_report(_documents(spark, sf_dir))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.jaccard_join import link_report
+
+    return link_report(_documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from traceprofile.llm.mixing import mix
 
@@ -39,6 +63,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(_documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.substring_dedup import remove_repeats
+
+    return _digested(remove_repeats(_documents(spark, sf_dir)), "text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from traceprofile.llm.line_dedup import line_report
 
@@ -47,10 +77,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_license_scan": op4_license_scan,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
         "op7_html_text": op7_html_text,
         "op8_fingerprints": op8_fingerprints,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
 
