@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from traceprofile.llm.decontaminate import drop_leaked
+from traceprofile.llm.jaccard_join import keep_one_of_each
+from traceprofile.llm.langid import keep_identified
 from traceprofile.llm.line_dedup import dedup_lines
 from traceprofile.llm.mixing import mix
 from traceprofile.session import materialize
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go."""
+    return keep_identified(docs)
+
+
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in three documents or more stay in the last of them only."""
     return dedup_lines(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the one with the smallest id stays."""
+    return keep_one_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes; documents it leaves out go."""
-    return mix(docs)
+    """The documents that the mix takes, and how many words of each."""
+    return mix(docs).filter(F.col("taken") > 0)
 
 
 STAGES = [
+    ("language_id", identify_language),
     ("line_dedup", drop_shared_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", drop_benchmark_leaks),
     ("mix_sources", mix_sources),
 ]
 

@@ -13,8 +13,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import zstandard
 
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[32, 9, 10, 11, 12, 13]] = True
+def _table(members: set[int]) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(members)] = True
+    return table
+
+
+#: Bytes between words: white space, or everything in ASCII but letters and digits.
+SPACES = _table({32, 9, 10, 11, 12, 13})
+NOT_LETTERS = _table({c for c in range(128) if not chr(c).isalnum()})
 
 #: Odd multipliers and shifts of the 64-bit finaliser (fixed values).
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -54,40 +61,56 @@ def chunks(texts: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield first, len(texts)
 
 
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    steps = np.full(n, base, dtype=np.uint64)
-    if n:
+    """1, base, base^2 and so on, ``n`` of them; tables up to a chunk's size are kept."""
+    table = _known_powers.get(base)
+    if table is None or len(table) < n:
+        steps = np.full(max(n, CHUNK_BYTES), base, dtype=np.uint64)
         steps[0] = 1
-    return np.multiply.accumulate(steps)
+        table = np.multiply.accumulate(steps)
+        if n <= CHUNK_BYTES:
+            _known_powers[base] = table
+    return table[:n]
 
 
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-def word_hashes(texts: Sequence[bytes], lower: bool = False):
+def word_hashes(texts: Sequence[bytes], lower: bool = False, between: np.ndarray = SPACES):
     """``(hashes, starts, ends, first)`` of the words of texts.
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D. ``starts`` and ``ends`` are
-    places in the joined bytes; words of text ``i`` are ``first[i]:first[i + 1]``.
+    Words are runs of bytes that are not ``between`` words; ``lower`` lowers A-Z.
+    ``starts`` and ``ends`` are places in the texts joined by one space; words of text
+    ``i`` are ``first[i]:first[i + 1]``. Bytes are hashed in slices of bounded size.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     if lower:
-        upper = (joined >= 65) & (joined <= 90)
-        joined = joined + upper.astype(np.uint8) * np.uint8(32)
+        joined = joined + ((joined >= 65) & (joined <= 90)).astype(np.uint8) * np.uint8(32)
     inside = np.zeros(len(joined) + 1, dtype=bool)
-    np.logical_not(_SPACES[joined], out=inside[1:])
+    np.logical_not(between[joined], out=inside[1:])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    powers = _powers(len(joined), _BASE)
-    sums = np.zeros(len(joined) + 1, dtype=np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-    inverse = _powers(len(joined), _INVERSE)
-    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK_BYTES)))
+        low, high = starts[i], ends[j - 1]
+        hashes[i:j] = _hash_words(joined[low:high], starts[i:j] - low, ends[i:j] - low)
+        i = j
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data), _BASE), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _powers(len(data), _INVERSE)[starts])
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` values from each place on; shorter by ``n - 1``."""
     if len(hashes) < n:

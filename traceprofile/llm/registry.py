@@ -27,6 +27,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_documents(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.decontaminate import find_leaks
+
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from traceprofile.llm.suffix_dedup import remove_earlier
 
@@ -78,6 +84,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_decontaminate": op2_decontaminate,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_license_scan": op4_license_scan,
         "op5_jaccard_join": op5_jaccard_join,
