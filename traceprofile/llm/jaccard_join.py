@@ -60,6 +60,10 @@ SPARE = 1.25
 HOT = 64
 #: Parity bits for each shingle of the band's largest set.
 PARITY_BITS = 4
+#: Bytes of text whose blocks are sent as one run.
+BATCH_BYTES = 8 << 20
+#: Pairs of classes looked at at once.
+_PAIRS = 1 << 19
 _TWO = np.uint64(2)
 #: The lowest bits of a join key hold the band.
 _BAND_BITS = np.uint64(2**16 - 1)
@@ -161,37 +165,39 @@ def members(docs: DataFrame) -> DataFrame:
 
 def _sent_keys(docs: DataFrame, parts: int) -> DataFrame:
     """Compressed runs of ``(key, band, class)`` by part of the key range."""
+    def runs(texts: list[bytes]) -> pa.Table:
+        seen: dict[int, int] = {}
+        keys, owners = [], []
+        for shingles in shingle_sets(texts):
+            cls = class_of(shingles) if len(shingles) else None
+            if cls is None or cls in seen:
+                continue
+            seen[cls] = len(seen)
+            for band in bands_of(len(shingles)):
+                found = block_keys(shingles, band)
+                keys.append(found & ~_BAND_BITS | np.uint64(band))
+                owners.append(np.full(len(found), seen[cls], dtype=np.uint32))
+        if not keys:
+            return B.key_rows(np.zeros(0), 0, [])
+        classes = np.array(list(seen), dtype=np.int64)
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        cuts = np.concatenate([[0], np.searchsorted(key, B.places(parts)), [len(key)]])
+        full = np.flatnonzero(np.diff(cuts))
+        blobs = []
+        for i in full:
+            part = slice(cuts[i], cuts[i + 1])
+            used, place = np.unique(owner[part], return_inverse=True)
+            place = place.astype(np.uint16 if len(used) < 2**16 else np.uint32)
+            blobs.append(H.pack(key[part], place, classes[used]))
+        return B.key_rows(full, 0, blobs)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, int] = {}
-            keys, owners = [], []
-            for shingles in shingle_sets(batch.column("text").to_pylist()):
-                if not len(shingles):
-                    continue
-                cls = class_of(shingles)
-                if cls in seen:
-                    continue
-                seen[cls] = len(seen)
-                for band in bands_of(len(shingles)):
-                    found = block_keys(shingles, band)
-                    keys.append(found & ~_BAND_BITS | np.uint64(band))
-                    owners.append(np.full(len(found), seen[cls], dtype=np.uint32))
-            if not keys:
-                continue
-            classes = np.array(list(seen), dtype=np.int64)
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(key)
-            key, owner = key[order], owner[order]
-            cuts = np.concatenate([[0], np.searchsorted(key, B.places(parts)), [len(key)]])
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = []
-            for i in full:
-                part = slice(cuts[i], cuts[i + 1])
-                used, place = np.unique(owner[part], return_inverse=True)
-                place = place.astype(np.uint16 if len(used) < 2**16 else np.uint32)
-                blobs.append(H.pack(key[part], place, classes[used]))
-            for row in B.key_rows(full, 0, blobs).select(["part", "blob"]).to_batches():
-                yield row
+            texts = batch.column("text").to_pylist()
+            for first, end in H.chunks(texts, BATCH_BYTES):
+                yield from runs(texts[first:end]).select(["part", "blob"]).to_batches()
 
     return _binary_texts(docs).select("text").mapInArrow(work, "part int, blob binary")
 
@@ -233,8 +239,6 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     It is broadcast if its files are small; the texts are then not shuffled. A repeated
     row is passed on once per task.
     """
-    small = F.broadcast(wanted) if fits_broadcast(docs.sparkSession, wanted) else wanted
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -242,7 +246,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             fresh = [not (c in seen or seen.add(c)) for c in classes]
             yield batch.filter(pa.array(fresh, pa.bool_()))
 
-    rows = _binary_texts(docs).join(small, ["did", "rid"]).select("class", "text")
+    rows = _binary_texts(docs).join(_small(wanted), ["did", "rid"]).select("class", "text")
     return rows.mapInArrow(work, "class long, text binary")
 
 
@@ -301,14 +305,27 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("class", "label")
 
 
-def _open_pairs(blocks: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame,
-                first_of: DataFrame) -> DataFrame:
-    """Pairs of classes that share a block, lie in different components and may link."""
-    labelled = blocks.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = labelled.join(mixed.filter("low < high").select("key"), "key").select(
-        "key", "band", "class", "label", "n"
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its files are small."""
+    return F.broadcast(table) if fits_broadcast(table.sparkSession, table) else table
+
+
+def _open_pairs(blocks: DataFrame, hubs: DataFrame, labels: DataFrame, sizes: DataFrame,
+                docs: DataFrame, first_of: DataFrame) -> DataFrame:
+    """Pairs of classes that share a block, lie in different components and may link.
+
+    A block is open if one of its classes is in another component than its hub.
+    """
+    known = _small(labels)
+    of_hub = labels.select(F.col("class").alias("hub"), F.col("label").alias("hub_label"))
+    apart = materialize(
+        hubs.join(known, "class", "left").join(_small(of_hub), "hub", "left")
+        .filter(F.coalesce("label", "class") != F.coalesce("hub_label", "hub"))
+        .select("class", "hub"), "apart"
     )
+    keys = materialize(blocks.join(_small(apart), ["class", "hub"]).select("key").distinct(), "open-keys")
+    rows = blocks.join(_small(keys), "key").select("key", "band", "class", "n")
+    rows = rows.join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
     rows = materialize(rows.join(sizes, "class"), "open-blocks")
     # who can do without common blocks: enough other filled blocks in the band
     used = materialize(
@@ -319,14 +336,15 @@ def _open_pairs(blocks: DataFrame, labels: DataFrame, sizes: DataFrame, docs: Da
     rows = rows.join(sketches, ["class", "band"]).join(common, ["class", "band"], "left").filter(
         (F.col("n") <= HOT) | (F.col("reserve") < F.coalesce("n_common", F.lit(0)))
     )
-    return rows.select("key", "class", "label", "n_shingles", "parity", "most").groupBy("key").applyInArrow(
-        _pairs_in_block, "a long, b long"
-    ).distinct()
+    spread = F.pmod(F.xxhash64("key"), F.lit(4 * B.n_parts(docs.sparkSession)))
+    return rows.select(
+        "key", "band", "class", "label", "n_shingles", "parity", spread.alias("group")
+    ).groupBy("group").applyInArrow(_pairs_in_blocks, "a long, b long").distinct()
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """``(class, band, reserve, most, parity)``: filled blocks beyond those needed, the most
-    a pair may differ in, and the parity bits of each set in its bands."""
+    """``(class, band, reserve, parity)``: filled blocks beyond those needed and the parity
+    bits of each set in its bands."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -334,37 +352,76 @@ def _sketches(texts: DataFrame) -> DataFrame:
             for cls, shingles in zip(batch.column("class").to_pylist(), sets):
                 for band in bands_of(len(shingles)):
                     most = most_different(band)
-                    out.append((cls, band, len(sketch(shingles, band)[0]) - most - 1, most,
+                    out.append((cls, band, len(sketch(shingles, band)[0]) - most - 1,
                                 parity_bits(shingles, band)))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["class", "band", "reserve", "most", "parity"],
+                names=["class", "band", "reserve", "parity"],
             )
 
-    return texts.mapInArrow(work, "class long, band int, reserve int, most int, parity binary")
-
-
-def _pairs_in_block(table: pa.Table) -> pa.Table:
-    """Pairs of one block whose sizes and parity bits allow a link, row by row of the block."""
-    cls, label = table.column("class").to_numpy(), table.column("label").to_numpy()
-    size = table.column("n_shingles").to_numpy()
-    bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(cls), -1)
-    most = int(table.column("most")[0].as_py())
-    order = np.argsort(size, kind="stable")
-    cls, label, size, bits = cls[order], label[order], size[order], bits[order]
-    low, high = [], []
-    for i in range(len(cls) - 1):
-        end = np.searchsorted(size, size[i] * 100 // PERCENT, side="right")
-        near = slice(i + 1, end)
-        bound = np.minimum(most, (size[i] + size[near]) * (100 - PERCENT) // (100 + PERCENT))
-        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1)
-        hit = np.flatnonzero((apart <= bound) & (label[near] != label[i])) + i + 1
-        low.append(np.minimum(cls[hit], cls[i]))
-        high.append(np.maximum(cls[hit], cls[i]))
-    none = np.zeros(0, dtype=np.int64)
-    return pa.table({"a": pa.array(np.concatenate([none, *high])), "b": pa.array(np.concatenate([none, *low]))})
+    return texts.mapInArrow(work, "class long, band int, reserve int, parity binary")
+
+
+def _pairs_in_blocks(table: pa.Table) -> pa.Table:
+    """Pairs of one block whose sizes and parity bits allow a link, for many blocks.
+
+    Within a block rows stand in the order of their size, so each row is compared with the
+    rows after it up to the largest size that may link; pairs are made and tested in runs
+    of bounded number.
+    """
+    key, band, cls, label, size = (
+        table.column(c).to_numpy() for c in ("key", "band", "class", "label", "n_shingles")
+    )
+    parity = table.column("parity").combine_chunks()
+    order = np.lexsort((size, key))
+    key, band, cls, label, size = (c[order] for c in (key, band, cls, label, size))
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+    # rank of (block, size) makes the largest size that may link a place in one array
+    place = np.arange(len(key))
+    stop = np.empty(len(key), dtype=np.int64)
+    for i, j in zip(first, np.append(first[1:], len(key))):
+        stop[i:j] = i + np.searchsorted(size[i:j], size[i:j] * 100 // PERCENT, side="right")
+    count = np.minimum(stop, end) - place - 1
+    low, high = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    total = np.cumsum(count)
+    i = 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + _PAIRS, side="right")))
+        left = np.repeat(place[i:j], count[i:j])
+        right = left + 1 + np.arange(len(left)) - np.repeat(
+            np.cumsum(count[i:j]) - count[i:j], count[i:j]
+        )
+        other = label[left] != label[right]
+        left, right = left[other], right[other]
+        for number in np.unique(band[left]):
+            of_band = band[left] == number
+            near = _near(parity, order, left[of_band], right[of_band], size, int(number))
+            low.append(np.minimum(cls[near[0]], cls[near[1]]))
+            high.append(np.maximum(cls[near[0]], cls[near[1]]))
+        i = j
+    both = np.unique(np.stack([np.concatenate(high), np.concatenate(low)]), axis=1)
+    return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+
+def _near(parity, order, left, right, size, band: int):
+    """Those of the pairs whose parity bits differ in no more places than linked sets may."""
+    rows, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    bits = np.frombuffer(
+        b"".join(parity.take(pa.array(order[rows])).to_pylist()), np.uint64
+    ).reshape(len(rows), -1)
+    most = np.minimum(
+        most_different(band), (size[left] + size[right]) * (100 - PERCENT) // (100 + PERCENT)
+    )
+    keep = np.zeros(len(left), dtype=bool)
+    step = max(1, (1 << 20) // bits.shape[1])
+    for i in range(0, len(left), step):
+        a, b = at[i:i + step][:len(left) - i], at[len(left) + i:len(left) + i + step]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        keep[i:i + step] = apart <= most[i:i + step]
+    return left[keep], right[keep]
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -382,14 +439,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     )
     sizes, ids = first_of.select("class", "n_shingles"), first_of.select("class", "did", "rid")
     blocks = materialize(shared_blocks(docs), "blocks")
-    hubs = blocks.filter("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("n"))
+    hubs = materialize(
+        blocks.filter("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("n")), "hubs"
+    )
     best = materialize(
         hubs.groupBy("class").agg(F.max(F.struct(F.col("n"), (-F.col("hub")).alias("hub"))).alias("best"))
-        .select(F.col("class").alias("a"), (-F.col("best.hub")).alias("b")), "hubs"
+        .select(F.col("class").alias("a"), (-F.col("best.hub")).alias("b")), "best-hubs"
     )
     links = _verified(docs, ids, best, "near")
     labels = components(links)
-    pairs = materialize(_open_pairs(blocks, labels, sizes, docs, ids), "open-pairs")
+    pairs = materialize(_open_pairs(blocks, hubs, labels, sizes, docs, ids), "open-pairs")
     more = _verified(docs, ids, pairs, "open")
     labels = components(links.union(more))
     grouped = known.join(labels, "class", "left").withColumn(
