@@ -20,7 +20,7 @@ from traceprofile.llm import common as C
 from traceprofile.llm import hashing as H
 
 #: Bytes of text in a block, about. A longer document is a block of its own at most.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 KEYS = "part int, block int, blob binary"
 
 
@@ -35,7 +35,8 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Parts of a key range: a few for each shuffle partition, to keep them small."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def rows_of(block: pa.Table) -> tuple[int, np.ndarray, list[bytes]]:

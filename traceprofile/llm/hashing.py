@@ -30,7 +30,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Base of the byte polynomial; odd, so that its powers can be inverted.
 _BASE = 0x2545F4914F6CDD1D
 #: Bytes hashed at once; keeps the working arrays small.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

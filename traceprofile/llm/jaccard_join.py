@@ -61,7 +61,7 @@ HOT = 64
 #: Parity bits for each shingle of the band's largest set.
 PARITY_BITS = 4
 #: Bytes of text whose blocks are sent as one run.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Pairs of classes looked at at once.
 _PAIRS = 1 << 19
 _TWO = np.uint64(2)
@@ -336,7 +336,7 @@ def _open_pairs(blocks: DataFrame, hubs: DataFrame, labels: DataFrame, sizes: Da
     rows = rows.join(sketches, ["class", "band"]).join(common, ["class", "band"], "left").filter(
         (F.col("n") <= HOT) | (F.col("reserve") < F.coalesce("n_common", F.lit(0)))
     )
-    spread = F.pmod(F.xxhash64("key"), F.lit(4 * B.n_parts(docs.sparkSession)))
+    spread = F.pmod(F.xxhash64("key"), F.lit(B.n_parts(docs.sparkSession)))
     return rows.select(
         "key", "band", "class", "label", "n_shingles", "parity", spread.alias("group")
     ).groupBy("group").applyInArrow(_pairs_in_blocks, "a long, b long").distinct()

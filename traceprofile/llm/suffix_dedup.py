@@ -43,7 +43,7 @@ LEAD = 16
 #: Documents looked at, and anchors taken from each, for the splitters.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 1000, 32
 #: Segments cut into suffixes at once.
-_BATCH = 1 << 15
+_BATCH = 1 << 13
 #: Bits of an anchor's key; more only matter for wrong candidates, which the sort drops.
 _KEY_BITS = np.uint64((2**64 - 1) ^ (2**14 - 1))
 
@@ -139,24 +139,15 @@ def _send(length: int, parts: int, splitters: list[bytes]):
             return B.key_rows(np.zeros(0), block, [])
         text, start, count, offset, data = (np.concatenate(c) for c in zip(*pieces))
         # equal segments of the block: only those of the smallest id can matter elsewhere
-        words = np.zeros((len(data), -(-width // 8) + 1), dtype=np.uint64)
-        words.view(np.uint8)[:, :width] = data
-        words[:, -1] = count * 256 + offset
-        whole = H.ngrams_apart(words.T.ravel(), words.shape[1], len(words), len(words))
-        order = np.lexsort((dids[text], whole))
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = whole[order[1:]] == whole[order[:-1]]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        leader = np.empty(len(order), dtype=np.int64)
-        leader[order] = order[head]
-        decided = (words == words[leader]).all(axis=1) & (dids[text] > dids[text[leader]])
-        full = (np.left_shift(np.uint64(1), count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-        blobs = [_result(text[decided], start[decided], full[decided])]
+        leader = _leaders(data, dids[text], count, offset)
+        decided = dids[text] > dids[text[leader]]
+        blobs = [_result(text[decided], start[decided], _all_bits(count[decided]))]
         part = [-1 - block % parts]
         go = np.flatnonzero(~decided)
         lead = _leads(data[go], offset[go])
         to = np.searchsorted(bounds, lead, side="right")
-        go = go[np.lexsort((lead, to))]
+        # neighbours in the order of suffixes compress well
+        go = go[np.lexsort((lead.view(">u8").reshape(-1, LEAD // 8)[:, 0], to))]
         to = np.sort(to)
         cuts = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else np.zeros(0, np.int64)
         for i, j in zip(cuts, np.append(cuts[1:], len(to))):
@@ -172,18 +163,40 @@ def _send(length: int, parts: int, splitters: list[bytes]):
     return work
 
 
+def _all_bits(count: np.ndarray) -> np.ndarray:
+    return (np.left_shift(1, count.astype(np.int64)) - 1).astype(np.uint32)
+
+
+def _leaders(data: np.ndarray, did: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """For each segment the place of an equal one with the smallest id."""
+    words = np.zeros((len(data), -(-data.shape[1] // 8) + 1), dtype=np.uint64)
+    words.view(np.uint8)[:, :data.shape[1]] = data
+    words[:, -1] = count * 256 + offset
+    whole = H.ngrams_apart(words.T.ravel(), words.shape[1], len(words), len(words))
+    order = np.lexsort((did, whole))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = whole[order[1:]] != whole[order[:-1]]
+    leader = np.empty(len(order), dtype=np.int64)
+    leader[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    wrong = np.flatnonzero(leader != np.arange(len(leader)))
+    wrong = wrong[(words[wrong] != words[leader[wrong]]).any(axis=1)]
+    leader[wrong] = wrong  # equal hashes of unequal segments
+    return leader
+
+
 def _result(text: np.ndarray, start: np.ndarray, bits: np.ndarray) -> bytes:
     return H.pack(text.astype(np.uint32), start.astype(np.uint32), bits.astype(np.uint32))
 
 
-def equal_groups(characters: np.ndarray) -> np.ndarray:
+def equal_groups(group: np.ndarray, characters: np.ndarray) -> np.ndarray:
     """A number per row that is equal for equal rows only, by multikey sorting.
 
-    Rows are ordered by their first 64-bit character; those that tie are ordered by the
-    next one, and so on. Rows that no longer tie are not looked at again.
+    ``group`` is equal for rows that may be equal. Rows of a group are ordered by their
+    first 64-bit character; those that tie are ordered by the next one, and so on. Rows
+    that no longer tie are not looked at again.
     """
-    group = np.zeros(len(characters), dtype=np.int64)
-    active, used = np.arange(len(characters)), 0
+    _, group, count = np.unique(group, return_inverse=True, return_counts=True)
+    active, used = np.flatnonzero(count[group] > 1), len(count)
     for column in range(characters.shape[1]):
         if not len(active):
             break
@@ -200,13 +213,17 @@ def equal_groups(characters: np.ndarray) -> np.ndarray:
     return group
 
 
-def _decide(data: np.ndarray, did: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+def _decide(data: np.ndarray, did: np.ndarray, count: np.ndarray, offset: np.ndarray,
+            length: int) -> np.ndarray:
     """For each segment the bits of its suffixes that a smaller id also holds."""
     row = np.repeat(np.arange(len(count)), count)
     shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     suffix = np.zeros((len(row), -(-length // 8) * 8), dtype=np.uint8)
     suffix[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length, axis=1)[row, shift]
-    group = equal_groups(suffix.view(">u8"))
+    # equal suffixes hold the same anchor at the same place
+    anchor = H.byte_ngrams(data.ravel(), ANCHOR)[np.arange(len(data)) * data.shape[1] + offset]
+    may = anchor[row] + (offset[row] - shift).astype(np.uint64)
+    group = equal_groups(may, suffix.view(">u8"))
     owner = did[row]
     order = np.lexsort((owner, group))
     new = np.ones(len(order), dtype=bool)
@@ -231,20 +248,26 @@ def _bucket(length: int):
         block = np.repeat(blocks, [len(c[0]) for c in columns])
         data = np.zeros((len(did), width), dtype=np.uint8)
         data[np.arange(width) < (count + length - 1)[:, None]] = flat
+        # of equal segments one is looked at; those of larger ids lose all
+        leader = _leaders(data, did, count, offset)
+        bits = np.where(did > did[leader], _all_bits(count), 0).astype(np.uint32)
+        own = np.flatnonzero(leader == np.arange(len(leader)))
         # segments in the order of their anchors, so that batches end between anchors
-        at = offset[:, None] + np.arange(ANCHOR)
-        anchor = np.ascontiguousarray(np.take_along_axis(data, at, axis=1)).view(">u8")
+        at = offset[own, None] + np.arange(ANCHOR)
+        anchor = np.ascontiguousarray(np.take_along_axis(data[own], at, axis=1)).view(">u8")
         order = np.lexsort(anchor.T[::-1])
         new = np.ones(len(order), dtype=bool)
         new[1:] = (anchor[order[1:]] != anchor[order[:-1]]).any(axis=1)
-        first = np.append(np.flatnonzero(new), len(order))
-        bits = np.zeros(len(order), dtype=np.uint32)
+        order, first = own[order], np.append(np.flatnonzero(new), len(order))
         i = 0
         while i < len(first) - 1:
             j = max(i + 1, int(np.searchsorted(first, first[i] + _BATCH, side="right")) - 1)
             rows = order[first[i]:first[j]]
-            bits[rows] = _decide(data[rows], did[rows], count[rows], length)
+            if j > i + 1 or len(rows) > 1:
+                bits[rows] = _decide(data[rows], did[rows], count[rows], offset[rows], length)
             i = j
+        alike = did == did[leader]
+        bits[alike] = bits[leader[alike]]
         hit = np.flatnonzero(bits)
         hit = hit[np.argsort(block[hit], kind="stable")]
         edge = np.flatnonzero(np.diff(block[hit], prepend=-1))
