@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from traceprofile.testing import registry
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_duckdb(spark, con, name):
     rows, problem = compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert problem is None and rows > 0

@@ -7,12 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tests.compare import force_shuffles
 from traceprofile.functions.predicates import ISSUE_THRESHOLD_NS
 from traceprofile.operators import callstack, diagnostics, joins
 from traceprofile.session import materialize
-from traceprofile.testing import bindings
+from traceprofile.testing import bindings, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,9 +27,9 @@ def tables(spark):
     return bindings.slice_model(spark, SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_query_pairs_rows_without_an_equal_key(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(registry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text  # no row-at-a-time Python
 

@@ -56,12 +56,23 @@ def annotated_name(name: Column) -> Column:
     return F.when(note != "", F.concat(name, F.lit(" "), note)).otherwise(name)
 
 
-def cause_tags(name: Column) -> Column:
-    """``array<struct<tag, advice>>`` of every cause pattern the name matches."""
+#: Causes that count on the main thread only.
+MAIN_THREAD_TAGS = ("io",)
+
+
+def cause_tags(name: Column, on_main: Column | None = None) -> Column:
+    """``array<struct<tag, advice>>`` of every cause pattern the name matches.
+
+    Where ``on_main`` tells the thread, I/O is a cause on the main thread only.
+    """
+    def applies(tag: str, pattern: str) -> Column:
+        hit = name.rlike(pattern)
+        return hit & on_main if on_main is not None and tag in MAIN_THREAD_TAGS else hit
+
     return F.array_compact(
         F.array(*[
             F.when(
-                name.rlike(pattern),
+                applies(tag, pattern),
                 F.struct(F.lit(tag).alias("tag"), F.lit(advice).alias("advice")),
             )
             for tag, pattern, advice in CAUSE_PATTERNS
@@ -70,8 +81,10 @@ def cause_tags(name: Column) -> Column:
 
 
 def pattern_tags(methods: DataFrame) -> DataFrame:
-    """One row per method and matching cause pattern; ``methods`` has ``name``."""
-    hit = F.explode(cause_tags(F.col("name")))
+    """One row per method and matching cause pattern; ``methods`` has ``name`` and, where
+    it is known, ``on_main_thread``."""
+    on_main = F.col("on_main_thread") if "on_main_thread" in methods.columns else None
+    hit = F.explode(cause_tags(F.col("name"), on_main))
     return methods.withColumn("hit", hit).select(
         *methods.columns, F.col("hit.tag").alias("tag"), F.col("hit.advice").alias("advice")
     )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceprofile.functions.annotate import method_note
 from traceprofile.functions.predicates import ROOT_PARENT
 from traceprofile.operators.diagnostics import longest_slice_by_keyword
 from traceprofile.operators.joins import estimated_bytes, fits_broadcast
+from traceprofile.session import materialize
 
 # Depth limit and the marks of the text form.
 MAX_PARENTS = 25
@@ -39,7 +41,7 @@ def ancestor_paths(
     )
     if fits_broadcast(spark, edges):
         hint = "/*+ BROADCAST(e) */"
-    elif estimated_bytes(seeds) * FEW_SEEDS <= estimated_bytes(edges):
+    elif _few(seeds, edges):
         hint = "/*+ SHUFFLE_HASH(w) */"
     else:
         hint = ""
@@ -65,6 +67,11 @@ def ancestor_paths(
     )
 
 
+def _few(seeds: DataFrame, beside: DataFrame, times: int = 1) -> bool:
+    """Whether ``times`` rows per seed are few enough to be hashed beside a table."""
+    return estimated_bytes(seeds) * times * FEW_SEEDS <= estimated_bytes(beside)
+
+
 def call_stacks(
     seeds: DataFrame, slices: DataFrame, max_parents: int = MAX_PARENTS
 ) -> DataFrame:
@@ -72,7 +79,9 @@ def call_stacks(
 
     ``stack`` is leaf first. Names are looked up after the walk, in one join.
     """
-    paths = ancestor_paths(seeds, slices, max_parents)
+    # written first: the size of few seeds out of many slices is known only then
+    staged = materialize(seeds.select("trace_id", "slice_id").distinct(), "seeds")
+    paths = ancestor_paths(staged, slices, max_parents)
     entries = paths.select(
         "trace_id", "slice_id",
         F.col("next_id").isNotNull().alias("truncated"),
@@ -81,8 +90,11 @@ def call_stacks(
     names = slices.select("trace_id", "id", "name", "parent_id")
     if fits_broadcast(slices.sparkSession, names):
         named = entries.join(F.broadcast(names), ["trace_id", "id"])
-    else:
+    elif _few(staged, names, times=max_parents + 1):
         named = entries.hint("shuffle_hash").join(names, ["trace_id", "id"])
+    else:
+        # as many entries as slices or more: a merge join spills, a hashed side does not
+        named = entries.join(names, ["trace_id", "id"])
     entry = F.struct(
         "level", "name", "id", F.coalesce("parent_id", F.lit(ROOT_PARENT)).alias("parent_id")
     )
@@ -109,15 +121,20 @@ def call_stacks_by_keyword(slices: DataFrame, keyword: str) -> DataFrame:
     return call_stacks(hits.select("trace_id", F.col("id").alias("slice_id")), slices)
 
 
-def stack_text(stack: Column, truncated: Column) -> Column:
-    """Indented text, root first, the seed marked as the bottleneck; '' when empty."""
+def stack_text(stack: Column, truncated: Column, annotate: bool = False) -> Column:
+    """Indented text, root first, the seed marked as the bottleneck; '' when empty.
+
+    ``annotate`` adds a note to compiler-made and obfuscated names.
+    """
     top_down = F.reverse(stack)
     last = F.size(stack) - 1
 
     def line(entry: Column, i: Column) -> Column:
         arrow = F.when(i > 0, F.concat(F.repeat(F.lit("  "), i), F.lit("→ "))).otherwise("")
         mark = F.when(i == last, BOTTLENECK_MARK).otherwise("")
-        return F.concat(arrow, F.coalesce(entry["name"], F.lit("")), F.lit("()"), mark)
+        note = method_note(F.coalesce(entry["name"], F.lit(""))) if annotate else F.lit("")
+        noted = F.when(note != "", F.concat(F.lit(" "), note)).otherwise("")
+        return F.concat(arrow, F.coalesce(entry["name"], F.lit("")), F.lit("()"), noted, mark)
 
     cut = F.when(
         truncated, F.array(F.concat(F.repeat(F.lit("  "), F.size(stack)), F.lit(TRUNCATED_MARK)))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceprofile.operators.issues import focus_window
-from traceprofile.operators.joins import join_small
+from traceprofile.operators.joins import fits_broadcast, join_small
 
-#: Tasks that may share the slices of one trace; its short window list goes to each.
-TRACE_SALTS = 256
+#: Slices of a trace that one task may take; a larger trace is spread over several, and
+#: its short window list goes to each of them.
+TRACE_SLICES = 4_000_000
 
 
 def windows_by_trace(issues: DataFrame, pad: str = "tenth") -> DataFrame:
@@ -26,21 +27,40 @@ def windows_by_trace(issues: DataFrame, pad: str = "tenth") -> DataFrame:
     )
 
 
+def large_traces(slices: DataFrame, rows: int) -> DataFrame:
+    """``(trace_id, shares)`` of traces with more than ``rows`` slices; there are at most
+    as many of them as ``rows`` goes into all slices."""
+    return (
+        slices.groupBy("trace_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("shares"))
+        .filter(F.col("shares") > 1)
+    )
+
+
+def _spread_join(slices: DataFrame, windows: DataFrame, rows: int | None = None) -> DataFrame:
+    """Join slices with the window list of their trace; only large traces are spread."""
+    large = large_traces(slices, rows or TRACE_SLICES)
+    shares = F.coalesce("shares", F.lit(1))
+    salted = slices.join(F.broadcast(large), "trace_id", "left").withColumn(
+        "share", F.pmod(F.xxhash64("slice_id"), shares).cast("int")
+    ).drop("shares")
+    lists = windows.join(F.broadcast(large), "trace_id", "left").withColumn(
+        "share", F.explode(F.sequence(F.lit(0), shares - 1))
+    ).drop("shares")
+    return salted.join(lists.hint("shuffle_hash"), ["trace_id", "share"]).drop("share")
+
+
 def slices_in_windows(slices: DataFrame, issues: DataFrame, pad: str = "tenth") -> DataFrame:
     """Slices that overlap a focus window of their trace, once per window.
 
     The slice table is not multiplied by the windows: each row tests the short window
     list of its trace in place and only overlaps leave the stage.
     """
-    columns = slices.select("trace_id", "id", "track_id", "name", "ts", "dur")
-    joined = join_small(
-        columns.withColumnRenamed("id", "slice_id"),
-        windows_by_trace(issues, pad),
-        ["trace_id"],
-        spread_by="slice_id",
-        salts=TRACE_SALTS,
-        inputs=(issues,),
-    )
+    columns = slices.select("trace_id", F.col("id").alias("slice_id"), "track_id", "name", "ts", "dur")
+    windows = windows_by_trace(issues, pad)
+    if fits_broadcast(slices.sparkSession, issues):
+        joined = join_small(columns, windows, ["trace_id"], inputs=(issues,))
+    else:
+        joined = _spread_join(columns, windows)
     end = F.col("ts") + F.col("dur")
     overlapping = F.filter(
         "windows", lambda w: (F.col("ts") < w["end"]) & (end > w["start"])

@@ -18,7 +18,8 @@ from traceprofile.operators.main_thread import (
     on_main_thread,
     track_threads,
 )
-from traceprofile.operators.topk import collapse_duplicates, top_k
+from traceprofile.operators.topk import collapse_duplicates, top_groups, top_k
+from traceprofile.session import materialize
 
 # How many rows each diagnostic reports per trace.
 LONG_LIMIT = 30
@@ -75,7 +76,9 @@ def slice_findings(tables: Tables, searches: Sequence[SliceDiagnostic]) -> DataF
     """Run several searches that share a main-thread rule in one pass over the slices.
 
     Every row learns which searches it matches at the scan; rows matching none leave
-    there. One aggregation folds duplicates for all kinds, one window ranks them.
+    there. Slices of equal start and duration are one finding: the first groups of them
+    are picked before anything is folded, by duration, then by start, so that each task
+    sends the rows of few groups; only these are folded and numbered.
     """
     rule, dedupe = searches[0].rule, searches[0].dedupe
     if any((s.rule, s.dedupe) != (rule, dedupe) for s in searches):
@@ -93,14 +96,13 @@ def slice_findings(tables: Tables, searches: Sequence[SliceDiagnostic]) -> DataF
     else:
         kinds = F.array(*[F.when(s.condition(), s.kind) for s in searches])
         hits = slices.withColumn("kind", F.explode(F.array_compact(kinds)))
+    most, each = max(s.limit for s in searches), ["trace_id", "kind"]
+    order = [F.col("dur").desc(), F.col("id")]
     if dedupe:
+        order = [F.col("dur").desc(), F.col("ts")]
+        hits = top_groups(hits, each, order, most)
         hits = collapse_duplicates(hits, ["trace_id", "kind", "ts", "dur"], "id", list(_KEEP))
-    ranked = top_k(
-        hits,
-        ["trace_id", "kind"],
-        [F.col("dur").desc(), F.col("id")],
-        max(s.limit for s in searches),
-    )
+    ranked = top_k(hits, each, order, most)
     if len({s.limit for s in searches}) > 1:
         limits = reduce(
             lambda acc, s: acc.when(F.col("kind") == s.kind, s.limit),
@@ -166,11 +168,16 @@ def frame_jank_literal(tables: Tables) -> DataFrame:
 CPU_FINDING = ("trace_id", "kind", "pos", "name", "count", "total_ms", "avg_ms")
 
 
+def _total_ns() -> Column:
+    """Exact sum that no number of calls overflows."""
+    return F.sum(F.col("dur").cast("decimal(20,0)"))
+
+
 def name_statistics(slices: DataFrame) -> DataFrame:
     """Calls, total and mean time per method; combined in each task before the shuffle."""
     return (
         slices.groupBy("trace_id", "name")
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("dur").alias("total_ns"))
+        .agg(F.count(F.lit(1)).alias("count"), _total_ns().alias("total_ns"))
         .withColumn("total_ms", ns_to_ms(F.col("total_ns")))
         .withColumn(
             "avg_ms", F.col("total_ns").cast("double") / F.col("count") / F.lit(1_000_000.0)
@@ -229,8 +236,9 @@ _EMPTY_SLICE = ("trace_id string, kind string, pos int, id bigint, name string,
 def run_diagnostics(
     tables: Tables, diagnostics: dict[str, Callable[[Tables], DataFrame]] | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All diagnostics; one that cannot be planned yields no rows, the others go on.
+    """All diagnostics; one that fails yields no rows, the others go on.
 
+    Each is run and its few rows are written, so a failure at run time is seen here too.
     Returns the results by name and a ``(diagnostic, ok, error)`` status table.
     """
     spark = tables["thread"].sparkSession
@@ -238,7 +246,7 @@ def run_diagnostics(
     status: list[tuple[str, bool, str | None]] = []
     for name, build in (diagnostics or DIAGNOSTICS).items():
         try:
-            results[name] = build(tables)
+            results[name] = materialize(build(tables), f"diagnostic-{name}")
             status.append((name, True, None))
         except Exception as error:  # noqa: BLE001 - any failure only skips this one
             results[name] = spark.createDataFrame([], _EMPTY.get(name, _EMPTY_SLICE))

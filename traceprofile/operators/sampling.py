@@ -23,19 +23,21 @@ STACK_LIMIT = 15
 STACK_FRAMES = 5
 DEFAULT_INTERVAL_US = 25_000
 
-# Larger than any stack depth a sample may have, so (sample, frame) packs into one
-# number and "first seen" stays a fixed-width minimum.
-FRAME_SPAN = 512
-
 
 def name_addresses(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Add ``name`` for ``addr``: the mapped one, else the native form.
 
-    A map with ``trace_id`` applies to its trace, one without to all traces. A map under
-    the size limit is broadcast, otherwise AQE splits a hot address.
+    A map with ``trace_id`` applies to its trace, one without to all traces. Of several
+    names of one address the last counts, in the order of their files where ``path`` is
+    kept, then of the names. A map under the size limit is broadcast, otherwise AQE splits
+    a hot address.
     """
     keys = ["trace_id", "addr"] if "trace_id" in mapping.columns else ["addr"]
-    symbols = mapping.select(*keys, F.col("name").alias("mapped_name"))
+    if "path" in mapping.columns:
+        last = F.max(F.struct("path", "name"))["name"]
+    else:
+        last = F.max("name")
+    symbols = mapping.groupBy(*keys).agg(last.alias("mapped_name"))
     if fits_broadcast(df.sparkSession, mapping):
         symbols = F.broadcast(symbols)
     return (
@@ -60,11 +62,12 @@ def sample_count(samples: DataFrame) -> DataFrame:
     return samples.groupBy("trace_id").agg(F.count(F.lit(1)).alias("sample_count"))
 
 
-def _most_common(counts: DataFrame, samples: DataFrame, tie: Column, n: int) -> DataFrame:
-    """The ``n`` largest counts per trace, ties by first appearance, with percentages."""
+def _most_common(counts: DataFrame, totals: DataFrame, tie: Column, n: int) -> DataFrame:
+    """The ``n`` largest counts per trace, ties by first appearance, with percentages of
+    the samples in ``totals``."""
     best = top_k(counts, ["trace_id"], [F.col("count").desc(), tie], n)
     percent = F.col("count") / F.col("sample_count") * 100
-    return best.join(sample_count(samples), "trace_id").withColumn("percent", percent)
+    return best.join(totals, "trace_id").withColumn("percent", percent)
 
 
 def _merge_names(per_address: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -83,27 +86,44 @@ def _method_report(df: DataFrame) -> DataFrame:
 
 
 def self_time(
-    samples: DataFrame, mapping: DataFrame, n: int = SELF_LIMIT, skip_runtime: bool = False
+    samples: DataFrame, mapping: DataFrame, n: int = SELF_LIMIT, skip_runtime: bool = False,
+    leaves: DataFrame | None = None,
 ) -> DataFrame:
     """Samples per leaf method. ``skip_runtime`` leaves out runtime bookkeeping before
-    ranking; percentages keep all samples as their base."""
-    leaves = (
-        samples.select("trace_id", F.element_at("frames", 1).alias("addr"), "sample_ord")
+    ranking; percentages keep all samples as their base. ``leaves`` are leaf counts that
+    are known already."""
+    leaves = leaf_counts(samples) if leaves is None else leaves
+    counts = _merge_names(leaves.filter(F.col("addr").isNotNull()), mapping)
+    if skip_runtime:
+        counts = counts.filter(not_runtime_overhead(short_name(F.col("name"))))
+    return _method_report(_most_common(counts, totals_of(leaves), F.col("first_seen"), n))
+
+
+def leaf_counts(samples: DataFrame) -> DataFrame:
+    """Samples per leaf address and the first of them; an empty stack has no address."""
+    return (
+        samples.select("trace_id", F.get("frames", F.lit(0)).alias("addr"), "sample_ord")
         .groupBy("trace_id", "addr")
         .agg(F.count(F.lit(1)).alias("count"), F.min("sample_ord").alias("first_seen"))
     )
-    counts = _merge_names(leaves, mapping)
-    if skip_runtime:
-        counts = counts.filter(not_runtime_overhead(short_name(F.col("name"))))
-    return _method_report(_most_common(counts, samples, F.col("first_seen"), n))
+
+
+def totals_of(leaves: DataFrame) -> DataFrame:
+    """Samples per trace from their leaf counts, empty stacks included."""
+    return leaves.groupBy("trace_id").agg(F.sum("count").alias("sample_count"))
 
 
 def _address_occurrences(samples: DataFrame) -> DataFrame:
-    """One row per sample and distinct address, with the packed place of its first use."""
-    place = F.col("sample_ord") * FRAME_SPAN
+    """One row per sample and distinct address, with the place of its first use."""
     return samples.select(
         "trace_id", "sample_ord", F.posexplode(F.array_distinct("frames")).alias("at", "addr")
-    ).select("trace_id", "sample_ord", "addr", (place + F.col("at")).alias("place"))
+    )
+
+
+def _first_use() -> list[Column]:
+    """Smallest sample and the place in it, as two numbers of fixed width; a sample holds
+    a key once."""
+    return [F.min("sample_ord").alias("first_sample"), F.min_by("at", "sample_ord").alias("first_at")]
 
 
 def inclusive_counts(samples: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -114,9 +134,10 @@ def inclusive_counts(samples: DataFrame, mapping: DataFrame) -> DataFrame:
     are regrouped by sample. Both parts are exact and no name is in both.
     """
     occurrences = _address_occurrences(samples)
+    first_seen = F.struct("first_sample", "first_at").alias("first_seen")
     per_address = occurrences.groupBy("trace_id", "addr").agg(
-        F.count(F.lit(1)).alias("count"), F.min("place").alias("first_seen")
-    )
+        F.count(F.lit(1)).alias("count"), *_first_use()
+    ).select("trace_id", "addr", "count", first_seen)
     # read three times below; writing this short table spares three scans of the samples
     # and tells the true size of the part that is joined with them
     named = materialize(name_addresses(per_address, mapping), "named-addresses")
@@ -131,9 +152,10 @@ def inclusive_counts(samples: DataFrame, mapping: DataFrame) -> DataFrame:
     regrouped = (
         join_small(occurrences, leads, ["trace_id", "addr"], inputs=(named,))
         .groupBy("trace_id", "lead", "sample_ord")
-        .agg(F.min("place").alias("place"))
+        .agg(F.min("at").alias("at"))
         .groupBy("trace_id", "lead")
-        .agg(F.count(F.lit(1)).alias("count"), F.min("place").alias("first_seen"))
+        .agg(F.count(F.lit(1)).alias("count"), *_first_use())
+        .select("trace_id", "lead", "count", first_seen)
         .join(several, ["trace_id", "lead"])
     )
     columns = ("trace_id", "name", "count", "first_seen")
@@ -141,13 +163,18 @@ def inclusive_counts(samples: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def inclusive_time(
-    samples: DataFrame, mapping: DataFrame, n: int = INCLUSIVE_LIMIT
+    samples: DataFrame, mapping: DataFrame, n: int = INCLUSIVE_LIMIT,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
+    """Samples per method anywhere in the stack; ``totals`` spares counting the samples."""
     counts = inclusive_counts(samples, mapping)
-    return _method_report(_most_common(counts, samples, F.col("first_seen"), n))
+    totals = sample_count(samples) if totals is None else totals
+    return _method_report(_most_common(counts, totals, F.col("first_seen"), n))
 
 
-def hot_stacks(samples: DataFrame, mapping: DataFrame, n: int = STACK_LIMIT) -> DataFrame:
+def hot_stacks(
+    samples: DataFrame, mapping: DataFrame, n: int = STACK_LIMIT, totals: DataFrame | None = None
+) -> DataFrame:
     """Samples per sequence of the first five names.
 
     Sequences are grouped as arrays, so a name that contains the separator of the text
@@ -171,7 +198,8 @@ def hot_stacks(samples: DataFrame, mapping: DataFrame, n: int = STACK_LIMIT) ->
         .groupBy("trace_id", "names")
         .agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"))
     )
-    best = _most_common(sequences, samples, F.col("first_seen"), n)
+    totals = sample_count(samples) if totals is None else totals
+    best = _most_common(sequences, totals, F.col("first_seen"), n)
     return best.select(
         "trace_id", "pos", F.array_join("names", "|").alias("stack"),
         F.array_join(F.transform("names", short_name), "\n").alias("short_stack"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,10 @@ def trace_status(tables: Tables) -> DataFrame:
         for name, layout in schema.SLICE_MODEL.items()
         for column in schema.missing_columns(tables[name], layout)
     ]
-    traces = tables["thread"].select("trace_id").unionByName(tables["process"].select("trace_id"))
+    traces = (
+        tables["thread"].select("trace_id").unionByName(tables["process"].select("trace_id"))
+        .unionByName(tables["thread_track"].select("trace_id"))
+    )
     if lacking:
         return traces.distinct().select(
             "trace_id", F.lit(False).alias("ready"),
@@ -85,7 +90,62 @@ def staged_issues(tables: Tables) -> DataFrame:
     return materialize(rated_issues(tables), "rated-issues")
 
 
+class Analysis(NamedTuple):
+    """What one analysis leaves: issues with stacks, and what they were made of."""
+
+    issues: DataFrame
+    findings: DataFrame
+    stacks: DataFrame
+    traces: DataFrame       # trace_id, ready, error
+    diagnostics: DataFrame  # diagnostic, ok, error
+
+
+def _tolerant_findings(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The rows that can become issues, and the status of each diagnostic.
+
+    Three searches share a pass over the slices. If that pass fails each is run alone, so
+    that the one at fault does not take the others along.
+    """
+    searches = {
+        "long_slices": D.LONG_SLICES.above(ISSUE_THRESHOLD_NS),
+        "frame_jank": D.FRAME_JANK,
+        "main_thread_io": D.MAIN_THREAD_IO.above(ISSUE_THRESHOLD_NS),
+    }
+    together, status = D.run_diagnostics(tables, {
+        "slices": lambda t: D.slice_findings(t, list(searches.values())),
+        "cpu_heavy": D.cpu_heavy,
+    })
+    failed = {r["diagnostic"] for r in status.filter("not ok").collect()}
+    if "slices" not in failed:
+        names = F.explode(F.array(*map(F.lit, searches)))
+        status = status.filter("diagnostic = 'slices'").withColumn("diagnostic", names).unionByName(
+            status.filter("diagnostic <> 'slices'")
+        )
+        return union_findings(together["slices"], together["cpu_heavy"]), status
+    alone, more = D.run_diagnostics(tables, {
+        name: lambda t, s=search: D.slice_findings(t, [s]) for name, search in searches.items()
+    })
+    hits = reduce(DataFrame.unionByName, alone.values())
+    return union_findings(hits, together["cpu_heavy"]), more.unionByName(
+        status.filter("diagnostic = 'cpu_heavy'")
+    )
+
+
+def run_analysis(tables: Tables) -> Analysis:
+    """The whole analysis with all it leaves behind.
+
+    A diagnostic that fails, also at run time, has no rows and a status; a trace that is
+    not ready has a status, and :func:`~traceprofile.plans.report.reports` writes nothing
+    about it when given ``traces``.
+    """
+    findings, diagnostics = _tolerant_findings(tables)
+    issues = materialize(ranked_issues(findings), "rated-issues")
+    stacks = materialize(call_stacks(issue_seeds(issues), tables["slice"]), "stacks")
+    return Analysis(
+        attach_stacks(issues, stacks), findings, stacks, trace_status(tables), diagnostics
+    )
+
+
 def analyze(tables: Tables) -> DataFrame:
     """Issues of every trace, with call stacks walked for surviving issues only."""
-    issues = staged_issues(tables)
-    return attach_stacks(issues, call_stacks(issue_seeds(issues), tables["slice"]))
+    return run_analysis(tables).issues

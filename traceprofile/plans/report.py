@@ -69,6 +69,9 @@ def _issue_block() -> Column:
 
 
 def _totals(traces: DataFrame, summary: DataFrame) -> DataFrame:
+    """``summary`` of every trace; of a status table only the traces that are ready."""
+    if "ready" in traces.columns:
+        traces = traces.filter("ready")
     filled = traces.select("trace_id").distinct().join(summary, "trace_id", "left")
     return filled.fillna(0, [c for c in summary.columns if c != "trace_id" and c != "blocks"])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,23 @@ _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the recommended run-time settings to an existing session."""
+#: Bytes of input for each partition that a shuffle starts with.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the recommended run-time settings to an existing session.
+
+    ``input_bytes``, the size of the tables to be read, sets the number of partitions that
+    shuffles start with. Adaptive execution only lowers that number, so for large inputs
+    it must be given.
+    """
     for key, value in RECOMMENDED_CONF.items():
         spark.conf.set(key, value)
+    if input_bytes is not None:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = max(least, -(-input_bytes // PARTITION_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 
@@ -56,13 +71,32 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_staged: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, the tables that were staged inside; write results before."""
+    _staged.append([])
+    try:
+        yield
+    finally:
+        for path in _staged.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
+    It stays there until the folder is removed or the enclosing :func:`staging` ends.
+
     Cuts lineage with a table that outlives lost executors, keeps column pruning
     and filter push-down for each reader, and gives the planner true file sizes.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, name)
+    for paths in _staged[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

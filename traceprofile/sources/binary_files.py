@@ -1,21 +1,69 @@
-"""Files as rows of ``(trace_id, content)`` and little-endian fields of a content."""
+"""Files as rows of ``(trace_id, path, content)`` and little-endian fields of a content."""
 
 from __future__ import annotations
 
+import re
+from itertools import takewhile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceprofile.functions.text import TRACE_NAME_PATTERN
 
+# Ending of a symbol map's name, name of a sample file alone in its folder.
+MAPPING_SUFFIX = "-mapping"
+SAMPLE_FILE = "sampling"
+#: A binary value of Spark must stay below this.
+MAX_FILE_BYTES = 2**31 - 1 - 16
 
-def read_binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """One row per file; the trace is named by the path, else by the file name."""
+
+def _root(spark: SparkSession, path: str) -> str:
+    """The folder read, as the reader spells it; the part before any wildcard."""
+    plain = "/".join(takewhile(lambda part: not re.search(r"[*?\[{]", part), path.split("/")))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(plain or "/")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(folder).toString().rstrip("/")
+
+
+def trace_identity(path: Column, root: str) -> Column:
+    """Name of the trace a file belongs to: unique per sample file, shared by its map.
+
+    It is the path below ``root`` without the ending of a map; a sample file under the
+    usual name is known by its folder. For a file in ``root`` itself that leaves nothing:
+    then the trace name in the path counts, or else the name of the folder.
+    """
+    below = F.when(
+        F.startswith(path, F.lit(root + "/")), F.substring(path, F.lit(len(root) + 2), F.length(path))
+    ).otherwise(F.element_at(F.split(path, "/"), -1))
+    own = F.regexp_replace(F.regexp_replace(below, f"{MAPPING_SUFFIX}$", ""), f"(^|/){SAMPLE_FILE}$", "")
+    named = F.nullif(F.regexp_extract(path, TRACE_NAME_PATTERN, 1), F.lit(""))
+    return F.coalesce(F.nullif(own, F.lit("")), named, F.lit(root.rsplit("/", 1)[-1]))
+
+
+def _listing(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    named = F.nullif(F.regexp_extract("path", TRACE_NAME_PATTERN, 1), F.lit(""))
-    file_name = F.element_at(F.split("path", "/"), -1)
-    return reader.load(path).select(F.coalesce(named, file_name).alias("trace_id"), "content")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+
+
+def read_binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``(trace_id, path, content)``, one row per file below 2 GiB.
+
+    Larger files do not fit a row; they are skipped before they are read and listed by
+    :func:`oversized_files`.
+    """
+    files = _listing(spark, path, pattern).filter(F.col("length") <= MAX_FILE_BYTES)
+    return files.select(
+        trace_identity(F.col("path"), _root(spark, path)).alias("trace_id"), "path", "content"
+    )
+
+
+def oversized_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``(trace_id, path, size)`` of the files that :func:`read_binary_files` skips."""
+    files = _listing(spark, path, pattern).filter(F.col("length") > MAX_FILE_BYTES)
+    return files.select(
+        trace_identity(F.col("path"), _root(spark, path)).alias("trace_id"), "path",
+        F.col("length").alias("size"),
+    )
 
 
 def little_endian(content: Column, offset: int, size: int) -> Column:

@@ -17,6 +17,7 @@ RECORD_HEAD = 10
 MAX_NAME_BYTES = 2000  # exclusive
 
 _SCHEMA = "trace_id string, addr bigint, name string"
+_SCHEMA_WITH_PATH = "trace_id string, path string, addr bigint, name string"
 
 
 def _symbols(content: memoryview) -> dict[int, str]:
@@ -36,21 +37,24 @@ def _symbols(content: memoryview) -> dict[int, str]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for trace, value in zip(batch.column(0), batch.column(1)):
+        keys = batch.schema.names[:-1]
+        for *own, value in zip(*batch.columns):
             names = _symbols(memoryview(value.as_buffer()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([trace.as_py()] * len(names), pa.string()),
+                    *[pa.array([key.as_py()] * len(names), pa.string()) for key in own],
                     pa.array(list(names), pa.int64()),
                     pa.array(list(names.values()), pa.string()),
                 ],
-                names=["trace_id", "addr", "name"],
+                names=[*keys, "addr", "name"],
             )
 
 
 def parse_mapping(files: DataFrame) -> DataFrame:
-    """``(trace_id, addr, name)`` of every file. Duplicates are settled inside the file,
-    so no shuffle follows."""
+    """``(trace_id, addr, name)`` of every file, with its ``path`` where that is known.
+    Duplicates are settled inside the file, so no shuffle follows."""
+    if "path" in files.columns:
+        return files.select("trace_id", "path", "content").mapInArrow(_scan, _SCHEMA_WITH_PATH)
     return files.select("trace_id", "content").mapInArrow(_scan, _SCHEMA)
 
 

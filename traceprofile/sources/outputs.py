@@ -7,21 +7,43 @@ from pyspark.sql import functions as F
 
 from traceprofile import schema
 from traceprofile.functions.text import report_filename
+from traceprofile.plans.analysis import Analysis
 
 
-def write_issues(issues: DataFrame, path: str) -> None:
+def write_issues(issues: DataFrame, path: str, mode: str = "error") -> None:
     """Issue table sorted by trace, so a reader of few traces skips most row groups.
 
-    A folder per trace would mean as many files as traces.
+    A folder per trace would mean as many files as traces. ``mode`` is that of Spark's
+    writers; ``overwrite`` replaces the table of an earlier analysis.
     """
     (
         issues.select(*schema.ISSUES.fieldNames())
         .repartitionByRange("trace_id")
         .sortWithinPartitions("trace_id", "position")
-        .write.parquet(path)
+        .write.mode(mode).parquet(path)
     )
 
 
+#: Tables kept of an analysis, besides ``issues``.
+RAW_TABLES = ("findings", "stacks", "traces", "diagnostics")
+
+
+def write_analysis(analysis: Analysis, path: str, mode: str = "overwrite") -> None:
+    """Issues with the findings, stacks and status they were made of, one folder each.
+
+    The last analysis replaces the one before. ``issues`` is written last: where it is
+    there, the other tables are whole.
+    """
+    for name in RAW_TABLES:
+        getattr(analysis, name).write.mode(mode).parquet(f"{path}/{name}")
+    write_issues(analysis.issues, f"{path}/issues", mode)
+
+
+def read_analysis(spark: SparkSession, path: str) -> Analysis:
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in RAW_TABLES}
+    return Analysis(issues=read_issues(spark, f"{path}/issues"), **tables)
+
+
 def read_issues(spark: SparkSession, path: str, trace_ids: list[str] | None = None) -> DataFrame:
     issues = spark.read.schema(schema.ISSUES).parquet(path)
     return issues if trace_ids is None else issues.filter(F.col("trace_id").isin(trace_ids))

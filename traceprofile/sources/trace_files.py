@@ -54,9 +54,10 @@ def rejected_files(files: DataFrame) -> DataFrame:
 
 
 def trace_headers(files: DataFrame) -> DataFrame:
-    """Header fields of every file."""
+    """Header fields of every file; a foreign file or a text process id gives NULL."""
     content = F.col("content")
-    meta_length = little_endian(content, JSON_LENGTH_AT, 4).cast("int")
+    present = F.greatest(F.length(content) - JSON_AT, F.lit(0))
+    meta_length = F.least(little_endian(content, JSON_LENGTH_AT, 4), present).cast("int")
     meta = F.substring(content, F.lit(JSON_AT + 1), meta_length).cast("string")
     return files.select(
         "trace_id",
@@ -64,7 +65,7 @@ def trace_headers(files: DataFrame) -> DataFrame:
         little_endian(content, TIMESTAMP_AT, 8).alias("ts"),
         little_endian(content, INTERVAL_AT, 4).alias("interval_us"),
         meta.alias("meta"),
-        F.get_json_object(meta, "$.processId").cast("bigint").alias("process_id"),
+        F.get_json_object(meta, "$.processId").try_cast("bigint").alias("process_id"),
     )
 
 

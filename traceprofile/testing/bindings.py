@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceprofile.functions.predicates import RUNTIME_OVERHEAD_METHOD
-from traceprofile.session import materialize
+from traceprofile.session import materialize, new_shared_path
 
 CHAIN = 40             # slices per parent chain
 TRACE_BLOCK = 10_000   # events per group of four ordinary traces
@@ -198,11 +198,12 @@ def _mapping(part: DataFrame) -> DataFrame:
         .when(key % 3 == 0, F.concat(dotted, F.lit(".m"), key.cast("string"), F.lit("()")))
         .otherwise(F.concat(dotted, F.lit("("), F.col("p_brand"), F.lit(")")))
     )
-    return part.filter(key % 10 != 0).select(key.alias("addr"), name.alias("name"))
+    return part.select(key.alias("addr"), name.alias("name"))
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbol map from ``part``; every tenth address is unmapped and many share a name."""
+    """Symbol map from all of ``part``; many addresses share a name. Samples also hold
+    addresses beyond the last part and negative ones, which no name covers."""
     return _once(spark, sf_dir, "mapping", lambda: _mapping(_read(spark, sf_dir, "part")))
 
 
@@ -285,6 +286,61 @@ def mapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "mapping_files", lambda: _mapping_as_files(source))
 
 
+def _per_trace_maps(samples: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One symbol map per trace file, of the addresses its samples hold."""
+    file_id = F.concat("trace_id", F.lit("-"), F.floor(F.col("sample_ord") / FILE_SAMPLES).cast("string"))
+    used = samples.select(file_id.alias("trace_id"), F.explode("frames").alias("addr")).distinct()
+    record = F.concat(
+        _le_hex(F.col("addr"), 8), _le_hex(F.octet_length("name"), 2), F.hex("name")
+    )
+    files = used.join(mapping, "addr").groupBy("trace_id").agg(
+        # at most as many records as the samples of one file have frames
+        F.array_sort(F.collect_list(F.struct("addr", record.alias("record")))).alias("r")
+    )
+    text = F.concat(
+        F.repeat(F.lit("00"), 8), _le_hex(F.lit(1), 4), _le_hex(F.size("r"), 4),
+        F.array_join(F.transform("r", lambda x: x["record"]), ""),
+    )
+    return files.select("trace_id", F.unhex(text).alias("content"))
+
+
+def _write_files(files: DataFrame, root: str) -> int:
+    """Write ``(name, content)`` as files below ``root``, each by the task that holds it."""
+    def write(batches):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{folder}/{name}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content)
+            yield batch.select(["name"])
+
+    return files.select("name", "content").mapInArrow(write, "name string").count()
+
+
+_folders: dict[tuple[str, str], str] = {}
+
+
+def trace_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A shared folder with ``<trace>/sampling`` and ``<trace>/sampling-mapping`` files."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        root = new_shared_path(spark, "trace-folder")
+        root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+        maps = _per_trace_maps(samples(spark, sf_dir), mapping(spark, sf_dir))
+        files = trace_files(spark, sf_dir).select(
+            F.concat("trace_id", F.lit("/sampling")).alias("name"), "content"
+        ).unionByName(
+            maps.select(F.concat("trace_id", F.lit("/sampling-mapping")).alias("name"), "content")
+        )
+        _write_files(files, root)
+        _folders[key] = root
+    return _folders[key]
+
+
 def traces(tables: dict[str, DataFrame]) -> DataFrame:
     """Every trace of a slice model, from its small thread table."""
     return tables["thread"].select("trace_id").distinct()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 # ---------------------------------------------------------------------------
-# The same bindings as bindings.py, in DuckDB's dialect.
+# The same bindings as bindings.py, in DuckDB's dialect. Method names,
+# prefixes and keywords, as in the predicates they check.
 # ---------------------------------------------------------------------------
 _SLICE = """
 ev AS (
@@ -74,14 +75,15 @@ _IO = ("(name ILIKE '%Binder%' OR name ILIKE '%sqlite%' OR name ILIKE '%SharedPr
 def _hits(cte: str, kind: str, where: str, limit: int, dedupe: bool) -> str:
     fold = ("QUALIFY row_number() OVER (PARTITION BY trace_id, ts, dur ORDER BY id) = 1"
             if dedupe else "")
+    order = "dur DESC, ts" if dedupe else "dur DESC, id"
     return f"""
 {cte}_rows AS (SELECT trace_id, id, name, ts, dur, parent_id FROM joined WHERE {where} {fold}),
 {cte} AS (
   SELECT trace_id, '{kind}' kind,
-         CAST(row_number() OVER (PARTITION BY trace_id ORDER BY dur DESC, id) AS INTEGER) pos,
+         CAST(row_number() OVER (PARTITION BY trace_id ORDER BY {order}) AS INTEGER) pos,
          id, name, dur / 1e6 dur_ms, ts, dur, parent_id
   FROM {cte}_rows
-  QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY dur DESC, id) <= {limit})"""
+  QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY {order}) <= {limit})"""
 
 
 def _cpu(cte: str, source: str, where: str) -> str:
@@ -144,6 +146,7 @@ counted AS (
   SELECT trace_id, kind, 3, pos, NULL, name, NULL, NULL, total_ms, "count", avg_ms
   FROM cpu_heavy)"""
 
+# The texts of issues.
 _TEXT_COLUMNS = f"""
   {_SEVERITY.format('raw')} severity,
   CASE kind WHEN 'long' THEN '主线程长耗时: ' WHEN 'jank' THEN '帧卡顿: '
@@ -187,8 +190,29 @@ rated AS (
   FROM worst WHERE rn = 1)"""
 
 
-def _stack(seeds: str) -> str:
+def _note(name: str) -> str:
+    """Note on a compiler-made name. Patterns and texts of the notes."""
+    return rf"""CASE
+  WHEN regexp_matches({name}, '\w+\$\w+\$\d+\$\d+\.invokeSuspend\b') THEN '← Kotlin lambda in '
+    || regexp_extract({name}, '(\w+)\$(\w+)\$\d+\$\d+\.invokeSuspend', 1) || '.'
+    || regexp_extract({name}, '(\w+)\$(\w+)\$\d+\$\d+\.invokeSuspend', 2) || '()'
+  WHEN regexp_matches({name}, '\w+\$\w+\$\d+\.invokeSuspend\b') THEN '← coroutine continuation of '
+    || regexp_extract({name}, '(\w+)\$(\w+)\$\d+\.invokeSuspend', 1) || '.'
+    || regexp_extract({name}, '(\w+)\$(\w+)\$\d+\.invokeSuspend', 2) || '()'
+  WHEN regexp_matches({name}, '\w+\$\w+\$\d+\.invoke\b') THEN '← lazy init of '
+    || regexp_extract({name}, '(\w+)\$(\w+)\$\d+\.invoke', 1) || '.'
+    || regexp_extract({name}, '(\w+)\$(\w+)\$\d+\.invoke', 2)
+  WHEN regexp_matches({name}, '\w+\$\d+\.run\b') THEN '← anonymous Runnable in '
+    || regexp_extract({name}, '(\w+)\$\d+\.run', 1)
+  WHEN regexp_matches({name}, '\.[A-Za-z]\d(\(|$)') THEN '← obfuscated method (ProGuard)'
+  WHEN regexp_matches({name}, '\bmsdocker\.|\b[Il1i]{{4,}}\b')
+    THEN '← DroidPlugin hook / string decryption'
+  ELSE '' END"""
+
+
+def _stack(seeds: str, noted: bool = False) -> str:
     """Stack text per seed from a CTE with ``(trace_id, slice_id)``."""
+    note = f"CASE WHEN {_note('name')} <> '' THEN ' ' || {_note('name')} ELSE '' END" if noted else "''"
     return f"""
 walk AS (
   SELECT d.trace_id, d.slice_id, 0 lvl, s.id, s.name, s.parent_id
@@ -204,7 +228,7 @@ walk_size AS (
 stack_text AS (
   SELECT trace_id, slice_id, n, truncated,
     string_agg(CASE WHEN lvl < n - 1 THEN repeat('  ', CAST(n - 1 - lvl AS BIGINT)) || '→ ' ELSE '' END
-               || name || '()' || CASE WHEN lvl = 0 THEN '          ← 瓶颈' ELSE '' END,
+               || name || '()' || {note} || CASE WHEN lvl = 0 THEN '          ← 瓶颈' ELSE '' END,
                chr(10) ORDER BY lvl DESC)
     || CASE WHEN truncated THEN chr(10) || repeat('  ', CAST(n AS BIGINT)) || '... (调用栈已截断)'
             ELSE '' END call_stack
@@ -227,6 +251,7 @@ counts AS (
          count(*) total
   FROM rated GROUP BY trace_id)"""
 
+# The texts of the summary and the report.
 _SUMMARY = """
 summary AS (
   SELECT t.trace_id, CASE WHEN coalesce(total, 0) = 0
@@ -299,7 +324,7 @@ mapping AS (
     WHEN p_partkey % 3 = 0 THEN
       'void com.shop.' || replace(p_name, ' ', '.') || '.m' || CAST(p_partkey AS VARCHAR) || '()'
     ELSE 'void com.shop.' || replace(p_name, ' ', '.') || '(' || p_brand || ')' END AS name
-  FROM part WHERE p_partkey % 10 <> 0)"""
+  FROM part)"""
 
 _NAMED = """
 flat AS (SELECT trace_id, sample_ord, unnest(frames) addr,
@@ -335,6 +360,18 @@ FROM best JOIN totals USING (trace_id)""")
 _RUNTIME = "<runtime method>.<runtime internal callee-save reference registers method>"
 
 
+def _hot(frames: str) -> str:
+    return _with(f"""{frames},
+heads AS (SELECT trace_id, sample_ord, list(name ORDER BY frame_pos) names FROM frames_named
+          WHERE frame_pos < 5 GROUP BY ALL),
+per_stack AS (SELECT trace_id, names, count(*) "count", min(sample_ord) seen FROM heads GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY "count" DESC, seen)
+                        AS INTEGER) pos FROM per_stack QUALIFY pos <= 15)""", """
+SELECT trace_id, pos, array_to_string(names, '|') stack,
+  array_to_string(list_transform(names, lambda x: split_part(x, '(', 1)), chr(10)) short_stack,
+  "count", "count" / sample_count * 100 percent FROM best JOIN totals USING (trace_id)""")
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "slice_scan": _with(_SLICE, "SELECT * FROM slice"),
@@ -386,6 +423,17 @@ UNION SELECT trace_id, id FROM main_thread_io"""),
         "call_stacks": _with(f"""{_FOUR}, all_seeds AS (
 SELECT trace_id, id slice_id FROM long_slices UNION SELECT trace_id, id FROM frame_jank
 UNION SELECT trace_id, id FROM main_thread_io), {_stack('all_seeds')}""", _STACK_SELECT, True),
+        "call_stack_annotated": _with(f"""{_FOUR}, all_seeds AS (
+SELECT trace_id, id slice_id FROM long_slices UNION SELECT trace_id, id FROM frame_jank
+UNION SELECT trace_id, id FROM main_thread_io), {_stack('all_seeds', True)}""", _STACK_SELECT, True),
+        "findings_roundtrip": _with(_FOUR, """
+SELECT trace_id, kind, pos, id, name, dur_ms, ts, dur, NULL::BIGINT "count",
+       NULL::DOUBLE total_ms, NULL::DOUBLE avg_ms FROM long_slices WHERE dur > 50000000
+UNION ALL SELECT trace_id, kind, pos, id, name, dur_ms, ts, dur, NULL, NULL, NULL FROM frame_jank
+UNION ALL SELECT trace_id, kind, pos, id, name, dur_ms, ts, dur, NULL, NULL, NULL
+FROM main_thread_io WHERE dur > 50000000
+UNION ALL SELECT trace_id, kind, pos, NULL, name, NULL, NULL, NULL, "count", total_ms, avg_ms
+FROM cpu_heavy"""),
         "call_stack_by_keyword": _with(f"""{_SLICE}, kw AS (
 SELECT trace_id, id slice_id FROM slice WHERE name ILIKE '%submit%'
 QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY dur DESC, id) = 1), {_stack('kw')}""",
@@ -429,22 +477,7 @@ SELECT page_id, CASE WHEN page_id % 3 = 0
   ELSE 'strace_a' || page_id || '_huawei' END trace_id FROM pages""",
         "annotate_methods": _with(rf"""{_SLICE}, {_SAMPLES}, methods AS (
 SELECT name FROM slice UNION SELECT name FROM mapping),
-noted AS (SELECT name, CASE
-  WHEN regexp_matches(name, '\w+\$\w+\$\d+\$\d+\.invokeSuspend\b') THEN '← Kotlin lambda in '
-    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\$\d+\.invokeSuspend', 1) || '.'
-    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\$\d+\.invokeSuspend', 2) || '()'
-  WHEN regexp_matches(name, '\w+\$\w+\$\d+\.invokeSuspend\b') THEN '← coroutine continuation of '
-    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invokeSuspend', 1) || '.'
-    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invokeSuspend', 2) || '()'
-  WHEN regexp_matches(name, '\w+\$\w+\$\d+\.invoke\b') THEN '← lazy init of '
-    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invoke', 1) || '.'
-    || regexp_extract(name, '(\w+)\$(\w+)\$\d+\.invoke', 2)
-  WHEN regexp_matches(name, '\w+\$\d+\.run\b') THEN '← anonymous Runnable in '
-    || regexp_extract(name, '(\w+)\$\d+\.run', 1)
-  WHEN regexp_matches(name, '\.[A-Za-z]\d(\(|$)') THEN '← obfuscated method (ProGuard)'
-  WHEN regexp_matches(name, '\bmsdocker\.|\b[Il1i]{{4,}}\b')
-    THEN '← DroidPlugin hook / string decryption'
-  ELSE '' END note FROM methods)""",
+noted AS (SELECT name, {_note('name')} note FROM methods)""",
             "SELECT name, note, CASE WHEN note <> '' THEN name || ' ' || note ELSE name END annotated FROM noted"),
         "pattern_tags": _with(f"""{_SLICE}, {_SAMPLES}, methods AS (
 SELECT name FROM slice UNION SELECT name FROM mapping)""", r"""
@@ -469,16 +502,13 @@ FROM mapping"""),
         "self_time_from_files": _methods(
             "frame_pos = 0", ", \"count\" * 25000 / 1000 est_ms", _FILE_FRAMES
         ),
+        "self_time_from_folder": _methods(
+            "frame_pos = 0", ", \"count\" * 25000 / 1000 est_ms", _FILE_FRAMES
+        ),
+        "inclusive_time_from_folder": _methods("true", "", _FILE_FRAMES),
+        "hot_stacks_from_folder": _hot(_FILE_FRAMES),
         "inclusive_time": _methods("true"),
-        "hot_stacks": _with(f"""{_FRAMES},
-heads AS (SELECT trace_id, sample_ord, list(name ORDER BY frame_pos) names FROM frames_named
-          WHERE frame_pos < 5 GROUP BY ALL),
-per_stack AS (SELECT trace_id, names, count(*) "count", min(sample_ord) seen FROM heads GROUP BY ALL),
-best AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY "count" DESC, seen)
-                        AS INTEGER) pos FROM per_stack QUALIFY pos <= 15)""", """
-SELECT trace_id, pos, array_to_string(names, '|') stack,
-  array_to_string(list_transform(names, lambda x: split_part(x, '(', 1)), chr(10)) short_stack,
-  "count", "count" / sample_count * 100 percent FROM best JOIN totals USING (trace_id)"""),
+        "hot_stacks": _hot(_FRAMES),
         "parse_samples": _with(_SAMPLES, """
 SELECT trace_id || '-' || block trace_id,
   row_number() OVER (PARTITION BY trace_id, block ORDER BY sample_ord) - 1 sample_ord,

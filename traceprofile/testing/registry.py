@@ -19,8 +19,9 @@ from traceprofile.operators.main_thread import SLICE_COLUMNS, main_thread_slices
 from traceprofile.operators.topk import collapse_duplicates
 from traceprofile.plans import analysis, report
 from traceprofile.plans.profile import sample_profile
-from traceprofile.session import materialize, new_shared_path
+from traceprofile.session import new_shared_path
 from traceprofile.sources import mapping_files, outputs, trace_files
+from traceprofile.sources.binary_files import read_binary_files
 from traceprofile.testing import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,10 +48,10 @@ def _on_trace_files(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(B.trace_files(spark, sf_dir))
 
 
-def _stack_rows(stacks: DataFrame) -> DataFrame:
+def _stack_rows(stacks: DataFrame, annotate: bool = False) -> DataFrame:
     return stacks.select(
         "trace_id", "slice_id", F.size("stack").alias("entries"), "truncated",
-        C.stack_text(F.col("stack"), F.col("truncated")).alias("call_stack"),
+        C.stack_text(F.col("stack"), F.col("truncated"), annotate).alias("call_stack"),
     )
 
 
@@ -83,8 +84,7 @@ def _focus_windows(tables: Tables) -> DataFrame:
 
 
 def _seed_stacks(tables: Tables) -> DataFrame:
-    seeds = materialize(analysis.stack_seeds(tables), "seeds")
-    return C.call_stacks(seeds, tables["slice"])
+    return C.call_stacks(analysis.stack_seeds(tables), tables["slice"])
 
 
 def _all_stacks(tables: Tables) -> DataFrame:
@@ -99,7 +99,8 @@ def _issues_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(tables: Tables) -> DataFrame:
-    return report.reports(analysis.analyze(tables), B.traces(tables), _as_of())
+    found = analysis.run_analysis(tables)
+    return report.reports(found.issues, found.traces, _as_of())
 
 
 def _report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +153,24 @@ def _file_validity(files: DataFrame) -> DataFrame:
     return good.unionByName(bad.select("trace_id", F.lit(False).alias("valid"), "signature"))
 
 
+def _from_folder(report_name: str) -> Query:
+    """A report of sample files and their maps, read from a folder under plain names."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = B.trace_folder(spark, sf_dir)
+        symbols = mapping_files.parse_mapping(read_binary_files(spark, folder, "*-mapping"))
+        return sample_profile(read_binary_files(spark, folder, "sampling"), symbols)[report_name]
+
+    return query
+
+
+def _analysis_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "analysis")
+    found = analysis.run_analysis(B.slice_model(spark, sf_dir))
+    outputs.write_analysis(found, path)
+    outputs.write_analysis(found, path)
+    return outputs.read_analysis(spark, path).findings
+
+
 def _mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "mapping-json")
     mapping_files.write_mapping_json(B.mapping(spark, sf_dir), path)
@@ -205,6 +224,7 @@ def queries() -> dict[str, Query]:
         "call_stack_by_keyword": _on_slices(
             lambda t: _stack_rows(C.call_stacks_by_keyword(t["slice"], KEYWORD))
         ),
+        "call_stack_annotated": _on_slices(lambda t: _stack_rows(_seed_stacks(t), annotate=True)),
         "call_stack_text": _on_slices(lambda t: _stack_rows(_all_stacks(t))),
         # issues
         "severity": _on_slices(_severity),
@@ -217,6 +237,7 @@ def queries() -> dict[str, Query]:
             lambda t: issue_context(t["slice"], analysis.staged_issues(t))
         ),
         "issues_roundtrip": _issues_roundtrip,
+        "findings_roundtrip": _analysis_roundtrip,
         # report
         "report_summary": _on_slices(
             lambda t: report.report_summary(analysis.rated_issues(t), B.traces(t))
@@ -241,6 +262,9 @@ def queries() -> dict[str, Query]:
         "self_time_from_files": lambda spark, sf_dir: sample_profile(
             B.trace_files(spark, sf_dir), B.mapping(spark, sf_dir)
         )["self_time"],
+        "self_time_from_folder": _from_folder("self_time"),
+        "inclusive_time_from_folder": _from_folder("inclusive_time"),
+        "hot_stacks_from_folder": _from_folder("hot_stacks"),
         "inclusive_time": _on_samples(S.inclusive_time),
         "hot_stacks": _on_samples(S.hot_stacks),
     }
