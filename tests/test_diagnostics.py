@@ -66,11 +66,11 @@ def _expected(data, match, limit):
             groups[key] = min(groups.get(key, (i, name)), (i, name), key=lambda x: x[0])
     per_trace = defaultdict(list)
     for (trace, ts, dur), (i, name) in groups.items():
-        per_trace[trace].append((-dur, i, name, ts))
+        per_trace[trace].append((-dur, ts, i, name))
     return {
         (trace, pos, i, name, -neg, ts)
         for trace, rows in per_trace.items()
-        for pos, (neg, i, name, ts) in enumerate(sorted(rows, key=lambda r: r[:2])[:limit], 1)
+        for pos, (neg, ts, i, name) in enumerate(sorted(rows)[:limit], 1)
     }
 
 

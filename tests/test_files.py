@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+import traceprofile as tp
 from tests.test_issues import as_of, findings, trace_list, with_text
 from traceprofile import schema
 from traceprofile.operators import issues
@@ -27,47 +28,31 @@ def record(frames, marker=7, opaque=b"\0" * 66, depth=None):
     )
 
 
-def model(data):
-    """Plain reading of the format."""
-    start = 28 + struct.unpack_from("<I", data, 24)[0]
-    out, bad, pos = [], 0, start
-    while pos + 76 <= len(data):
-        depth = struct.unpack_from("<I", data, pos + 68)[0]
-        if depth == 0 or depth >= 500:
-            pos, bad = pos + 1, bad + 1
-            if bad > 200:
-                break
-            continue
-        end = pos + 76 + 8 * depth
-        if end > len(data):
-            break
-        out.append((struct.unpack_from("<H", data, pos)[0],
-                    list(struct.unpack_from(f"<{depth}q", data, pos + 76))))
-        pos = end
-    return out, bad
-
-
-rng = random.Random(1)
-noise = bytes(rng.randrange(256) for _ in range(400))
+# bytes, samples as (marker, frames), bytes skipped; all stated by hand
 CASES = {
-    "good": header() + record([1]) + record([1, 2, 3, 4, 5], 9) + record(list(range(499))),
-    "junk": header() + record([1, 2]) + b"\0" * 10 + record([3, 4]) + record([5, 6]),
-    "hopeless": header() + b"\0" * (76 + 201) + record([1, 2]),
-    "cut": header() + record([1, 2]) + record([3, 4, 5])[:-3],
-    "deep": header() + record([1] * 500) + record([2]),
-    "zero": header() + record([], depth=0) + record([8, 9]),
-    "high": header() + record([2**63, 2**64 - 1]),
-    "empty": header(),
-    "no_meta": header(b"") + record([4]),
-    "noise": header() + noise + record([1, 2, 3]),
-    "many": header() + b"".join(record([i, i + 1]) for i in range(10_001)),
+    "good": (header() + record([1]) + record([1, 2, 3, 4, 5], 9) + record(list(range(499))),
+             [(7, [1]), (9, [1, 2, 3, 4, 5]), (7, list(range(499)))], 0),
+    "junk": (header() + record([1, 2]) + b"\0" * 10 + record([3, 4]) + record([5, 6]),
+             [(7, [1, 2]), (7, [3, 4]), (7, [5, 6])], 10),
+    "hopeless": (header() + b"\0" * (76 + 201) + record([1, 2]), [], 201),
+    "cut": (header() + record([1, 2]) + record([3, 4, 5])[:-3], [(7, [1, 2])], 0),
+    # no byte of this record starts a depth below 500
+    "deep": (header() + record([2**64 - 1] * 500) + record([2]), [], 201),
+    "zero": (header() + record([8, 9]) + record([], depth=0), [(7, [8, 9])], 1),
+    "high": (header() + record([2**63, 2**64 - 1]), [(7, [-(2**63), -1])], 0),
+    "empty": (header(), [], 0),
+    "no_meta": (header(b"") + record([4]), [(7, [4])], 0),
+    # the marker of the record is taken for a depth of 7, 82 bytes into the noise
+    "noise": (header() + b"\xff" * 150 + record([1, 2, 3]), [(0xFFFF, [0] * 7)], 82),
+    "many": (header() + b"".join(record([i, i + 1]) for i in range(10_001)),
+             [(7, [i, i + 1]) for i in range(10_001)], 0),
 }
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("traces")
-    for name, data in CASES.items():
+    for name, (data, _, _) in CASES.items():
         (root / f"{name}.bin").write_bytes(data)
     (root / "wrong.bin").write_bytes(header(magic=b"PK\x03\x04") + record([1]))
     (root / "tiny.bin").write_bytes(b"\x04")
@@ -79,7 +64,7 @@ def files(spark, folder):
     return binary_files.read_binary_files(spark, folder, "*.bin")
 
 
-def test_samples_and_statistics_match_the_model(files):
+def test_samples_and_statistics(files):
     scan = trace_files.scan_files(trace_files.valid_files(files))
     got = {}
     for r in trace_files.samples_of(scan).orderBy("trace_id", "sample_ord").collect():
@@ -87,11 +72,9 @@ def test_samples_and_statistics_match_the_model(files):
         assert r.sample_ord == len(rows) and r.depth == len(r.frames)
         rows.append((r.marker, r.frames))
     stats = {r.trace_id: (r.sample_count, r.bad) for r in trace_files.parse_stats(scan).collect()}
-    for name, data in CASES.items():
-        samples, bad = model(data)
+    for name, (_, samples, bad) in CASES.items():
         assert got.get(f"{name}.bin", []) == samples, name
         assert stats[f"{name}.bin"] == (len(samples), bad), name
-    assert stats["hopeless.bin"] == (0, 201) and stats["junk.bin"] == (3, 10)
     assert set(stats) == {f"{n}.bin" for n in CASES}
 
 
@@ -112,7 +95,7 @@ def test_files_without_the_signature_are_reported(files):
 def test_trace_name_comes_from_the_path(spark, tmp_path):
     inner = tmp_path / "strace_abc123_huawei"
     inner.mkdir()
-    (inner / "sampling").write_bytes(CASES["good"])
+    (inner / "sampling").write_bytes(CASES["good"][0])
     assert binary_files.read_binary_files(spark, str(tmp_path)).first().trace_id == "strace_abc123_huawei"
 
 
@@ -194,12 +177,16 @@ def test_slice_model_at_rest(spark, tmp_path):
         assert [tuple(r) for r in back[name].collect()] == [tuple(r) for r in df.collect()]
 
 
-def test_profile_from_files_with_a_map_per_trace(spark, tmp_path):
+def two_traces(folder, names=("a", "b")):
     head = struct.pack("<QII", 0, 1, 2)
-    for name, leaf in (("strace_a1_huawei", b"void A.x()"), ("strace_b2_vivo", b"void B.y()")):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "sampling").write_bytes(header() + record([5, 6]) * 3 + record([6]))
-        (tmp_path / name / "sampling-mapping").write_bytes(head + symbol(5, leaf))
+    for name, leaf in zip(names, (b"void A.x()", b"void B.y()")):
+        (folder / name).mkdir(parents=True)
+        (folder / name / "sampling").write_bytes(header() + record([5, 6]) * 3 + record([6]))
+        (folder / name / "sampling-mapping").write_bytes(head + symbol(5, leaf))
+
+
+def test_profile_from_files_with_a_map_per_trace(spark, tmp_path):
+    two_traces(tmp_path, ("strace_a1_huawei", "strace_b2_vivo"))
     read = binary_files.read_binary_files
     mapping = mapping_files.parse_mapping(read(spark, str(tmp_path), "*-mapping"))
     reports = sample_profile(read(spark, str(tmp_path), "sampling"), mapping)
@@ -216,3 +203,57 @@ def test_profile_from_files_with_a_map_per_trace(spark, tmp_path):
     }
     assert reports["hot_stacks"].filter("pos = 1").count() == 2
     assert reports["rejected"].count() == 0
+
+
+def test_profile_of_plainly_named_files(spark, tmp_path):
+    """The calls of the README on folders without a trace name."""
+    two_traces(tmp_path, ("a", "deep/b"))
+    (tmp_path / "a" / "notes.txt").write_bytes(b"not a trace")
+    files = tp.read_binary_files(spark, str(tmp_path), "sampling")
+    symbols = tp.parse_mapping(tp.read_binary_files(spark, str(tmp_path), "*-mapping"))
+    profile = tp.sample_profile(files, symbols)
+    got = {(r.trace_id, r.pos): (r.name, r["count"]) for r in profile["self_time"].collect()}
+    assert got == {
+        ("a", 1): ("void A.x()", 3), ("a", 2): ("native:0x6", 1),
+        ("deep/b", 1): ("void B.y()", 3), ("deep/b", 2): ("native:0x6", 1),
+    }
+    assert {(r.trace_id, r.sample_count) for r in profile["sample_count"].collect()} == {
+        ("a", 4), ("deep/b", 4)}
+    assert profile["headers"].count() == 2 and len(profile) == 7
+    assert tp.oversized_files(spark, str(tmp_path)).count() == 0
+
+
+def test_identity_is_unique_and_shared_by_the_map(spark):
+    paths = ["file:/d/a/sampling", "file:/d/a/sampling-mapping", "file:/d/x.bin", "file:/d/x.bin-mapping",
+             "file:/d/strace_q_huawei/sampling", "file:/d/sampling", "file:/other/y"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = [r[0] for r in df.select(binary_files.trace_identity(F.col("path"), "file:/d")).collect()]
+    assert got == ["a", "a", "x.bin", "x.bin", "strace_q_huawei", "d", "y"]
+    assert binary_files._root(spark, "/d/*/x") == binary_files._root(spark, "file:///d/") == "file:/d"
+
+
+def test_headers_of_foreign_and_odd_files(spark):
+    huge = bytearray(header())
+    huge[24:28] = b"\xff\xff\xff\xff"
+    rows = [("huge", bytes(huge)), ("text", header(b'{"processId":"main"}')), ("other", b"PK" * 40),
+            ("big", header(b'{"processId":99999999999999999999}')), ("none", b"")]
+    files = spark.createDataFrame(rows, "trace_id string, content binary")
+    got = {r.trace_id: r for r in trace_files.trace_headers(files).collect()}
+    assert got["huge"].meta == '{"processId":11550}' and got["huge"].process_id == 11550
+    assert got["text"].process_id is None and got["text"].meta == '{"processId":"main"}'
+    assert got["big"].process_id is None and got["none"].version is None
+
+
+def test_analysis_is_replaced_with_its_raw_tables(spark, tmp_path):
+    from traceprofile.testing import bindings
+
+    found = tp.run_analysis(bindings.slice_model(spark, "/root/testdata/sf0.001"))
+    for _ in range(2):
+        tp.write_analysis(found, str(tmp_path / "last"))
+    back = tp.read_analysis(spark, str(tmp_path / "last"))
+    for name in ("issues", "findings", "stacks", "traces", "diagnostics"):
+        assert getattr(back, name).count() == getattr(found, name).count() > 0
+    tp.write_issues(found.issues, str(tmp_path / "i"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tp.write_issues(found.issues, str(tmp_path / "i"))
+    tp.write_issues(found.issues, str(tmp_path / "i"), mode="overwrite")

@@ -36,7 +36,33 @@ def test_no_query_pairs_rows_without_an_equal_key(spark, name):
 
 def test_top_k_is_cut_before_the_shuffle(tables):
     text = plan(diagnostics.long_slices(tables))
-    assert len(re.findall(r"^\(\d+\) WindowGroupLimit", text, re.M)) == 2
+    # groups are cut in the task and after the shuffle, the folded rows once more
+    assert len(re.findall(r"^\(\d+\) WindowGroupLimit", text, re.M)) == 3
+
+
+@pytest.mark.parametrize("build", [
+    diagnostics.long_slices, diagnostics.frame_jank, diagnostics.main_thread_io,
+])
+def test_groups_are_cut_before_anything_is_folded_or_sent(spark, tables, build):
+    session = spark.newSession()
+    force_shuffles(session)
+    slices = session.read.schema(tables["slice"].schema).parquet(*tables["slice"].inputFiles())
+    text = plan(build({**tables, "slice": slices})).split("== Physical Plan ==")[-1]
+    order = re.findall(r"^\((\d+)\) (\w+)", text, re.M)
+    number = {name: min(int(n) for n, x in order if x == name) for _, name in order}
+    assert number["WindowGroupLimit"] < number["SortAggregate"]
+    cut = number["WindowGroupLimit"]
+    later = [int(n) for n, x in order if x == "Exchange" and int(n) > cut]
+    assert later and not [n for n, x in order if x == "SortAggregate" and int(n) < min(later)]
+
+
+def test_entries_of_all_walks_are_not_hashed(spark):
+    session = spark.newSession()
+    force_shuffles(session)
+    slices = bindings.slice_model(session, SF)["slice"]
+    slices = session.read.schema(slices.schema).parquet(*slices.inputFiles())
+    every = slices.select("trace_id", F.col("id").alias("slice_id"))
+    assert "ShuffledHashJoin" not in plan(callstack.call_stacks(every, slices))
 
 
 def test_duration_bound_and_columns_reach_the_scan(tables):
@@ -51,7 +77,7 @@ def test_duration_bound_and_columns_reach_the_scan(tables):
 
 def test_counts_are_combined_before_the_shuffle(tables):
     text = plan(diagnostics.cpu_heavy(tables))
-    assert "partial_count(1)" in text and "partial_sum(dur" in text
+    assert "partial_count(1)" in text and "partial_sum(cast(dur" in text
 
 
 def test_large_walks_share_one_exchange_of_the_slices(spark):
