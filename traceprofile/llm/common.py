@@ -25,6 +25,12 @@ def rid(column: str = "text") -> Column:
     return F.xxhash64(F.col(column))
 
 
+def bound_batches(frame: DataFrame, limit: str = "4m") -> DataFrame:
+    """``frame``, with Arrow batches of its session bounded by bytes, not only by rows."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+    return frame
+
+
 def given_id(column: str = "did") -> Column:
     """The document id as it was given."""
     return F.when(F.col(column) != NO_ID, F.col(column))

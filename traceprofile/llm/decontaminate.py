@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceprofile.llm import hashing as H
+from traceprofile.llm.common import bound_batches
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.75
@@ -216,7 +217,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 def with_leaks(docs: DataFrame, items: list[tuple[int, str | None]], carried: list[str]) -> DataFrame:
     """``row``, a struct of the ``carried`` columns, and ``hits``, the leaks of its text."""
-    packed = docs.select(F.struct(*carried).alias("row"), F.col("text").alias("body"))
+    packed = bound_batches(docs).select(F.struct(*carried).alias("row"), F.col("text").alias("body"))
     row_type = packed.schema["row"].dataType.simpleString()
     kind = pa.list_(pa.struct([
         ("item", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()),

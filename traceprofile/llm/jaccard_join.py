@@ -61,7 +61,7 @@ HOT = 64
 #: Parity bits for each shingle of the band's largest set.
 PARITY_BITS = 4
 #: Bytes of text whose blocks are sent as one run.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: Pairs of classes looked at at once.
 _PAIRS = 1 << 19
 _TWO = np.uint64(2)
@@ -146,11 +146,19 @@ def parity_bits(shingles: np.ndarray, band: int) -> bytes:
 
 
 def _binary_texts(docs: DataFrame) -> DataFrame:
-    return C.identified(docs).select("did", "rid", F.col("text").cast("binary").alias("text"))
+    return C.bound_batches(C.identified(docs)).select(
+        "did", "rid", F.col("text").cast("binary").alias("text")
+    )
+
+
+def reserve(shingles: np.ndarray, band: int) -> int:
+    """Filled blocks of a set beyond those that a linked one may differ in, less one."""
+    return len(sketch(shingles, band)[0]) - most_different(band) - 1
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """``(did, rid, class, n_shingles)`` of every document; no class for an empty set."""
+    """``(did, rid, class, n_shingles, reserves)`` of every document; no class for an empty
+    set. ``reserves`` are those of its bands, its own first."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text").to_pylist()))
@@ -158,9 +166,13 @@ def members(docs: DataFrame) -> DataFrame:
                 batch.column("did"), batch.column("rid"),
                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
-            ], names=["did", "rid", "class", "n_shingles"])
+                pa.array([[reserve(s, b) for b in bands_of(len(s))] if len(s) else [] for s in sets],
+                         pa.list_(pa.int32())),
+            ], names=["did", "rid", "class", "n_shingles", "reserves"])
 
-    return _binary_texts(docs).mapInArrow(work, "did long, rid long, class long, n_shingles long")
+    return _binary_texts(docs).mapInArrow(
+        work, "did long, rid long, class long, n_shingles long, reserves array<int>"
+    )
 
 
 def _sent_keys(docs: DataFrame, parts: int) -> DataFrame:
@@ -194,17 +206,21 @@ def _sent_keys(docs: DataFrame, parts: int) -> DataFrame:
         return B.key_rows(full, 0, blobs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        held = 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, end in H.chunks(texts, BATCH_BYTES):
-                yield from runs(texts[first:end]).select(["part", "blob"]).to_batches()
+            texts += batch.column("text").to_pylist()
+            held += batch.nbytes
+            if held >= BATCH_BYTES:
+                yield from runs(texts).select(["part", "blob"]).to_batches()
+                texts, held = [], 0
+        yield from runs(texts).select(["part", "blob"]).to_batches()
 
     return _binary_texts(docs).select("text").mapInArrow(work, "part int, blob binary")
 
 
 def shared_blocks(docs: DataFrame) -> DataFrame:
-    """``(key, band, class, hub, n)``: the classes of every block that holds several, the
-    smallest of them and their number."""
+    """``(key, band, class)``: the classes of every block that holds several."""
     def work(table: pa.Table) -> pa.Table:
         columns = [H.unpack(blob) for blob in table.column("blob").to_pylist()]
         key = np.concatenate([c[0] for c in columns])
@@ -220,17 +236,31 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         key, cls = key[new], cls[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        size = np.diff(np.append(first, len(key)))
-        hub, n = np.repeat(cls[first], size), np.repeat(size, size)
-        keep = n > 1
+        keep = np.zeros(len(key), dtype=bool)
+        keep[1:] = key[1:] == key[:-1]
+        keep[:-1] |= keep[1:].copy()
         return pa.table({
             "key": pa.array(key[keep].astype(np.int64)), "band": pa.array((key[keep] & _BAND_BITS).astype(np.int32)),
-            "class": pa.array(cls[keep]), "hub": pa.array(hub[keep]), "n": pa.array(n[keep].astype(np.int64)),
+            "class": pa.array(cls[keep]),
         })
 
-    sent = _sent_keys(docs, B.n_parts(docs.sparkSession))
-    return sent.groupBy("part").applyInArrow(work, "key long, band int, class long, hub long, n long")
+    sent = _sent_keys(docs, max(1, B.n_parts(docs.sparkSession) // 2))
+    return sent.groupBy("part").applyInArrow(work, "key long, band int, class long")
+
+
+def _needed_blocks(raw: DataFrame, needs: DataFrame) -> DataFrame:
+    """``(key, band, class, hub, n)``: shared blocks of classes that can have a partner in
+    the band, with the smallest class of each block and their number.
+
+    Of the filled blocks of a class at most ``D`` differ in a linked one, so it shares more
+    of them than its reserve. A class that has no more shared blocks in all has no partner.
+    """
+    enough = raw.groupBy("class", "band").agg(F.count("*").alias("shared")).join(
+        _small(needs), ["class", "band"]
+    ).filter(F.col("shared") > F.col("reserve")).select("class", "band")
+    kept = raw.join(_small(materialize(enough, "possible")), ["class", "band"])
+    several = kept.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("n"))
+    return kept.join(several.filter("n > 1"), "key").select("key", "band", "class", "hub", "n")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -351,9 +381,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist())
             for cls, shingles in zip(batch.column("class").to_pylist(), sets):
                 for band in bands_of(len(shingles)):
-                    most = most_different(band)
-                    out.append((cls, band, len(sketch(shingles, band)[0]) - most - 1,
-                                parity_bits(shingles, band)))
+                    out.append((cls, band, reserve(shingles, band), parity_bits(shingles, band)))
             columns = list(zip(*out)) or [()] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -434,11 +462,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     filled = known.filter(F.col("class").isNotNull())
     one = F.min(F.struct("did", "rid"))
     first_of = materialize(
-        filled.groupBy("class").agg(one.alias("first"), F.first("n_shingles").alias("n_shingles"))
-        .select("class", "first.did", "first.rid", "n_shingles"), "classes"
+        filled.groupBy("class").agg(
+            one.alias("first"), F.first("n_shingles").alias("n_shingles"),
+            F.first("reserves").alias("reserves"),
+        ).select("class", "first.did", "first.rid", "n_shingles", "reserves"), "classes"
     )
+    edges = F.array(*[F.lit(int(x)) for x in _BANDS[1:]])
+    own = F.size(F.filter(edges, lambda x: x <= F.col("n_shingles")))
+    needs = materialize(first_of.select(
+        "class", own.alias("own"), F.posexplode("reserves").alias("below", "reserve")
+    ).select("class", (F.col("own") - F.col("below")).alias("band"), "reserve"), "needs")
     sizes, ids = first_of.select("class", "n_shingles"), first_of.select("class", "did", "rid")
-    blocks = materialize(shared_blocks(docs), "blocks")
+    raw = materialize(shared_blocks(docs), "shared-blocks")
+    blocks = materialize(_needed_blocks(raw, needs), "blocks")
     hubs = materialize(
         blocks.filter("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("n")), "hubs"
     )

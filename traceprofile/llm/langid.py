@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceprofile.llm.common import bound_batches
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 128
 SAMPLE_CHARS = 2000
@@ -111,7 +113,7 @@ def identify_languages(
     min_margin: float = MIN_MARGIN,
 ) -> DataFrame:
     """``row``, a struct of the ``carried`` columns, with ``lang_pred``, ``score``, ``rejected``."""
-    packed = docs.select(F.struct(*carried).alias("row"), F.col("text").alias("body"))
+    packed = bound_batches(docs).select(F.struct(*carried).alias("row"), F.col("text").alias("body"))
     row_type = packed.schema["row"].dataType.simpleString()
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
