@@ -172,7 +172,7 @@ class Matcher:
                         best[low + text][item] = (
                             self.numbers[item], start - int(first[text]), n, distance, found
                         )
-        return [sorted(b.values()) for b in best]
+        return [[b[item] for item in sorted(b)] for b in best]
 
     def _candidates(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
         """``(text, item, place, distance)`` of windows within the radius that may be similar.
