@@ -153,6 +153,38 @@ def test_leaks_in_awkward_rows(spark, docs, rows, empty):
     assert {r["doc_id"] for r in clean.collect()}.isdisjoint(leaked - {5, None})
 
 
+def _similarity(a: list[str], b: list[str]) -> float:
+    x, y = (Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (a, b))
+    common = sum((x & y).values())
+    return common / max(1, sum(x.values()) + sum(y.values()) - common)
+
+
+def _clipped_leaks(words: list[str], item: list[str]) -> bool:
+    """Whether any window of the length of the item, clipped at the ends of the text, holds it."""
+    n = len(item)
+    return any(_similarity(words[max(s, 0):s + n], item) >= 0.75 for s in range(1 - n, len(words)))
+
+
+def test_leaks_cut_off_by_an_end_of_the_text():
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    for n in (5, 6, 9, 20, 61):
+        item, other, more = word(n), word(40), word(40)
+        texts = [other + item[:n - cut] for cut in range(n)] + [item[cut:] + other for cut in range(n)]
+        texts += [item[1:], item[:-1], item[1:-1], item[2:], other + item + more, item, other, []]
+        edited = item[:n // 2] + ["changed"] + item[n // 2 + 1:-1]
+        texts += [edited, other + edited, edited + other]
+        found = D.Matcher([(8, " ".join(item)), (9, " ".join(more))]).find([" ".join(t) for t in texts])
+        assert [8 in {h[0] for h in own} for own in found] == [_clipped_leaks(t, item) for t in texts]
+        for text, own in zip(texts, found):
+            for number, start, size, _, similarity in own:
+                passage = item if number == 8 else more
+                assert similarity == _similarity(text[start:start + size], passage)
+    item = word(20)
+    (hit,), = D.Matcher([(1, " ".join(item))]).find([" ".join(word(30) + item[:19])])
+    assert hit[:3] == (1, 30, 19) and hit[4] == 15 / 16
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 2**64, 50, dtype=np.uint64)

@@ -9,6 +9,11 @@ the radius is found. A candidate is then compared exactly: the window of as many
 the whole item, by the weighted Jaccard similarity of their shingles of five words, weighted
 by occurrences. From :data:`MIN_SIMILARITY` on it is a leak.
 
+A passage may be cut off by either end of its text. Windows that reach over an end are
+clipped there and found without fingerprints: items are counted by their shingles in the
+text, and every clipped window with enough shingles of an item is compared exactly. Its
+distance may be above the radius.
+
 Words are runs of letters and digits in lower case, so punctuation, case and markup
 between words do not hide a passage.
 
@@ -146,7 +151,12 @@ class Matcher:
         self.shingles = [_shingles(w) for w in self.words]
         self.n_words = np.array([len(w) for w in self.words], dtype=np.int64)
         whole = [H.ngrams(w, SHINGLE_WORDS) for w in self.words]
-        self.known = np.unique(np.concatenate(whole)) if whole else hashes[:0]
+        self.known, at = np.unique(np.concatenate([hashes[:0], *whole]), return_inverse=True)
+        self.n_shingles = np.array([len(w) for w in whole], dtype=np.int64)
+        # the items of each known shingle, laid end to end
+        pairs = np.unique(at * len(whole) + np.repeat(np.arange(len(whole)), self.n_shingles))
+        self.owners = pairs % max(len(whole), 1)
+        self.owned = np.searchsorted(pairs, np.arange(len(self.known) + 1) * len(whole))
         by_size: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
             if len(words):
@@ -163,19 +173,56 @@ class Matcher:
         encoded = _encoded(texts)
         for low, high in H.chunks(encoded):
             hashes, first = _words(encoded[low:high])
-            for text, item, start, distance in self._candidates(hashes, first):
-                n = len(self.words[item])
-                found = similarity(self.shingles[item], _shingles(hashes[start:start + n]))
+            at = self._known_at(hashes, first)
+            for text, item, start, end, distance in itertools.chain(
+                self._candidates(hashes, first), self._clipped(hashes, first, at)
+            ):
+                found = similarity(self.shingles[item], _shingles(hashes[start:end]))
                 if found >= MIN_SIMILARITY:
                     known = best[low + text].get(item)
-                    if known is None or found > known[4]:
-                        best[low + text][item] = (
-                            self.numbers[item], start - int(first[text]), n, distance, found
-                        )
+                    leak = (self.numbers[item], start - int(first[text]), end - start, distance, found)
+                    if known is None or (-found, *leak[1:3]) < (-known[4], *known[1:3]):
+                        best[low + text][item] = leak
         return [[b[item] for item in sorted(b)] for b in best]
 
+    def _known_at(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places of the shingles that occur in any item and lie within one text."""
+        at = np.flatnonzero(H.member(H.ngrams(hashes, SHINGLE_WORDS), self.known))
+        end = first[np.searchsorted(first, at, side="right")]
+        return at[at + SHINGLE_WORDS <= end]
+
+    def _clipped(self, hashes: np.ndarray, first: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """``(text, item, start, end, distance)`` of windows over an end of their text that may
+        be similar: common shingles are at most those of the window that the item has."""
+        if not len(at):
+            return
+        shingle = np.searchsorted(self.known, H.ngrams(hashes, SHINGLE_WORDS)[at])
+        text_of = np.searchsorted(first, at, side="right") - 1
+        for text in np.unique(text_of):
+            begin, stop = int(first[text]), int(first[text + 1])
+            own = slice(*np.searchsorted(text_of, [text, text + 1]))
+            count = self.owned[shingle[own] + 1] - self.owned[shingle[own]]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            item = self.owners[np.repeat(self.owned[shingle[own]], count) + within]
+            place = np.repeat(at[own], count)
+            some, n = np.unique(item, return_counts=True)
+            for k in some[n >= MIN_SIMILARITY * self.n_shingles[some]].tolist():
+                places, size, shingles = place[item == k], len(self.words[k]), self.n_shingles[k]
+                need = math.ceil(MIN_SIMILARITY * shingles)
+                start = np.concatenate([
+                    np.arange(begin - size + 1, begin), np.arange(max(begin, stop - size + 1), stop)
+                ])
+                low, high = np.maximum(start, begin), np.minimum(start + size, stop)
+                held = (np.searchsorted(places, high - SHINGLE_WORDS, side="right")
+                        - np.searchsorted(places, low))
+                have = np.maximum(high - low - SHINGLE_WORDS + 1, 0)
+                able = (held >= need) & (held >= MIN_SIMILARITY * (shingles + have - held))
+                for a, b in np.unique(np.stack([low[able], high[able]], axis=1), axis=0).tolist():
+                    apart = simhashes(hashes[a:b], b - a) ^ simhashes(self.words[k], size)
+                    yield int(text), k, a, b, int(np.bitwise_count(apart)[0])
+
     def _candidates(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-        """``(text, item, place, distance)`` of windows within the radius that may be similar.
+        """``(text, item, start, end, distance)`` of windows within the radius that may be similar.
 
         A similar window has at least that share of its shingles in common with the item, so
         it has as many that occur in any item; running counts tell that at once.
@@ -201,7 +248,7 @@ class Matcher:
                 )
                 shingles = np.maximum(n - SHINGLE_WORDS + 1, 0)
                 able = count[place + shingles] - count[place] >= MIN_SIMILARITY * shingles
-                yield from zip(*(c[able].tolist() for c in (text, item, place, distance)))
+                yield from zip(*(c[able].tolist() for c in (text, item, place, place + n, distance)))
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
