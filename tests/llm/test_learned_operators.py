@@ -185,6 +185,27 @@ def test_leaks_cut_off_by_an_end_of_the_text():
     assert hit[:3] == (1, 30, 19) and hit[4] == 15 / 16
 
 
+def test_passages_edited_near_the_start_are_found():
+    rng = np.random.default_rng(11)
+    for n, edited in ((26, 3), (38, 4), (200, 24)):
+        found = 0
+        for _ in range(100):
+            words = [f"w{i}" for i in rng.integers(0, 10**6, n + 2 * edited + 60)]
+            item, changed, around = words[:n], words[n:n + edited], words[n + 2 * edited:]
+            passage = changed + item[edited:]
+            assert _similarity(passage, item) >= 0.75
+            text = around[:30] + passage + around[30:]
+            found += bool(D.Matcher([(1, " ".join(item))]).find([" ".join(text)])[0])
+        assert found == 100
+
+
+def test_short_items_and_starts_of_windows():
+    texts = ["a b", "b a b c", "a", "", "c d e f x", "c d e f g h"]
+    items = ["a", "a b", "b c d", "c d e f", "c d e f g", ""]
+    found = D.Matcher(list(enumerate(items))).find(texts)
+    assert [{h[0] for h in own} for own in found] == [{0, 1}, {0, 1}, {0}, set(), {3}, {3, 4}]
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 2**64, 50, dtype=np.uint64)

@@ -1,18 +1,18 @@
 """Find passages of a benchmark in documents by SimHash windows.
 
-An item is represented by the SimHash of its first ``w`` words, where ``w`` is the largest
-of a ladder of window sizes that fits it; a document by the SimHash of every window of
-those sizes. Fingerprints of 64 bits are indexed by four blocks of 16 bits, each under all
+An item is represented by the SimHash of all its words; a document, for every length that
+an item has, by the SimHash of its windows of that length. Only windows are fingerprinted
+that hold as many shingles of any items as a leak of that length must. Fingerprints of 64 bits are indexed by four blocks of 16 bits, each under all
 values within :data:`BLOCK_RADIUS` bits of its own: two fingerprints that differ in at most
 :data:`RADIUS` bits have a block that differs in at most that many, so every pair within
 the radius is found. A candidate is then compared exactly: the window of as many words as
 the whole item, by the weighted Jaccard similarity of their shingles of five words, weighted
 by occurrences. From :data:`MIN_SIMILARITY` on it is a leak.
 
-A passage may be cut off by either end of its text. Windows that reach over an end are
-clipped there and found without fingerprints: items are counted by their shingles in the
-text, and every clipped window with enough shingles of an item is compared exactly. Its
-distance may be above the radius.
+Fingerprints of similar windows can be further apart than the radius, and a passage may be
+cut off by either end of its text. So items are also counted by their shingles in the text,
+and every window, clipped where it reaches over an end, with enough shingles of an item for
+that similarity is compared exactly. No leak is lost; its distance may be above the radius.
 
 Words are runs of letters and digits in lower case, so punctuation, case and markup
 between words do not hide a passage.
@@ -56,31 +56,24 @@ _SLICE = 1 << 15
 HITS = "array<struct<item:long,start:long,n_words:long,distance:int,similarity:double>>"
 
 
-def window_size(n_words: int) -> int:
-    """The largest size of the ladder 1-8, 12, 18, 27, ... that is not above ``n_words``."""
-    size = min(n_words, 8)
-    while size >= 8 and size * 3 // 2 <= n_words:
-        size = size * 3 // 2
-    return size
-
-
 def simhashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """SimHash of the ``size`` word hashes from each place on; a bit is set by a majority."""
     if len(hashes) < size:
         return np.zeros(0, dtype=np.uint64)
-    return _windows(_bit_sums(hashes), size)
+    return _windows(_bit_sums(hashes, size), size, np.arange(len(hashes) - size + 1))
 
 
-def _bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running counts of each bit; differences are right modulo 2^16."""
+def _bit_sums(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Running counts of each bit; their differences over up to ``size`` words are right."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(hashes) + 1, 64), dtype=np.uint16)
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=sums[1:])
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+    sums = np.zeros((len(hashes) + 1, 64), dtype=kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
     return sums
 
 
-def _windows(sums: np.ndarray, size: int) -> np.ndarray:
-    most = (sums[size:] - sums[:-size]) > size // 2
+def _windows(sums: np.ndarray, size: int, start: np.ndarray) -> np.ndarray:
+    most = (sums[start + size] - sums[start]) > size // 2
     return np.packbits(most, axis=1).view(np.uint64).ravel()
 
 
@@ -96,17 +89,18 @@ class _Index:
         self.blocks = []
         for block in range(_BLOCKS):
             value = ((prints >> np.uint64(_BLOCK_BITS * block)) & np.uint64(0xFFFF))[:, None] ^ near
-            owner = np.repeat(np.arange(len(prints)), len(near))
-            order = np.argsort(value.ravel(), kind="stable")
-            starts = np.searchsorted(value.ravel()[order], np.arange(2**_BLOCK_BITS + 1))
-            self.blocks.append((starts, owner[order]))
+            value = value.astype(np.uint16).ravel()
+            owner = np.repeat(np.arange(len(prints), dtype=np.int32), len(near))
+            order = np.argsort(value, kind="stable")
+            self.blocks.append((value[order], owner[order]))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(place, number of the item, distance)`` of all within the radius."""
         places, owners = [], []
-        for block, (starts, owner) in enumerate(self.blocks):
-            value = ((prints >> np.uint64(_BLOCK_BITS * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            first, count = starts[value], starts[value + 1] - starts[value]
+        for block, (values, owner) in enumerate(self.blocks):
+            value = ((prints >> np.uint64(_BLOCK_BITS * block)) & np.uint64(0xFFFF)).astype(np.uint16)
+            first = np.searchsorted(values, value)
+            count = np.searchsorted(values, value, side="right") - first
             hit = np.flatnonzero(count)
             count = count[hit]
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -160,12 +154,16 @@ class Matcher:
         by_size: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
             if len(words):
-                by_size.setdefault(window_size(len(words)), []).append(k)
+                by_size.setdefault(len(words), []).append(k)
         self.indexes = {
-            size: _Index(np.concatenate([simhashes(self.words[k][:size], size) for k in own]),
+            size: _Index(np.concatenate([simhashes(self.words[k], size) for k in own]),
                          np.array(own))
             for size, own in by_size.items()
         }
+        self.short = {
+            size: np.unique(np.concatenate([H.ngrams(self.words[k], size) for k in own]))
+            for size, own in by_size.items() if size < SHINGLE_WORDS
+        }
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text ``(item, start, n_words, distance, similarity)`` of its leaks."""
@@ -175,7 +173,7 @@ class Matcher:
             hashes, first = _words(encoded[low:high])
             at = self._known_at(hashes, first)
             for text, item, start, end, distance in itertools.chain(
-                self._candidates(hashes, first), self._clipped(hashes, first, at)
+                self._candidates(hashes, first, at), self._counted(hashes, first, at)
             ):
                 found = similarity(self.shingles[item], _shingles(hashes[start:end]))
                 if found >= MIN_SIMILARITY:
@@ -191,9 +189,9 @@ class Matcher:
         end = first[np.searchsorted(first, at, side="right")]
         return at[at + SHINGLE_WORDS <= end]
 
-    def _clipped(self, hashes: np.ndarray, first: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
-        """``(text, item, start, end, distance)`` of windows over an end of their text that may
-        be similar: common shingles are at most those of the window that the item has."""
+    def _counted(self, hashes: np.ndarray, first: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """``(text, item, start, end, distance)`` of windows, clipped by the ends of their text,
+        that may be similar: common shingles are at most those of the window that the item has."""
         if not len(at):
             return
         shingle = np.searchsorted(self.known, H.ngrams(hashes, SHINGLE_WORDS)[at])
@@ -209,9 +207,7 @@ class Matcher:
             for k in some[n >= MIN_SIMILARITY * self.n_shingles[some]].tolist():
                 places, size, shingles = place[item == k], len(self.words[k]), self.n_shingles[k]
                 need = math.ceil(MIN_SIMILARITY * shingles)
-                start = np.concatenate([
-                    np.arange(begin - size + 1, begin), np.arange(max(begin, stop - size + 1), stop)
-                ])
+                start = np.arange(places[need - 1] - shingles + 1, places[-need] + 1)
                 low, high = np.maximum(start, begin), np.minimum(start + size, stop)
                 held = (np.searchsorted(places, high - SHINGLE_WORDS, side="right")
                         - np.searchsorted(places, low))
@@ -221,34 +217,50 @@ class Matcher:
                     apart = simhashes(hashes[a:b], b - a) ^ simhashes(self.words[k], size)
                     yield int(text), k, a, b, int(np.bitwise_count(apart)[0])
 
-    def _candidates(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-        """``(text, item, start, end, distance)`` of windows within the radius that may be similar.
+    def _starts(
+        self, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, size: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``(text, start)`` of the windows of ``size`` words that may be similar to an item.
 
         A similar window has at least that share of its shingles in common with the item, so
-        it has as many that occur in any item; running counts tell that at once.
+        it has as many that occur in any item.
         """
-        known = H.member(H.ngrams(hashes, SHINGLE_WORDS), self.known)
-        count = np.zeros(len(hashes) + 1, dtype=np.int64)
-        np.cumsum(known, out=count[1:len(known) + 1])
-        count[len(known) + 1:] = count[len(known)]
-        widest = max(self.indexes, default=0)
+        if size < SHINGLE_WORDS:  # one shingle, the whole window
+            low = high = np.flatnonzero(H.member(H.ngrams(hashes, size), self.short[size]))
+            text = np.searchsorted(first, low, side="right") - 1
+        else:
+            shingles = size - SHINGLE_WORDS + 1
+            need = math.ceil(MIN_SIMILARITY * shingles)
+            high, last = at[:max(0, len(at) - need + 1)], at[need - 1:]
+            text = np.searchsorted(first, high, side="right") - 1
+            near = (last - high < shingles) & (last < first[text + 1])
+            text, high = text[near], high[near]
+            low = np.maximum(last[near] - shingles + 1, first[text])
+        high = np.minimum(high, first[text + 1] - size)
+        if len(high) > 1:  # both ends ascend, so a window is left out where the last has it
+            low = np.concatenate([low[:1], np.maximum(low[1:], high[:-1] + 1)])
+        count = np.maximum(high - low + 1, 0)
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(text, count), np.repeat(low, count) + within
+
+    def _candidates(self, hashes: np.ndarray, first: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """``(text, item, start, end, distance)`` of windows within the radius that may be similar."""
+        if not self.indexes:
+            return
+        widest = max(self.indexes)
+        able = {size: self._starts(hashes, first, at, size) for size in self.indexes}
         for low in range(0, len(hashes), _SLICE):
-            piece = hashes[low:low + _SLICE + widest - 1]
-            sums = _bit_sums(piece)
+            sums = None
             for size, index in self.indexes.items():
-                if len(piece) < size:
+                text, start = able[size]
+                own = slice(*np.searchsorted(start, [low, low + _SLICE]))
+                if own.start == own.stop:
                     continue
-                place, item, distance = index.near(_windows(sums, size)[:_SLICE])
-                place = place + low
-                text = np.searchsorted(first, place, side="right") - 1
-                n = self.n_words[item]
-                inside = place + n <= first[text + 1]
-                text, item, place, distance, n = (
-                    c[inside] for c in (text, item, place, distance, n)
-                )
-                shingles = np.maximum(n - SHINGLE_WORDS + 1, 0)
-                able = count[place + shingles] - count[place] >= MIN_SIMILARITY * shingles
-                yield from zip(*(c[able].tolist() for c in (text, item, place, place + n, distance)))
+                if sums is None:
+                    sums = _bit_sums(hashes[low:low + _SLICE + widest - 1], widest)
+                place, item, distance = index.near(_windows(sums, size, start[own] - low))
+                text, start = text[own][place], start[own][place]
+                yield from zip(*(c.tolist() for c in (text, item, start, start + size, distance)))
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
