@@ -246,6 +246,27 @@ def test_licences(spark, docs, rows, empty):
     assert S.license_report(docs).count() == len(rows) and S.license_report(empty).count() == 0
 
 
+def test_notices_among_other_text(spark):
+    gpl = S.TEMPLATES["GPL"][1]
+    wrapped = " Some module.\n * " + gpl.replace(" under ", "\n * under ").replace(" Foundation", "\n * Foundation")
+    table = {
+        1: ("(c) 2024 Jane Doe, released under the MIT License", "MIT", 1),
+        2: ("This project is licensed under the MIT License", "MIT", 1),
+        3: (f"/*\n * It does many things and it has more words here than any notice, to sink it.\n *{wrapped}\n"
+            " * The rest of the comment goes on about what the module does and what it does not do.\n */", "GPL", 1),
+        4: ("See. This work is licensed under the GNU Affero General Public License, version 3. It is ours, "
+            "and all of it stays open to those who wish to read or to change it.", "AGPL", 1),
+        5: ("Released under the MIT License, while the art is all its own: Licensed under CC BY-NC 4.0. Bye.",
+            "CC-BY-NC,MIT", 2),
+        6: ("Preamble. The GNU General Public License is a free, copyleft license for software and other "
+            "kinds of works. The licenses for most software are designed to take away your freedom.", "GPL", 1),
+        7: ("He was under the license of the king and released the work to the public", "", 0),
+    }
+    frame = spark.createDataFrame([(k, v[0]) for k, v in table.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["n_hits"]) for r in S.license_report(frame).collect()}
+    assert got == {k: v[1:] for k, v in table.items()}
+
+
 def test_licences_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     grams = [(n, set(S.bigram_set(t))) for n, texts in S.TEMPLATES.items() for t in texts]

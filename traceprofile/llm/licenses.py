@@ -5,7 +5,10 @@ and cut into units: every line, and every paragraph, as full licence texts are w
 over lines. A unit is compared with the licence templates by the Dice coefficient over
 their sets of word bigrams, ``2 * common / (a + b)``. For the coefficient to reach ``t``
 the sizes must satisfy ``a * t / (2 - t) <= b <= a * (2 - t) / t``; templates outside
-these bounds are not compared. Everything happens inside the row of a document, so no
+these bounds are not compared. A notice that shares its line or paragraph with other text is
+found by windows over the words of the whole text, as long as the template, that start at a
+bigram of the template; of overlapping windows the most similar stays, and it counts unless
+a matching line or paragraph holds it. Everything happens inside the row of a document, so no
 rows are shuffled and no document is cut.
 
 Defined results: a NULL or empty text, and a unit of fewer than two words, match nothing.
@@ -30,6 +33,9 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the "
         "terms of the GNU Affero General Public License as published by the Free Software "
         "Foundation, either version 3 of the License, or (at your option) any later version.",
+        "The GNU Affero General Public License is a free, copyleft license for software and "
+        "other kinds of works, specifically designed to ensure cooperation with the community "
+        "in the case of network server software.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -40,27 +46,60 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF "
         "ANY KIND, either express or implied. See the License for the specific language "
         "governing permissions and limitations under the License.",
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution "
+        "as defined by Sections 1 through 9 of this document.",
     ),
     "BSD": (
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met:",
     ),
-    "CC-BY": ("Licensed under CC BY 4.0.",),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.",),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.",),
+    "CC-BY": (
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 "
+        "International License.",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by "
+        "the terms and conditions of this Creative Commons Attribution 4.0 International "
+        "Public License",
+    ),
+    "CC-BY-NC": (
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
+        "International License.",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by "
+        "the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International "
+        "Public License",
+    ),
+    "CC-BY-SA": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+        "International License.",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by "
+        "the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International "
+        "Public License",
+    ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the "
         "terms of the GNU General Public License as published by the Free Software "
         "Foundation, either version 3 of the License, or (at your option) any later version.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds "
+        "of works.",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with "
         "or without fee is hereby granted, provided that the above copyright notice and this "
         "permission notice appear in all copies.",
     ),
-    "LGPL": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+        "This version of the GNU Lesser General Public License incorporates the terms and "
+        "conditions of version 3 of the GNU General Public License, supplemented by the "
+        "additional permissions listed below.",
+    ),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
@@ -74,6 +113,8 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
         "If a copy of the MPL was not distributed with this file, You can obtain one at "
         "https://mozilla.org/MPL/2.0/.",
+        "\"Contributor\" means each individual or legal entity that creates, contributes to the "
+        "creation of, or owns Covered Software.",
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
@@ -92,11 +133,15 @@ def _units(text: Column) -> Column:
     return F.concat(lines, paragraphs)
 
 
-def _bigrams(unit: Column) -> Column:
+def _pairs(unit: Column) -> Column:
     word = F.array_remove(F.split(unit, " "), "")
     pairs = F.zip_with(word, F.slice(word, 2, F.greatest(F.size(word), F.lit(1))),
                        lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.array_compact(pairs))
+    return F.array_compact(pairs)
+
+
+def _bigrams(unit: Column) -> Column:
+    return F.array_distinct(_pairs(unit))
 
 
 def bigram_set(text: str) -> list[str]:
@@ -108,16 +153,61 @@ def bigram_set(text: str) -> list[str]:
 def _template_array(templates: Mapping[str, tuple[str, ...]]) -> Column:
     return F.array(*[
         F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"),
-                 F.lit(len(grams)).alias("size"))
-        for name, texts in sorted(templates.items()) for grams in map(bigram_set, texts)
+                 F.lit(len(grams)).alias("size"), F.lit(_n_pairs(text)).alias("width"))
+        for name, texts in sorted(templates.items()) for text in texts for grams in [bigram_set(text)]
     ])
 
 
+def _n_pairs(text: str) -> int:
+    return max(1, len("".join(c if c.isascii() and c.isalnum() else " " for c in text).split()) - 1)
+
+
+_WINDOW = "struct<start:int,end:int,dice:double,license:string,grams:array<string>>"
+
+
+def _window_hits(pairs: Column, some: Column, every: Column, min_dice: float) -> Column:
+    """The windows over the bigrams ``pairs`` of a text that match, none overlapping.
+
+    ``some`` are the distinct bigrams of the text that any template has. A window that matches
+    has at least ``min_dice / (2 - min_dice)`` of those of its template.
+    """
+    near = F.filter(every, lambda t: (
+        F.size(F.array_intersect(some, t["grams"])) >= t["size"] * (min_dice / (2 - min_dice))))
+
+    def of_template(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(pairs)),
+                          lambda i: F.array_contains(t["grams"], F.element_at(pairs, i)))
+
+        def window(i: Column) -> Column:
+            # the set stands in a lambda of its own, so that it is made once
+            return F.transform(
+                F.array(F.array_distinct(F.slice(pairs, i, t["width"]))),
+                lambda g: F.struct(
+                    i.alias("start"), (i + t["width"]).alias("end"),
+                    (F.size(F.array_intersect(g, t["grams"])) * 2.0 / (F.size(g) + t["size"])).alias("dice"),
+                    t["name"].alias("license"), g.alias("grams"),
+                ))[0]
+
+        return F.filter(F.transform(starts, window), lambda w: w["dice"] >= min_dice)
+
+    def keep(kept: Column, w: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        apart = last.isNull() | (w["start"] > last["end"])
+        return F.when(apart, F.concat(kept, F.array(w))).when(
+            w["dice"] > last["dice"],
+            F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(w)),
+        ).otherwise(kept)
+
+    found = F.array_sort(F.flatten(F.transform(near, of_template)))
+    none = F.array().cast(f"array<{_WINDOW}>")
+    return F.when(F.size(some) > 0, F.reduce(found, none, keep)).otherwise(none)
+
+
 def scan_licenses(
     docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, min_dice: float = MIN_DICE
 ) -> DataFrame:
     """``(doc_id, n_units, hits)`` of every document; ``hits`` lists, in order of the text,
-    the units that match with ``license`` and ``dice``, the best template of each."""
+    the units that match with ``license`` and ``dice``, the best template of each, then windows."""
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     sizes = [len(bigram_set(t)) for texts in templates.values() for t in texts]
     every = _template_array(templates)
@@ -138,10 +228,28 @@ def scan_licenses(
     # a unit outside the size bounds of all templates is not looked at again
     some_near = lambda g: F.size(g).between(
         int(min(sizes) / high), int(max(sizes) / low) + 1)
-    units = docs.select("doc_id", _units(C.whole_text()).alias("units"))
+    known = F.array(*map(F.lit, sorted({g for ts in templates.values() for t in ts for g in bigram_set(t)})))
+    units = docs.select(
+        "doc_id", _units(C.whole_text()).alias("units"),
+        _pairs(F.translate(normalised(C.whole_text()), "\n", " ")).alias("pairs"),
+    )
     grams = F.filter(F.array_distinct(F.transform("units", _bigrams)), some_near)
-    hits = F.filter(F.transform(grams, best), lambda b: b.isNotNull())
-    return units.select("doc_id", F.size("units").cast("long").alias("n_units"), hits.alias("hits"))
+    rated = F.filter(
+        F.transform(grams, lambda g: F.struct(best(g).alias("best"), g.alias("grams"))),
+        lambda r: r["best"].isNotNull())
+    found = units.select(
+        "doc_id", F.size("units").cast("long").alias("n_units"), rated.alias("rated"), "pairs",
+        F.array_intersect("pairs", known).alias("some"),
+    ).select(
+        "doc_id", "n_units", "rated",
+        _window_hits(F.col("pairs"), F.col("some"), every, min_dice).alias("windows"),
+    )
+    more = F.filter("windows", lambda w: ~F.exists("rated", lambda r: (
+        (r["best"]["license"] == w["license"])
+        & (F.size(F.array_intersect(w["grams"], r["grams"])) * 4 >= F.size(w["grams"]) * 3))))
+    hits = F.concat(F.transform("rated", lambda r: r["best"]),
+                    F.transform(more, lambda w: F.struct(w["dice"].alias("dice"), w["license"].alias("license"))))
+    return found.select("doc_id", "n_units", hits.alias("hits"))
 
 
 def license_report(docs: DataFrame) -> DataFrame:
