@@ -306,6 +306,23 @@ def test_main_text():
     assert (tree.predict(x) == y).all()
 
 
+def test_articles_in_named_wrappers():
+    tree = T.DecisionTree().fit(*T.labelled_table())
+    article = f"<h1>Title of it</h1><p>{_BODY}</p><p>Short.</p><p>{_BODY}</p>"
+    want = f"Title of it\n\n{_BODY}\n\nShort.\n\n{_BODY}"
+    for page in (
+        f"<div class='layout has-sidebar'><article>{article}</article></div>",
+        f"<div id=page class=no-comments><main>{article}</main></div>",
+        f"<div class='page widget-area'><main>{article}</main><div class=sidebar><p>{_BODY}</p></div></div>",
+        f"<div class=sidebar-layout><div><article class=post>{article}</article></div></div>",
+        f"<article><header class='entry-header'><h1>Title of it</h1></header>{article[article.index('<p>'):]}</article>",
+        f"<article>{article}<div class=comments><article><p>{_BODY}</p></article></div></article>",
+        f"<article>{article}</article><div id=comments><article class=comment-body><p>{_BODY}</p></article></div>",
+        f"<article>{article}</article><aside><article><p>{_BODY}</p></article></aside>",
+    ):
+        assert T.main_text(page, tree) == want, page
+
+
 def test_pages(spark):
     table = [(1, "u", _PAGE), (2, None, None), (None, "v", ""), (1, "u", _PAGE), (3, "w", "<p>" * 3000)]
     got = T.extract_main_text(

@@ -3,7 +3,9 @@
 A page is cut at block-level tags into a flat list of text blocks. Each block is described
 by its words and link density, those of its two neighbours, and by what it stands in:
 containers of the article (``article``, ``main``) or of other matter (``nav``, ``footer``,
-a class named ``sidebar`` ...). A decision tree decides for each block whether it is main
+a class named ``sidebar`` ...). An ``article`` or ``main`` below a container that is other
+matter by its name alone is the article again, unless its own name says otherwise; names
+such as ``has-sidebar`` or ``entry-header`` say nothing. A decision tree decides for each block whether it is main
 text. The tree is trained on the blocks of a few labelled pages (:data:`LABELLED_PAGES`);
 it is fitted once per job and travels with the task, pages are handled one at a time
 inside tasks and never shuffled.
@@ -48,6 +50,9 @@ _OTHER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert dialog menu menubar".split()
 )
 _MAIN_TAGS = frozenset(("article", "main"))
+#: First parts of names that tell of a page what it has, and of a header that it is an article's.
+_MODIFIERS = frozenset("has no with without not".split())
+_ARTICLE_PARTS = frozenset("entry post article".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -74,31 +79,43 @@ class Block:
     labelled: bool
 
 
-def _is_other(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element holds other matter than the article, by tag, role and names."""
+def _names_other(value: str) -> bool:
+    """Whether a class or id names other matter; each of its words is taken for itself."""
+    for word in value.split():
+        parts = [part.lower() for part in _NAME_PARTS.findall(word)]
+        if parts and parts[0] in _MODIFIERS:
+            continue
+        if any(part in _OTHER_NAMES and not (part == "header" and before in _ARTICLE_PARTS)
+               for before, part in zip(["", *parts], parts)):
+            return True
+    return False
+
+
+def _is_other(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element holds other matter than the article by tag or role, and by names."""
     if tag in _OTHER_TAGS or (tag == "header" and not in_main):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for name, *values in _NAMES.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, named
         if name == "role":
             if value.lower() in _OTHER_ROLES:
-                return True
-        elif name in ("class", "id") and tag not in _MAIN_TAGS and any(
-            part.lower() in _OTHER_NAMES for part in _NAME_PARTS.findall(value)
-        ):
-            return True
-    return False
+                return True, named
+        elif name in ("class", "id") and _names_other(value):
+            named = True
+    return False, named
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, bool]] = []  # tag, main, other, labelled; after it
+    # tag, main, other by tag or role, other by name, labelled; after it
+    open_tags: list[tuple[str, bool, bool, bool, bool]] = []
     text: list[str] = []
     linked = 0
     paragraph = ("", False, False)  # tag, other, labelled
@@ -110,11 +127,11 @@ def blocks(page: str) -> list[Block]:
         whole = html.unescape("".join(text))
         words = whole.split()
         if words:
-            _, main, other, labelled = open_tags[-1] if open_tags else ("", False, False, False)
+            _, main, other, named, labelled = open_tags[-1] if open_tags else ("", *[False] * 4)
             found.append(Block(
                 " ".join(words), len(words), min(1.0, linked / len(words)),
                 paragraph[0][:1] == "h", any(t[0] == "li" for t in open_tags[-2:]),
-                main, other or paragraph[1], labelled or paragraph[2],
+                main, other or named or paragraph[1], labelled or paragraph[2],
             ))
         text.clear()
         linked = 0
@@ -152,18 +169,22 @@ def blocks(page: str) -> list[Block]:
             end_block()
             in_link = False
             paragraph = ("", False, False)
-            main, other, labelled = open_tags[-1][1:] if open_tags else (False, False, False)
+            main, other, named, labelled = open_tags[-1][1:] if open_tags else [False] * 4
             if close:
                 if tag not in _PARAGRAPH and any(t[0] == tag for t in open_tags):
                     while open_tags.pop()[0] != tag:
                         pass
             elif tag in _PARAGRAPH:
-                paragraph = (tag, _is_other(tag, attributes, main), _LABEL in attributes)
+                paragraph = (tag, any(_is_other(tag, attributes, main)), _LABEL in attributes)
             elif tag not in _VOID:
                 main_now = main or tag in _MAIN_TAGS
+                other_now, named_now = _is_other(tag, attributes, main_now)
+                if tag in _MAIN_TAGS:  # its name counts only in a named container
+                    named = named and (named_now or main)
+                else:
+                    named = named or named_now
                 open_tags.append((
-                    tag, main_now, other or _is_other(tag, attributes, main_now),
-                    labelled or _LABEL in attributes,
+                    tag, main_now, other or other_now, named, labelled or _LABEL in attributes,
                 ))
     end_block()
     return found
@@ -256,6 +277,11 @@ LABELLED_PAGES = (
     f"<article data-main><p>{_LONG}</p></article><p>Page made by us</p>",
     f"<article data-main><p>Yes.</p><p><a href=/>{_LONG}</a></p><p>No.</p></article>"
     f"<div class=related><p><a href=/>{_LONG}</a></p><p>{_LONG}</p></div>",
+    f"<div class='layout sidebar-right'><article data-main><header class=entry-header><h1>Title of it</h1>"
+    f"</header><p>{_LONG}</p><p>{_SHORT}</p></article><div class=widget><p>{_LONG}</p></div></div>",
+    f"<div id=page class='no-comments has-sidebar'><div><a href=/>Home</a> <a href=/a>About us</a></div><div "
+    f"data-main><p>{_LONG}</p><p>{_LONG}</p><p>{_SHORT}</p><p>{_LONG}</p></div><div><a href=/p>Privacy</a> "
+    f"<a href=/t>Terms of use</a></div></div>",
 )
 
 
