@@ -120,6 +120,35 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
 FROM doc LEFT JOIN span USING (r) LEFT JOIN kept USING (r)
 """
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM_LIST = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}')"
+
+_SEARCH = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERM_LIST} AS t FROM documents),
+item AS (
+  SELECT row_number() OVER () AS i, item_id, {_TERM_LIST} AS t FROM benchmark),
+wanted AS (
+  SELECT DISTINCT i, unnest(t) AS term FROM item),
+total AS (
+  SELECT count(*) FILTER (len(t) > 0)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM doc),
+held AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM doc)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weighted AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+  FROM held, total GROUP BY term, n_docs),
+sized AS (
+  SELECT r, doc_id, (10 + ((90 * len(t)::BIGINT * n_docs) // n_terms))::BIGINT AS m FROM doc, total),
+scored AS (
+  SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN weighted USING (term) JOIN held USING (term) JOIN sized USING (r) GROUP BY i, r),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+  FROM scored JOIN sized USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN item USING (i) WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -127,4 +156,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": _MIX,
         "op9_substring_dedup": _SUBSTRINGS,
         "op10_line_dedup": _LINES,
+        "op11_lexical_search": _SEARCH,
     }

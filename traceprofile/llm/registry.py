@@ -81,6 +81,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.lexical_search import search
+
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.conversation_repair import repair_report
+
+    return repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from traceprofile.llm.toxicity import toxicity_report
+
+    return toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -93,6 +111,9 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_repair_conversations": op12_repair_conversations,
+        "op13_toxicity": op13_toxicity,
     }
 
 
