@@ -149,6 +149,79 @@ ranked AS (
 SELECT item_id, rank, doc_id, score FROM ranked JOIN item USING (i) WHERE rank <= 10
 """
 
+# CRC-32 bit by bit: a byte is added once, followed by seven steps without one
+_CRC = """xor(list_reduce(
+    list_concat([4294967295::BIGINT],
+      flatten(list_transform(string_split({0}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"""
+
+_REPAIR = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS cid, turn,
+    {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text
+  FROM conversations),
+damaged AS (
+  SELECT cid, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         rtrim(text, {_SPACE}) AS bare
+  FROM damaged),
+rated AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role) OVER (PARTITION BY cid ORDER BY i) AS before
+  FROM placed),
+counted AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au'))
+      AS illegal, max(i) AS n
+  FROM rated GROUP BY cid),
+gap(q, x, edits, lines) AS (VALUES
+  ('', '', '', ''), ('', 'u', 'I', chr(10) || 'user:'),
+  ('', 'a', 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('s', 's', '', ''), ('s', 'u', 'I', chr(10) || 'user:'),
+  ('s', 'a', 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('u', 'u', '', ''), ('u', 'a', 'I', chr(10) || 'assistant:'),
+  ('u', 'u', 'II', chr(10) || 'assistant:' || chr(10) || 'user:'),
+  ('a', 'a', '', ''), ('a', 'u', 'I', chr(10) || 'user:'),
+  ('a', 'a', 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+edit AS (
+  SELECT gap.*, e, CASE WHEN e = 'D' THEN x WHEN e = 'S' THEN 's' WHEN x = 'u' THEN 'a' ELSE 'u' END AS y,
+    5 * length(edits) + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END AS cost
+  FROM gap, (VALUES ('D'), ('K'), ('S'), ('R')) AS t(e) WHERE e <> 'S' OR x = ''),
+dp(cid, i, q, best) AS (
+  SELECT DISTINCT cid, 0::BIGINT, '', struct_pack(cost := 0::BIGINT, audit := '', said := '') FROM src
+  UNION ALL
+  SELECT dp.cid, dp.i + 1, y, min(struct_pack(
+      cost := (best.cost + cost + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END)::BIGINT,
+      audit := best.audit || edits || CASE e WHEN 'S' THEN 'K' ELSE e END,
+      said := best.said || lines || CASE WHEN e = 'D' THEN ''
+        ELSE chr(10) || CASE WHEN e <> 'R' THEN role WHEN y = 'u' THEN 'user' ELSE 'assistant' END
+             || ':' || text END))
+  FROM dp JOIN rated r ON r.cid = dp.cid AND r.i = dp.i + 1 JOIN edit ON edit.q = dp.q
+  WHERE e = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR left(role, 1) = y))
+  GROUP BY dp.cid, dp.i, y),
+finished AS (
+  SELECT dp.cid, min(struct_pack(
+      cost := best.cost + CASE q WHEN 's' THEN 10 WHEN 'u' THEN 5 ELSE 0 END,
+      audit := best.audit || CASE q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+      said := best.said || CASE q WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:'
+        WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END)) AS best
+  FROM dp JOIN counted ON counted.cid = dp.cid AND dp.i = n GROUP BY dp.cid)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, cid FROM src) LEFT JOIN counted USING (cid) LEFT JOIN finished USING (cid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -157,4 +230,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_substring_dedup": _SUBSTRINGS,
         "op10_line_dedup": _LINES,
         "op11_lexical_search": _SEARCH,
+        "op12_repair_conversations": _REPAIR,
     }

@@ -76,7 +76,7 @@ _FULL_WIDTH = str.maketrans({0xFF01 + i: 0x21 + i for i in range(94)})
 _GREEK_CYRILLIC = re.compile("[\u0370-\u052f]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
-_SIGN_INSIDE = re.compile(r"(?<=[^\W_])[@$!](?=[^\W_])")
+_SIGN_INSIDE = re.compile(r"(?<=[^\W_])[@$!]+(?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
