@@ -13,8 +13,8 @@ Everything is learned from labelled rows, :data:`SAMPLE` of them at most:
 
 * Lexicon: for every word and word beginning the pairs of a text and a distinct word that
   have it, toxic and clean. Entries are those held by ``MIN_SUPPORT`` toxic pairs or more
-  whose log odds stand out by ``MIN_Z`` standard errors; the ``ENTRIES`` that stand out
-  most are kept, which bounds what the driver and the tasks hold.
+  whose log odds are ``MIN_WEIGHT`` or more and stand out by ``MIN_Z`` standard errors; the
+  ``ENTRIES`` that stand out most are kept, which bounds what the driver and the tasks hold.
 * Exceptions: phrases of a matched word alone and with either neighbour that ``MIN_CLEAN``
   clean texts or more hold, and toxic ones not more often than all texts are toxic; the
   ``EXCEPTIONS`` most frequent are kept.
@@ -23,7 +23,7 @@ Everything is learned from labelled rows, :data:`SAMPLE` of them at most:
 
 Counting is a map-side aggregation by word, then one by entry, so no word is a hot key. The
 labels that teach are bounded, so they are sent to the documents. Texts are read in Arrow
-batches where they are, whole; only those that teach are shuffled, to fold equal ones.
+batches where they are, whole, and are not shuffled.
 
 Defined results: a text that is NULL, empty or without words has sum 0 and gets the
 probability of texts without a match. Without labelled rows, or with labels of one kind
@@ -52,7 +52,8 @@ from traceprofile.session import materialize
 SAMPLE = 200_000
 #: Characters of a word beginning, at least and at most.
 MIN_BEGINNING, MAX_BEGINNING = 3, 16
-MIN_SUPPORT, MIN_Z = 5, 4.0
+#: Toxic texts, log odds and standard errors that an entry needs.
+MIN_SUPPORT, MIN_WEIGHT, MIN_Z = 5, 1.5, 4.0
 MIN_CLEAN = 5
 #: Entries and exceptions kept at most.
 ENTRIES, EXCEPTIONS = 50_000, 20_000
@@ -159,21 +160,23 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``text``, ``toxic`` and ``fold`` of at most ``sample`` rows that teach; staged.
+    """``text``, ``toxic`` and ``fold`` of at most ``sample`` labelled ids that teach; staged.
 
-    Texts that occur several times teach once per label.
+    Of documents with equal text and label the one with the smallest id teaches.
     """
     taught = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     )
-    # at most ``sample`` ids
-    joined = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
-    copy = F.xxhash64("text")
-    once = joined.select("text", "toxic", copy.alias("copy")).dropDuplicates(["copy", "toxic"])
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
+    # both are bounded by ``sample``
+    once = hashed.join(F.broadcast(taught), "doc_id").groupBy("copy", "toxic").agg(
+        F.min("doc_id").alias("doc_id")
+    )
     fold = F.pmod("copy", F.lit(FOLDS)).cast("int")
-    return materialize(once.select("text", "toxic", fold.alias("fold")), "toxicity-labelled")
+    joined = hashed.join(F.broadcast(once), ["doc_id", "copy"])
+    return materialize(joined.select("text", "toxic", fold.alias("fold")), "toxicity-labelled")
 
 
 def _counts(rows: DataFrame, of_text: Callable[[str | None, int], Iterable[str]]) -> DataFrame:
@@ -219,8 +222,19 @@ def _left_out() -> list[tuple[str, Column]]:
     return [(str(k), fold != k) for k in range(FOLDS)] + [(str(FOLDS), F.lit(True))]
 
 
+def _of_words(words: DataFrame) -> DataFrame:
+    """The counts of ``words`` for each entry that a word would match: itself and its beginnings."""
+    size = F.length("entry")
+    lengths = F.sequence(F.lit(MIN_BEGINNING), F.least(size - 1, F.lit(MAX_BEGINNING)))
+    begun = F.when(size > MIN_BEGINNING, F.transform(lengths, lambda n: F.left("entry", n)))
+    whole = F.array(F.concat("entry", F.lit(" ")))
+    own = F.coalesce(F.concat(whole, begun), whole)
+    return words.select(F.explode(own).alias("entry"), "fold", "toxic", "clean")
+
+
 def learn_entries(
-    words: DataFrame, min_support: int = MIN_SUPPORT, min_z: float = MIN_Z, entries: int = ENTRIES
+    words: DataFrame, min_support: int = MIN_SUPPORT, min_weight: float = MIN_WEIGHT,
+    min_z: float = MIN_Z, entries: int = ENTRIES,
 ) -> list[dict[str, float]]:
     """Weights of entries by lexicon, from the counts of all words."""
     taught = [
@@ -228,24 +242,24 @@ def learn_entries(
         for k, used in _left_out() for label in ("toxic", "clean")
     ]
     total = words.agg(*taught).first()
-    size = F.length("entry")
-    lengths = F.sequence(F.lit(MIN_BEGINNING), F.least(size - 1, F.lit(MAX_BEGINNING)))
-    beginnings = words.filter(size > MIN_BEGINNING).select(
-        F.explode(F.transform(lengths, lambda n: F.left("entry", n))).alias("entry"),
-        "fold", "toxic", "clean",
+    # entries of toxic words are few; all others are left out before they are counted
+    able = materialize(
+        _of_words(words.filter("toxic > 0")).groupBy("entry").agg(F.sum("toxic").alias("n"))
+        .filter(F.col("n") >= min_support).select("entry"), "toxicity-entries",
     )
-    whole = words.select(F.concat("entry", F.lit(" ")).alias("entry"), "fold", "toxic", "clean")
     weight, rated = [], []
     for k, _ in _left_out():
         toxic, clean = F.col(f"toxic{k}") + 0.5, F.col(f"clean{k}") + 0.5
         odds = F.log(toxic / (total[f"toxic{k}"] + 0.5)) - F.log(clean / (total[f"clean{k}"] + 0.5))
-        able = (toxic > min_support) & F.lit(min(total[f"toxic{k}"], total[f"clean{k}"]) > 0)
+        known = (toxic > min_support) & F.lit(min(total[f"toxic{k}"], total[f"clean{k}"]) > 0)
         weight.append(odds.alias(f"weight{k}"))
-        rated.append(F.when(able, odds / F.sqrt(1 / toxic + 1 / clean)).alias(f"z{k}"))
+        rated.append(
+            F.when(known & (odds >= min_weight), odds / F.sqrt(1 / toxic + 1 / clean)).alias(f"z{k}")
+        )
     most = F.array_max(F.array(*[F.col(f"z{k}") for k, _ in _left_out()]))
     found = (
-        whole.unionByName(beginnings).groupBy("entry").agg(*taught)
-        .filter(F.col(f"toxic{FOLDS}") >= min_support).select("entry", *weight, *rated)
+        _of_words(words).join(able, "entry", "semi").groupBy("entry").agg(*taught)
+        .select("entry", *weight, *rated)
         .filter(most > min_z).orderBy(F.desc(most), "entry").limit(entries).collect()
     )
     return [
@@ -257,29 +271,31 @@ def learn_entries(
 def learn_exceptions(
     rows: DataFrame, lexicons: list[Lexicon], min_clean: int = MIN_CLEAN, exceptions: int = EXCEPTIONS
 ) -> list[Lexicon]:
-    """The lexicons with exceptions, each from the folds that teach it."""
+    """The lexicons with exceptions, each from the folds that teach it.
+
+    Phrases are those around the matches of the last lexicon, which all folds teach.
+    """
 
     def matched(text: str | None, fold: int) -> Iterable[str]:
         words = folded_words(text)
-        for k, lexicon in enumerate(lexicons):
-            if k != fold:
-                for place, _ in lexicon.matches(words):
-                    yield from (f"{k}:{phrase}" for phrase in phrases(words, place))
+        for place, _ in lexicons[FOLDS].matches(words):
+            yield from phrases(words, place)
 
-    label = rows.groupBy("toxic").count().collect()
-    share = sum(r["count"] for r in label if r["toxic"]) / max(sum(r["count"] for r in label), 1)
+    share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     toxic, clean = F.col("toxic"), F.col("clean")
-    harmless = (
-        _counts(rows, matched).groupBy("entry")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter((clean >= min_clean) & (toxic <= share * (toxic + clean)))
-        .orderBy(F.desc("clean"), "entry").limit(exceptions).collect()
+    harmless, names = [], []
+    for k, used in _left_out():
+        t, c = F.sum(F.when(used, toxic)), F.sum(F.when(used, clean))
+        harmless.append(((c >= min_clean) & (t <= share * (t + c))).alias(f"harmless{k}"))
+        names.append(f"harmless{k}")
+    found = (
+        _counts(rows, matched).groupBy("entry").agg(*harmless, F.sum("clean").alias("clean"))
+        .filter(" OR ".join(names)).orderBy(F.desc("clean"), "entry").limit(exceptions).collect()
     )
-    own: list[set[str]] = [set() for _ in lexicons]
-    for row in harmless:
-        number, _, phrase = row["entry"].partition(":")
-        own[int(number)].add(phrase)
-    return [Lexicon(lexicon.weights, frozenset(e)) for lexicon, e in zip(lexicons, own)]
+    return [
+        Lexicon(lexicon.weights, frozenset(r["entry"] for r in found if r[name]))
+        for lexicon, name in zip(lexicons, names)
+    ]
 
 
 @dataclass
