@@ -13,8 +13,9 @@ Everything is learned from labelled rows, :data:`SAMPLE` of them at most:
 
 * Lexicon: for every word and word beginning the pairs of a text and a distinct word that
   have it, toxic and clean. Entries are those held by ``MIN_SUPPORT`` toxic pairs or more
-  whose log odds are ``MIN_WEIGHT`` or more and stand out by ``MIN_Z`` standard errors; the
-  ``ENTRIES`` that stand out most are kept, which bounds what the driver and the tasks hold.
+  whose log odds are ``MIN_WEIGHT`` or more and whose log likelihood ratio, against equal
+  rates in both, is ``MIN_RATIO`` or more; the ``ENTRIES`` with the largest ratios are kept,
+  which bounds what the driver and the tasks hold.
 * Exceptions: phrases of a matched word alone and with either neighbour that ``MIN_CLEAN``
   clean texts or more hold, and toxic ones not more often than all texts are toxic; the
   ``EXCEPTIONS`` most frequent are kept.
@@ -52,8 +53,8 @@ from traceprofile.session import materialize
 SAMPLE = 200_000
 #: Characters of a word beginning, at least and at most.
 MIN_BEGINNING, MAX_BEGINNING = 3, 16
-#: Toxic texts, log odds and standard errors that an entry needs.
-MIN_SUPPORT, MIN_WEIGHT, MIN_Z = 5, 1.5, 4.0
+#: Toxic texts, log odds and log likelihood ratio that an entry needs.
+MIN_SUPPORT, MIN_WEIGHT, MIN_RATIO = 5, 1.5, 18.0
 MIN_CLEAN = 5
 #: Entries and exceptions kept at most.
 ENTRIES, EXCEPTIONS = 50_000, 20_000
@@ -234,7 +235,7 @@ def _of_words(words: DataFrame) -> DataFrame:
 
 def learn_entries(
     words: DataFrame, min_support: int = MIN_SUPPORT, min_weight: float = MIN_WEIGHT,
-    min_z: float = MIN_Z, entries: int = ENTRIES,
+    min_ratio: float = MIN_RATIO, entries: int = ENTRIES,
 ) -> list[dict[str, float]]:
     """Weights of entries by lexicon, from the counts of all words."""
     taught = [
@@ -249,21 +250,25 @@ def learn_entries(
     )
     weight, rated = [], []
     for k, _ in _left_out():
-        toxic, clean = F.col(f"toxic{k}") + 0.5, F.col(f"clean{k}") + 0.5
-        odds = F.log(toxic / (total[f"toxic{k}"] + 0.5)) - F.log(clean / (total[f"clean{k}"] + 0.5))
-        known = (toxic > min_support) & F.lit(min(total[f"toxic{k}"], total[f"clean{k}"]) > 0)
+        toxic, clean = F.col(f"toxic{k}"), F.col(f"clean{k}")
+        all_toxic, all_clean = total[f"toxic{k}"], total[f"clean{k}"]
+        odds = F.log((toxic + 0.5) / (all_toxic + 0.5)) - F.log((clean + 0.5) / (all_clean + 0.5))
+        share = all_toxic / max(all_toxic + all_clean, 1)
+        ratio = sum(
+            F.when(own > 0, own * F.log(own / ((toxic + clean) * part))).otherwise(0.0)
+            for own, part in ((toxic, share), (clean, 1 - share)) if 0 < share < 1
+        ) + F.lit(0.0)
+        able_here = (toxic >= min_support) & (odds >= min_weight) & F.lit(0 < share < 1)
         weight.append(odds.alias(f"weight{k}"))
-        rated.append(
-            F.when(known & (odds >= min_weight), odds / F.sqrt(1 / toxic + 1 / clean)).alias(f"z{k}")
-        )
-    most = F.array_max(F.array(*[F.col(f"z{k}") for k, _ in _left_out()]))
+        rated.append(F.when(able_here, ratio).alias(f"ratio{k}"))
+    most = F.array_max(F.array(*[F.col(f"ratio{k}") for k, _ in _left_out()]))
     found = (
         _of_words(words).join(able, "entry", "semi").groupBy("entry").agg(*taught)
         .select("entry", *weight, *rated)
-        .filter(most > min_z).orderBy(F.desc(most), "entry").limit(entries).collect()
+        .filter(most >= min_ratio).orderBy(F.desc(most), "entry").limit(entries).collect()
     )
     return [
-        {r["entry"]: r[f"weight{k}"] for r in found if r[f"z{k}"] is not None and r[f"z{k}"] > min_z}
+        {r["entry"]: r[f"weight{k}"] for r in found if (r[f"ratio{k}"] or 0.0) >= min_ratio}
         for k, _ in _left_out()
     ]
 
