@@ -209,8 +209,8 @@ def test_profile_of_plainly_named_files(spark, tmp_path):
     """The calls of the README on folders without a trace name."""
     two_traces(tmp_path, ("a", "deep/b"))
     (tmp_path / "a" / "notes.txt").write_bytes(b"not a trace")
-    files = tp.read_binary_files(spark, str(tmp_path), "sampling")
-    symbols = tp.parse_mapping(tp.read_binary_files(spark, str(tmp_path), "*-mapping"))
+    files = tp.list_files(spark, str(tmp_path), "sampling")
+    symbols = tp.parse_mapping(tp.list_files(spark, str(tmp_path), "*-mapping"))
     profile = tp.sample_profile(files, symbols)
     got = {(r.trace_id, r.pos): (r.name, r["count"]) for r in profile["self_time"].collect()}
     assert got == {
@@ -220,7 +220,6 @@ def test_profile_of_plainly_named_files(spark, tmp_path):
     assert {(r.trace_id, r.sample_count) for r in profile["sample_count"].collect()} == {
         ("a", 4), ("deep/b", 4)}
     assert profile["headers"].count() == 2 and len(profile) == 7
-    assert tp.oversized_files(spark, str(tmp_path)).count() == 0
 
 
 def test_identity_is_unique_and_shared_by_the_map(spark):

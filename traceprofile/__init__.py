@@ -1,14 +1,15 @@
 """Analytics over mobile performance traces as Spark DataFrame jobs.
 
 Slices: :func:`read_slice_model` → :func:`analyze` → :func:`reports`.
-Samples: :func:`read_binary_files` → :func:`parse_mapping` → :func:`sample_profile`.
+Samples: :func:`list_files` → :func:`parse_mapping` → :func:`sample_profile`.
 """
 
 from traceprofile.plans.analysis import analyze, run_analysis, trace_status
 from traceprofile.plans.profile import sample_profile
 from traceprofile.plans.report import report_summary, reports
 from traceprofile.session import configure, staging
-from traceprofile.sources.binary_files import oversized_files, read_binary_files
+from traceprofile.sources.binary_files import read_binary_files
+from traceprofile.sources.file_ranges import list_files
 from traceprofile.sources.mapping_files import parse_mapping
 from traceprofile.sources.outputs import (
     read_analysis, read_issues, read_reports, write_analysis, write_issues, write_reports,
@@ -16,7 +17,7 @@ from traceprofile.sources.outputs import (
 from traceprofile.sources.slice_model import read_slice_model, write_slice_model
 
 __all__ = [
-    "analyze", "configure", "oversized_files", "parse_mapping", "read_analysis",
+    "analyze", "configure", "list_files", "parse_mapping", "read_analysis",
     "read_binary_files", "read_issues", "read_reports", "read_slice_model", "report_summary",
     "reports", "run_analysis", "sample_profile", "staging", "trace_status", "write_analysis",
     "write_issues", "write_reports", "write_slice_model",

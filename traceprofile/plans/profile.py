@@ -31,7 +31,8 @@ class Reports(Mapping[str, DataFrame]):
 
 
 def sample_profile(files: DataFrame, mapping: DataFrame) -> Reports:
-    """All sampling reports of ``files`` (``trace_id, content``) by name.
+    """All sampling reports by name, of a listing ``(trace_id, path, size)`` of files of any
+    size or of rows ``(trace_id, content)``.
 
     Files are decoded once; the decoded samples are written to the shared folder and
     every report reads the columns it needs from there. Headers are read of files with the

@@ -13,8 +13,6 @@ from traceprofile.functions.text import TRACE_NAME_PATTERN
 # Ending of a symbol map's name, name of a sample file alone in its folder.
 MAPPING_SUFFIX = "-mapping"
 SAMPLE_FILE = "sampling"
-#: A binary value of Spark must stay below this.
-MAX_FILE_BYTES = 2**31 - 1 - 16
 
 
 def _root(spark: SparkSession, path: str) -> str:
@@ -40,30 +38,20 @@ def trace_identity(path: Column, root: str) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), named, F.lit(root.rsplit("/", 1)[-1]))
 
 
-def _listing(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+def file_listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """The files below ``path`` with ``trace_id``, ``path``, ``length`` and ``content``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    return files.withColumn("trace_id", trace_identity(F.col("path"), _root(spark, path)))
 
 
 def read_binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``(trace_id, path, content)``, one row per file below 2 GiB.
+    """``(trace_id, path, content)``, one row per file, through Spark's own reader.
 
-    Larger files do not fit a row; they are skipped before they are read and listed by
-    :func:`oversized_files`.
+    A row holds less than 2 GiB; a larger file fails the read. ``list_files`` of
+    :mod:`traceprofile.sources.file_ranges` takes files of any size.
     """
-    files = _listing(spark, path, pattern).filter(F.col("length") <= MAX_FILE_BYTES)
-    return files.select(
-        trace_identity(F.col("path"), _root(spark, path)).alias("trace_id"), "path", "content"
-    )
-
-
-def oversized_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``(trace_id, path, size)`` of the files that :func:`read_binary_files` skips."""
-    files = _listing(spark, path, pattern).filter(F.col("length") > MAX_FILE_BYTES)
-    return files.select(
-        trace_identity(F.col("path"), _root(spark, path)).alias("trace_id"), "path",
-        F.col("length").alias("size"),
-    )
+    return file_listing(spark, path, pattern).select("trace_id", "path", "content")
 
 
 def little_endian(content: Column, offset: int, size: int) -> Column:

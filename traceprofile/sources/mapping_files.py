@@ -4,42 +4,62 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceprofile.functions.text import hex_address, parse_hex_address
+from traceprofile.sources.file_ranges import Opener, open_file, read_at
 
 # Layout of the file format.
 FILE_HEADER = 16
 RECORD_HEAD = 10
 MAX_NAME_BYTES = 2000  # exclusive
 
+#: Bytes of a file in memory at a time.
+PIECE_BYTES = 16 << 20
+
 _SCHEMA = "trace_id string, addr bigint, name string"
 _SCHEMA_WITH_PATH = "trace_id string, path string, addr bigint, name string"
 
 
-def _symbols(content: memoryview) -> dict[int, str]:
-    """Address to name; a later record replaces an earlier one of the same address."""
+def _parse(content: memoryview, at: int) -> tuple[dict[int, str], int, bool]:
+    """Address to name, a later record replacing an earlier one of the same address; then
+    the place of the first record that was not read, and whether it ends the file."""
     names: dict[int, str] = {}
-    at, size = FILE_HEADER, len(content)
-    head = struct.Struct("<qH")
+    size, head = len(content), struct.Struct("<qH")
     while at + RECORD_HEAD <= size:
         addr, length = head.unpack_from(content, at)
-        at += RECORD_HEAD
-        if not 0 < length < MAX_NAME_BYTES or at + length > size:
+        if not 0 < length < MAX_NAME_BYTES:
+            return names, at, True
+        after = at + RECORD_HEAD + length
+        if after > size:
             break
-        names[addr] = str(content[at : at + length], "utf-8", "replace")
-        at += length
-    return names
+        names[addr] = str(content[at + RECORD_HEAD : after], "utf-8", "replace")
+        at = after
+    return names, at, False
+
+
+def _pieces(file: BinaryIO, piece: int) -> Iterator[dict[int, str]]:
+    """The symbols of a file of any size, by pieces; a record that a piece cuts off is read
+    again with the next one."""
+    at = FILE_HEADER
+    while True:
+        content = read_at(file, at, piece)
+        names, after, ended = _parse(memoryview(content), 0)
+        yield names
+        if ended or len(content) < piece:
+            return
+        at += after
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.schema.names[:-1]
         for *own, value in zip(*batch.columns):
-            names = _symbols(memoryview(value.as_buffer()))
+            names, _, _ = _parse(memoryview(value.as_buffer()), FILE_HEADER)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[pa.array([key.as_py()] * len(names), pa.string()) for key in own],
@@ -50,9 +70,39 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def parse_mapping(files: DataFrame) -> DataFrame:
+def _scan_listed(piece: int, opener: Opener):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with opener(row["path"]) as file:
+                    for number, names in enumerate(_pieces(file, piece)):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *[pa.array([row[key]] * len(names), pa.string())
+                                  for key in ("trace_id", "path")],
+                                pa.array(list(names), pa.int64()),
+                                pa.array(list(names.values()), pa.string()),
+                                pa.array([number] * len(names), pa.int64()),
+                            ],
+                            names=["trace_id", "path", "addr", "name", "piece"],
+                        )
+
+    return work
+
+
+def parse_mapping(
+    files: DataFrame, piece_bytes: int = PIECE_BYTES, opener: Opener = open_file
+) -> DataFrame:
     """``(trace_id, addr, name)`` of every file, with its ``path`` where that is known.
-    Duplicates are settled inside the file, so no shuffle follows."""
+
+    Of rows with a ``content`` duplicates are settled inside the file, so no shuffle follows.
+    A listing may hold files of any size; they are read by pieces, and the last piece wins.
+    """
+    if "content" not in files.columns:
+        found = files.select("trace_id", "path").mapInArrow(
+            _scan_listed(piece_bytes, opener), f"{_SCHEMA_WITH_PATH}, piece bigint"
+        )
+        return found.groupBy("trace_id", "path", "addr").agg(F.max_by("name", "piece").alias("name"))
     if "path" in files.columns:
         return files.select("trace_id", "path", "content").mapInArrow(_scan, _SCHEMA_WITH_PATH)
     return files.select("trace_id", "content").mapInArrow(_scan, _SCHEMA)

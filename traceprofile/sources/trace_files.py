@@ -1,8 +1,19 @@
 """Sample files: signature, header, samples and scan statistics.
 
-Only the sample scan runs in Python, because its resynchronisation is sequential within
-a file; files are spread over tasks and handled one Arrow batch at a time. Everything
-else reads fields of the content column inside the JVM.
+Files come as rows with their ``content`` or, of any size, as a listing
+``(trace_id, path, size)`` of :mod:`traceprofile.sources.file_ranges`. From a listing the
+signature and header take the first bytes of each file only, and samples are scanned by
+byte ranges:
+
+* Where a scan enters a range depends on all bytes before it. But no record is longer than
+  ``MAX_RECORD`` bytes, so it enters within that many bytes of the begin. For each of these
+  offsets a first pass finds where the scan leaves the range, how many samples it meets and
+  how many bytes it skips; scans from different offsets soon run into each other.
+* The ranges of a file are composed in order, a few numbers each, which settles where every
+  range is entered and where the file ends, be it by too many skipped bytes.
+* A second pass reads the ranges that are entered and emits their samples.
+
+A file of one range, as most are, takes the second pass only.
 """
 
 from __future__ import annotations
@@ -15,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceprofile.sources import file_ranges
 from traceprofile.sources.binary_files import little_endian
+from traceprofile.sources.file_ranges import RANGE_BYTES, Opener, open_file, read_at
 
 # ---------------------------------------------------------------------------
 # Layout of the file format.
@@ -26,6 +39,7 @@ RECORD_HEADER = 76
 DEPTH_AT = 68
 MAX_DEPTH = 500   # exclusive
 MAX_BAD_BYTES = 200
+MAX_RECORD = RECORD_HEADER + 8 * (MAX_DEPTH - 1)
 # ---------------------------------------------------------------------------
 
 BATCH_SAMPLES = 10_000
@@ -35,6 +49,22 @@ _SCAN_SCHEMA = (
 )
 
 
+def _json_length(start: bytes) -> int:
+    """Bytes of the header's text; a foreign file is not read further."""
+    if start[:4] != bytes.fromhex(MAGIC_HEX):
+        return 0
+    return struct.unpack_from("<I", start, JSON_LENGTH_AT)[0]
+
+
+def with_headers(listing: DataFrame, opener: Opener = open_file) -> DataFrame:
+    """``listing`` with the header bytes of each file as ``content``; no other byte is read."""
+    return file_ranges.file_starts(listing, JSON_AT, _json_length, opener)
+
+
+def _started(files: DataFrame) -> DataFrame:
+    return files if "content" in files.columns else with_headers(files)
+
+
 def has_signature(content: Column) -> Column:
     return F.coalesce(
         F.substring(content, 1, 4) == F.unhex(F.lit(MAGIC_HEX)), F.lit(False)
@@ -42,24 +72,29 @@ def has_signature(content: Column) -> Column:
 
 
 def valid_files(files: DataFrame) -> DataFrame:
-    return files.filter(has_signature(F.col("content")))
+    """The files with the signature, in the form they came in."""
+    return _started(files).filter(has_signature(F.col("content"))).select(*files.columns)
 
 
 def rejected_files(files: DataFrame) -> DataFrame:
     """Files without the signature, with the bytes found in its place."""
-    return files.filter(~has_signature(F.col("content"))).select(
+    size = F.col("size") if "size" in files.columns else F.length("content")
+    return _started(files).filter(~has_signature(F.col("content"))).select(
         "trace_id", F.lower(F.hex(F.substring("content", 1, 4))).alias("signature"),
-        F.length("content").cast("bigint").alias("size"),
+        size.cast("bigint").alias("size"),
     )
 
 
 def trace_headers(files: DataFrame) -> DataFrame:
-    """Header fields of every file; a foreign file or a text process id gives NULL."""
+    """Header fields of every file; a foreign file or a text process id gives NULL.
+
+    Of a listing the text of a file without the signature is not read.
+    """
     content = F.col("content")
     present = F.greatest(F.length(content) - JSON_AT, F.lit(0))
     meta_length = F.least(little_endian(content, JSON_LENGTH_AT, 4), present).cast("int")
     meta = F.substring(content, F.lit(JSON_AT + 1), meta_length).cast("string")
-    return files.select(
+    return _started(files).select(
         "trace_id",
         little_endian(content, VERSION_AT, 4).alias("version"),
         little_endian(content, TIMESTAMP_AT, 8).alias("ts"),
@@ -69,13 +104,21 @@ def trace_headers(files: DataFrame) -> DataFrame:
     )
 
 
-def _records(content: memoryview) -> Iterator[tuple[int, int, int]]:
-    """``(start, depth, bad)`` of each record; ``bad`` counts skipped bytes so far.
-    Ends with ``(-1, 0, bad)``."""
-    size, bad = len(content), 0
+def _start(content: memoryview | bytes, size: int) -> int:
+    """Where the records of a file of ``size`` bytes begin, by its first bytes."""
+    if len(content) < JSON_AT:
+        return size
+    return JSON_AT + struct.unpack_from("<I", content, JSON_LENGTH_AT)[0]
+
+
+def _records(
+    content: memoryview | bytes, at: int, limit: int, bad: int = 0
+) -> Iterator[tuple[int, int, int]]:
+    """``(start, depth, bad)`` of each record that starts from ``at`` on and before ``limit``;
+    ``bad`` counts skipped bytes so far. Ends with ``(-1, 0, bad)``."""
+    size = len(content)
     read_u32 = struct.Struct("<I").unpack_from
-    at = JSON_AT + read_u32(content, JSON_LENGTH_AT)[0] if size >= JSON_AT else size
-    while at + RECORD_HEADER <= size:
+    while at < limit and at + RECORD_HEADER <= size:
         depth = read_u32(content, at + DEPTH_AT)[0]
         if 0 < depth < MAX_DEPTH:
             end = at + RECORD_HEADER + 8 * depth
@@ -124,20 +167,171 @@ def _summary(trace: str, bad: int):
     )
 
 
+def _samples(
+    trace: str, content: memoryview, at: int, limit: int, bad: int = 0, done: int = 0
+) -> Iterator[pa.RecordBatch]:
+    """The samples of a content numbered from ``done`` on, then the bytes skipped so far."""
+    found: list[tuple[int, int, int]] = []
+    for record in _records(content, at, limit, bad):
+        if record[0] >= 0:
+            found.append(record)
+        if found and (len(found) == BATCH_SAMPLES or record[0] < 0):
+            yield _batch(trace, content, done, found)
+            done, found = done + len(found), []
+        if record[0] < 0:
+            yield _summary(trace, record[2])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for trace, value in zip(batch.column(0), batch.column(1)):
-            name, content = trace.as_py(), memoryview(value.as_buffer())
-            found: list[tuple[int, int, int]] = []
-            done = 0
-            for record in _records(content):
-                if record[0] >= 0:
-                    found.append(record)
-                if found and (len(found) == BATCH_SAMPLES or record[0] < 0):
-                    yield _batch(name, content, done, found)
-                    done, found = done + len(found), []
-                if record[0] < 0:
-                    yield _summary(name, record[2])
+            content = memoryview(value.as_buffer())
+            yield from _samples(trace.as_py(), content, _start(content, len(content)), len(content))
+
+
+def _passages(content: bytes, entries: range, limit: int) -> list[tuple[int, int, int, int]]:
+    """``(entry, exit, samples, bad)`` of the entries from which a scan survives the content.
+
+    ``exit`` is the first position from ``limit`` on, or -1 where the file ends before.
+    """
+    size = len(content)
+    read_u32 = struct.Struct("<I").unpack_from
+    known: dict[int, tuple[int, int, int]] = {}
+    for entry in entries:
+        path, at, bad = [], entry, 0
+        while at not in known and bad <= MAX_BAD_BYTES:
+            if at >= limit:
+                known[at] = (at, 0, 0)
+                break
+            depth = read_u32(content, at + DEPTH_AT)[0] if at + RECORD_HEADER <= size else None
+            if depth is None:
+                known[at] = (-1, 0, 0)
+            elif 0 < depth < MAX_DEPTH:
+                after = at + RECORD_HEADER + 8 * depth
+                if after > size:
+                    known[at] = (-1, 0, 0)
+                else:
+                    path.append((at, 1))
+                    at = after
+            else:
+                path.append((at, 0))
+                at, bad = at + 1, bad + 1
+        if at in known:
+            leaves, samples, skipped = known[at]
+            for place, record in reversed(path):
+                samples, skipped = samples + record, skipped + 1 - record
+                known[place] = (leaves, samples, skipped)
+    return [(e, *known[e]) for e in entries if e in known and known[e][2] <= MAX_BAD_BYTES]
+
+
+def _passage_table(range_bytes: int, opener: Opener):
+    """Per range ``start`` of the file's records and the passages, by absolute positions."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                begin, end = row["begin"], row["end"]
+                with opener(row["path"]) as file:
+                    start = _start(read_at(file, 0, JSON_AT), row["size"])
+                    passages = []
+                    if start < end:
+                        content = read_at(file, begin, end - begin + MAX_RECORD)
+                        first = max(start - begin, 0)
+                        last = first + 1 if start >= begin else min(MAX_RECORD, end - begin)
+                        passages = _passages(content, range(first, last), end - begin)
+                yield pa.RecordBatch.from_pylist([{
+                    **{name: row[name] for name in ("trace_id", "path", "size", "begin", "end")},
+                    "start": start,
+                    "passages": [
+                        [begin + e, begin + x if x >= 0 else -1, n, b] for e, x, n, b in passages
+                    ],
+                }], schema=_TABLE_TYPE)
+
+    return work
+
+
+_TABLE_TYPE = pa.schema([
+    ("trace_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("begin", pa.int64()),
+    ("end", pa.int64()), ("start", pa.int64()), ("passages", pa.list_(pa.list_(pa.int64()))),
+])
+_TABLE_SCHEMA = (
+    "trace_id string, path string, size bigint, begin bigint, end bigint, start bigint, "
+    "passages array<array<bigint>>"
+)
+_ENTERED_SCHEMA = (
+    "trace_id string, path string, size bigint, begin bigint, end bigint, entry bigint, "
+    "done bigint, bad bigint"
+)
+
+
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges that a scan of each file enters; rows come by path and begin."""
+    path, at, done, bad = None, -1, 0, 0
+    for batch in batches:
+        entered = []
+        for row in batch.to_pylist():
+            if row["path"] != path:
+                path, at, done, bad = row["path"], row["start"], 0, 0
+            if not row["begin"] <= at < row["end"]:
+                continue
+            entered.append({
+                **{name: row[name] for name in ("trace_id", "path", "size", "begin", "end")},
+                "entry": at, "done": done, "bad": bad,
+            })
+            passage = next((p for p in row["passages"] if p[0] == at), None)
+            if passage is None:  # too many bytes are skipped here
+                at = -1
+                continue
+            _, at, samples, skipped = passage
+            done, bad = done + samples, bad + skipped
+            if bad > MAX_BAD_BYTES:
+                at = -1
+        yield pa.RecordBatch.from_pylist(entered, schema=pa.schema([
+            ("trace_id", pa.string()), ("path", pa.string()),
+            *((name, pa.int64()) for name in ("size", "begin", "end", "entry", "done", "bad")),
+        ]))
+
+
+def _scan_entered(opener: Opener):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                begin, end = row["begin"], row["end"]
+                with opener(row["path"]) as file:
+                    content = memoryview(read_at(file, begin, end - begin + MAX_RECORD))
+                entry = row["entry"] if row["entry"] is not None else _start(content, row["size"])
+                yield from _samples(
+                    row["trace_id"], content, entry - begin, end - begin, row["bad"], row["done"]
+                )
+
+    return work
+
+
+def scan_ranges(
+    listing: DataFrame, range_bytes: int = RANGE_BYTES, opener: Opener = open_file
+) -> DataFrame:
+    """:func:`scan_files` of a listing, by byte ranges. A file may have several rows without
+    a depth; the largest ``bad`` counts."""
+    cut = file_ranges.spread(file_ranges.ranges(listing, range_bytes), listing, range_bytes)
+    number = F.lit(0).cast("bigint")
+    single = cut.filter(F.col("size") <= range_bytes).select(
+        "*", F.lit(None).cast("bigint").alias("entry"), number.alias("done"), number.alias("bad")
+    )
+    tables = cut.filter(F.col("size") > range_bytes).mapInArrow(
+        _passage_table(range_bytes, opener), _TABLE_SCHEMA
+    )
+    entered = tables.repartition("path").sortWithinPartitions("path", "begin").mapInArrow(
+        _compose, _ENTERED_SCHEMA
+    )
+    several = file_ranges.spread(entered, listing, range_bytes)
+    # a file whose records begin behind its end has a row too
+    found = single.unionByName(several).mapInArrow(_scan_entered(opener), _SCAN_SCHEMA)
+    silent = listing.filter(F.col("size") > range_bytes).select(
+        "trace_id", F.lit(None).cast("bigint").alias("sample_ord"), F.lit(None).cast("int").alias("marker"),
+        F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<bigint>").alias("frames"),
+        number.alias("bad"),
+    )
+    return found.unionByName(silent)
 
 
 def scan_files(files: DataFrame) -> DataFrame:
@@ -145,6 +339,8 @@ def scan_files(files: DataFrame) -> DataFrame:
 
     One pass serves both :func:`samples_of` and :func:`parse_stats`.
     """
+    if "content" not in files.columns:
+        return scan_ranges(files)
     return files.select("trace_id", "content").mapInArrow(_scan, _SCAN_SCHEMA)
 
 

@@ -530,4 +530,9 @@ SELECT DISTINCT trace_id || '-' || block trace_id, block % 7 <> 3 AS valid,
 SELECT 'm' || (addr // 1000) trace_id, addr, name FROM mapping"""),
         "mapping_json_roundtrip": _with(_SAMPLES, "SELECT addr, name FROM mapping"),
     }
+    # the same results through other readers
+    sql["parse_samples_by_range"] = sql["parse_samples"]
+    sql["parse_stats_by_range"] = sql["parse_stats"]
+    sql["trace_header_listed"] = sql["trace_header"] + " WHERE block % 7 <> 3"
+    sql["valid_trace_files_listed"] = sql["valid_trace_files"]
     return sql

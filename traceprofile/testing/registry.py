@@ -21,7 +21,7 @@ from traceprofile.plans import analysis, report
 from traceprofile.plans.profile import sample_profile
 from traceprofile.session import new_shared_path
 from traceprofile.sources import mapping_files, outputs, trace_files
-from traceprofile.sources.binary_files import read_binary_files
+from traceprofile.sources.file_ranges import list_files
 from traceprofile.testing import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,7 +140,10 @@ def _annotate_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parse_samples(files: DataFrame) -> DataFrame:
-    parsed = trace_files.parse_samples(trace_files.valid_files(files))
+    return _with_frames_text(trace_files.parse_samples(trace_files.valid_files(files)))
+
+
+def _with_frames_text(parsed: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform("frames", lambda a: a.cast("string")), ",")
     return parsed.withColumn("frames", joined)
 
@@ -157,12 +160,25 @@ def _from_folder(report_name: str) -> Query:
     """A report of sample files and their maps, read from a folder under plain names."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = B.trace_folder(spark, sf_dir)
-        symbols = mapping_files.parse_mapping(read_binary_files(spark, folder, "*-mapping"))
-        return sample_profile(read_binary_files(spark, folder, "sampling"), symbols)[report_name]
+        symbols = mapping_files.parse_mapping(list_files(spark, folder, "*-mapping"))
+        return sample_profile(list_files(spark, folder, "sampling"), symbols)[report_name]
 
     return query
 
 
+#: Far below the size of the files, so that most have several ranges.
+_SMALL_RANGE = 16 << 10
+
+
+def _on_listing(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """An operator on a listing of sample files in a folder."""
+    return lambda spark, sf_dir: operator(list_files(spark, B.trace_folder(spark, sf_dir), "sampling"))
+
+
+def _scan_by_range(listing: DataFrame) -> DataFrame:
+    return trace_files.scan_ranges(trace_files.valid_files(listing), _SMALL_RANGE)
+
+
 def _analysis_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "analysis")
     found = analysis.run_analysis(B.slice_model(spark, sf_dir))
@@ -188,6 +204,14 @@ def queries() -> dict[str, Query]:
         "parse_stats": _on_trace_files(
             lambda f: trace_files.parse_stats(trace_files.scan_files(trace_files.valid_files(f)))
         ),
+        "valid_trace_files_listed": _on_listing(_file_validity),
+        "trace_header_listed": _on_listing(
+            lambda f: trace_files.trace_headers(trace_files.valid_files(f))
+        ),
+        "parse_samples_by_range": _on_listing(
+            lambda f: _with_frames_text(trace_files.samples_of(_scan_by_range(f)))
+        ),
+        "parse_stats_by_range": _on_listing(lambda f: trace_files.parse_stats(_scan_by_range(f))),
         "parse_mapping": lambda spark, sf_dir: mapping_files.parse_mapping(
             B.mapping_files(spark, sf_dir)
         ),
