@@ -161,7 +161,23 @@ def test_report_files(spark, tmp_path):
     back = outputs.read_reports(spark, str(path)).collect()
     assert {r.trace_id: r.markdown for r in back} == want
     assert {r.file_name for r in back} == {"perfetto_analysis_report_20240115_103045.md"}
-    assert len(list(path.rglob("part-*.txt"))) == 2
+    name = "perfetto_analysis_report_20240115_103045.md"
+    assert sorted(str(p.relative_to(path)) for p in path.rglob("*") if p.is_file()) == [f"007/{name}", f"t/{name}"]
+    assert (path / "t" / name).read_text("utf-8") == want["t"]
+    # a later run replaces the reports of its traces only
+    later = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    assert outputs.write_reports(reports.filter("trace_id = 't'"), str(path), later) == 1
+    back = {r.trace_id: r.file_name for r in outputs.read_reports(spark, str(path)).collect()}
+    assert back == {"007": name, "t": "perfetto_analysis_report_20240116_000000.md"}
+
+
+def test_report_folders_of_odd_trace_names(spark, tmp_path):
+    names = ["a/b", "a", "..", "x y+z", "100%", "方法", "a//c", "p?q#r"]
+    reports = spark.createDataFrame([(n, f"# {n}\n") for n in names], "trace_id string, markdown string")
+    assert outputs.write_reports(reports.repartition(3), str(tmp_path / "r"), as_of()) == len(names)
+    assert not list(tmp_path.glob("*.md"))
+    back = outputs.read_reports(spark, str(tmp_path / "r")).collect()
+    assert {(r.trace_id, r.markdown) for r in back} == {(n, f"# {n}\n") for n in names}
 
 
 def test_slice_model_at_rest(spark, tmp_path):
@@ -228,7 +244,7 @@ def test_identity_is_unique_and_shared_by_the_map(spark):
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     got = [r[0] for r in df.select(binary_files.trace_identity(F.col("path"), "file:/d")).collect()]
     assert got == ["a", "a", "x.bin", "x.bin", "strace_q_huawei", "d", "y"]
-    assert binary_files._root(spark, "/d/*/x") == binary_files._root(spark, "file:///d/") == "file:/d"
+    assert binary_files.folder_root(spark, "/d/*/x") == binary_files.folder_root(spark, "file:///d/") == "file:/d"
 
 
 def test_headers_of_foreign_and_odd_files(spark):
@@ -247,9 +263,18 @@ def test_analysis_is_replaced_with_its_raw_tables(spark, tmp_path):
     from traceprofile.testing import bindings
 
     found = tp.run_analysis(bindings.slice_model(spark, "/root/testdata/sf0.001"))
-    for _ in range(2):
+    for _ in range(4):
         tp.write_analysis(found, str(tmp_path / "last"))
+    assert len(list((tmp_path / "last" / "tables").iterdir())) == outputs.KEPT_VERSIONS
+    with pytest.raises(FileExistsError):
+        tp.write_analysis(found, str(tmp_path / "last"), mode="error")
+    # a run that breaks between two tables leaves the last analysis
+    broken = found._replace(traces=found.traces.select(F.raise_error(F.lit("broken")).alias("x")))
+    with pytest.raises(Exception, match="broken"):
+        tp.write_analysis(broken, str(tmp_path / "last"))
     back = tp.read_analysis(spark, str(tmp_path / "last"))
+    with pytest.raises(FileNotFoundError):
+        tp.read_analysis(spark, str(tmp_path / "none"))
     for name in ("issues", "findings", "stacks", "traces", "diagnostics"):
         assert getattr(back, name).count() == getattr(found, name).count() > 0
     tp.write_issues(found.issues, str(tmp_path / "i"))

@@ -15,7 +15,7 @@ MAPPING_SUFFIX = "-mapping"
 SAMPLE_FILE = "sampling"
 
 
-def _root(spark: SparkSession, path: str) -> str:
+def folder_root(spark: SparkSession, path: str) -> str:
     """The folder read, as the reader spells it; the part before any wildcard."""
     plain = "/".join(takewhile(lambda part: not re.search(r"[*?\[{]", part), path.split("/")))
     folder = spark._jvm.org.apache.hadoop.fs.Path(plain or "/")
@@ -42,7 +42,7 @@ def file_listing(spark: SparkSession, path: str, pattern: str | None = None) ->
     """The files below ``path`` with ``trace_id``, ``path``, ``length`` and ``content``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
-    return files.withColumn("trace_id", trace_identity(F.col("path"), _root(spark, path)))
+    return files.withColumn("trace_id", trace_identity(F.col("path"), folder_root(spark, path)))
 
 
 def read_binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:

@@ -27,15 +27,20 @@ RANGE_BYTES = 64 << 20
 _RANGES_PER_TASK, _MOST_TASKS = 4, 100_000
 
 
-def open_file(path: str) -> BinaryIO:
-    """Open a path as Spark spells it."""
+def file_system(path: str):
+    """The :mod:`pyarrow.fs` file system of a path as Spark spells it, and the path in it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
-        return open("/" + path[len("file:"):].lstrip("/"), "rb")
+        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
     if "://" not in path:
-        return open(path, "rb")
-    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@=+,"))
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(quote(path, safe=":/@=+,"))
+
+
+def open_file(path: str) -> BinaryIO:
+    """Open a path as Spark spells it."""
+    system, name = file_system(path)
     return system.open_input_file(name)
 
 
