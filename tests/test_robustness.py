@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import traceprofile as tp
+from tests.compare import force_shuffles
 from traceprofile import schema
 from traceprofile.functions import annotate
 from traceprofile.operators import context, sampling
@@ -120,19 +123,42 @@ def test_no_report_on_a_trace_that_is_not_ready(spark, tables):
     assert written == {t for t, r in status.items() if r.ready} and "bare" not in written
 
 
-def test_only_large_traces_are_spread(spark, tables):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_slices_meet_windows_as_in_a_plain_comparison(spark, shuffled):
+    session = spark.newSession()
+    if shuffled:
+        force_shuffles(session)
+    rng = random.Random(8)
+    spans = [0, 1, 2, 5, 10**6, 2**20, 2**20 + 1, 3 * 10**7, 10**9, 7 * 10**9]
+    rows = [(rng.choice("ab"), i, 1, None, "n", rng.choice([-1, 1]) * rng.randrange(3 * 10**9),
+             rng.choice([-5, -10**6, *spans])) for i in range(1500)]
+    slices = session.createDataFrame(rows, schema.SLICE)
+    found = [(t, p, "long", p, ts, dur) for p, (t, ts, dur) in enumerate(
+        (rng.choice("abc"), rng.randrange(2 * 10**9), rng.choice(spans)) for _ in range(40)
+    )] + [("a", 90, "cpu", None, None, None)]
+    issues = session.createDataFrame(
+        found, "trace_id string, position int, kind string, id bigint, ts bigint, dur bigint"
+    )
+    for pad in ("tenth", "none"):
+        windows = context.windows_of(issues, pad).collect()
+        want = sorted(
+            (w.trace_id, w.position, s[1], min(s[5] + s[6], w.end) - max(s[5], w.start))
+            for w in windows for s in rows
+            if s[0] == w.trace_id and s[5] < w.end and s[5] + s[6] > w.start
+        )
+        got = context.slices_in_windows(slices, issues, pad).collect()
+        assert sorted((r.trace_id, r.position, r.slice_id, r.overlap_ns) for r in got) == want
+    assert context.slices_in_windows(slices, issues.filter("false")).collect() == []
+    assert context.slices_in_windows(slices.filter("false"), issues).collect() == []
+
+
+def test_slices_outside_the_windows_leave_before_a_shuffle(spark, tables):
     slices = tables["slice"]
     issues = analysis.staged_issues(tables)
-    windows = context.windows_by_trace(issues)
-    columns = slices.select("trace_id", F.col("id").alias("slice_id"), "ts", "dur")
-    counts = {r.trace_id: r["count"] for r in slices.groupBy("trace_id").count().collect()}
-    limit = sorted(counts.values())[-1] - 1
-    large = {r.trace_id: r.shares for r in context.large_traces(slices, limit).collect()}
-    assert large and set(large) == {t for t, n in counts.items() if n > limit}
-    plain = columns.join(windows, "trace_id")
-    spread = context._spread_join(columns, windows, limit)
-    key = lambda df: sorted((r.trace_id, r.slice_id, len(r.windows)) for r in df.collect())
-    assert key(spread) == key(plain)
+    plan = context.slices_in_windows(slices, issues)._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" not in plan and "CartesianProduct" not in plan
+    assert re.search(r"BroadcastHashJoin \[trace_id[^]]*\], \[trace_id[^]]*\], Inner, BuildRight, "
+                     r"\(\(ts.*high", plan) or re.search(r"ts#\d+L < high", plan)
 
 
 def test_staged_tables_are_released(spark):

@@ -1,74 +1,89 @@
-"""What lies on the timeline around each issue."""
+"""What lies on the timeline around each issue.
+
+Slices meet focus windows in an equal join over time bins. A slice has one key: its trace,
+its level (the power of two that its duration fits in, at least that of the longest window)
+and the bin of that width in which it starts. A window is copied, at every level there is,
+to the bins in which an overlapping slice of that level may start; as bins are no shorter
+than a window or such a slice, these are three at most. So every pair that overlaps meets
+exactly once, slices are never multiplied, and a trace with many slices is many keys.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceprofile.operators.issues import focus_window
-from traceprofile.operators.joins import fits_broadcast, join_small
+from traceprofile.operators.joins import fits_broadcast
+from traceprofile.session import materialize
 
-#: Slices of a trace that one task may take; a larger trace is spread over several, and
-#: its short window list goes to each of them.
-TRACE_SLICES = 4_000_000
+#: Level of windows and slices that need none higher: bins of 2^20 ns, about a millisecond.
+LEAST_LEVEL = 20
 
 
-def windows_by_trace(issues: DataFrame, pad: str = "tenth") -> DataFrame:
-    """One row per trace with all its focus windows (at most the diagnostic limits)."""
-    window = F.struct(
-        "position", "kind", "id",
-        F.col("window_start").alias("start"),
+def windows_of(issues: DataFrame, pad: str = "tenth") -> DataFrame:
+    """``(trace_id, position, kind, id, start, end)`` of the focus windows of issues."""
+    return focus_window(issues, pad).select(
+        "trace_id", "position", "kind", "id", F.col("window_start").alias("start"),
         (F.col("window_start") + F.col("window_width")).alias("end"),
     )
-    return (
-        focus_window(issues, pad)
-        .groupBy("trace_id")
-        .agg(F.collect_list(window).alias("windows"))
-    )
 
 
-def large_traces(slices: DataFrame, rows: int) -> DataFrame:
-    """``(trace_id, shares)`` of traces with more than ``rows`` slices; there are at most
-    as many of them as ``rows`` goes into all slices."""
-    return (
-        slices.groupBy("trace_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("shares"))
-        .filter(F.col("shares") > 1)
-    )
+def _level(duration: Column, least: int) -> Column:
+    """The smallest level, ``least`` or more, whose bins hold a duration."""
+    bits = F.length(F.bin(F.greatest(duration, F.lit(1)) - 1))
+    return F.when(duration > 1, F.greatest(bits, F.lit(least))).otherwise(least)
+
 
+def _bin(time: Column, level: Column) -> Column:
+    return F.call_function("shiftright", time, level)
 
-def _spread_join(slices: DataFrame, windows: DataFrame, rows: int | None = None) -> DataFrame:
-    """Join slices with the window list of their trace; only large traces are spread."""
-    large = large_traces(slices, rows or TRACE_SLICES)
-    shares = F.coalesce("shares", F.lit(1))
-    salted = slices.join(F.broadcast(large), "trace_id", "left").withColumn(
-        "share", F.pmod(F.xxhash64("slice_id"), shares).cast("int")
-    ).drop("shares")
-    lists = windows.join(F.broadcast(large), "trace_id", "left").withColumn(
-        "share", F.explode(F.sequence(F.lit(0), shares - 1))
-    ).drop("shares")
-    return salted.join(lists.hint("shuffle_hash"), ["trace_id", "share"]).drop("share")
+
+def binned_windows(windows: DataFrame, least: int, most: int) -> DataFrame:
+    """``windows`` once for each ``(level, bin)`` in which an overlapping slice may start."""
+    levels = windows.withColumn("level", F.explode(F.sequence(F.lit(least), F.lit(most))))
+    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
+    first, last = _bin(F.col("start") - width, F.col("level")), _bin(F.col("end"), F.col("level"))
+    return levels.withColumn("bin", F.explode(F.sequence(first, last)))
 
 
 def slices_in_windows(slices: DataFrame, issues: DataFrame, pad: str = "tenth") -> DataFrame:
     """Slices that overlap a focus window of their trace, once per window.
 
-    The slice table is not multiplied by the windows: each row tests the short window
-    list of its trace in place and only overlaps leave the stage.
+    Windows are few beside slices; they are written first, and so their size is known. Where
+    the bounds of the windows per trace fit a broadcast, slices outside of them leave at the
+    scan. Where the binned windows fit one too, slices are not shuffled at all.
     """
+    spark = slices.sparkSession
+    windows = materialize(windows_of(issues, pad), "windows")
+    length = F.max(F.col("end") - F.col("start"))
+    least = windows.select(F.coalesce(_level(length, LEAST_LEVEL), F.lit(LEAST_LEVEL))).first()[0]
+    longest = F.max("dur")
+    most = slices.select(F.coalesce(_level(longest, least), F.lit(least))).first()[0]
     columns = slices.select("trace_id", F.col("id").alias("slice_id"), "track_id", "name", "ts", "dur")
-    windows = windows_by_trace(issues, pad)
-    if fits_broadcast(slices.sparkSession, issues):
-        joined = join_small(columns, windows, ["trace_id"], inputs=(issues,))
-    else:
-        joined = _spread_join(columns, windows)
     end = F.col("ts") + F.col("dur")
-    overlapping = F.filter(
-        "windows", lambda w: (F.col("ts") < w["end"]) & (end > w["start"])
+    bounds = windows.groupBy("trace_id").agg(F.min("start").alias("low"), F.max("end").alias("high"))
+    if fits_broadcast(spark, windows):
+        inside = columns.join(
+            F.broadcast(bounds), "trace_id"
+        ).filter((F.col("ts") < F.col("high")) & (end > F.col("low"))).drop("low", "high")
+    else:
+        inside = columns
+    keyed = inside.withColumn("level", _level(F.col("dur"), least)).withColumn(
+        "bin", _bin(F.col("ts"), F.col("level"))
+    )
+    binned = binned_windows(windows, least, most)
+    # every window is there three times at most for each level
+    if fits_broadcast(spark, *[windows] * (3 * (most - least + 1))):
+        binned = F.broadcast(binned)
+    else:
+        binned = binned.hint("shuffle_hash")
+    joined = keyed.join(binned, ["trace_id", "level", "bin"]).filter(
+        (F.col("ts") < F.col("end")) & (end > F.col("start"))
     )
-    return joined.withColumn("w", F.explode(overlapping)).select(
-        "trace_id", F.col("w.position").alias("position"), F.col("w.kind").alias("kind"),
-        F.col("w.id").alias("id"), "slice_id", "track_id", "name", "ts", "dur",
-        (F.least(end, F.col("w.end")) - F.greatest("ts", F.col("w.start"))).alias("overlap_ns"),
+    return joined.select(
+        "trace_id", "position", "kind", "id", "slice_id", "track_id", "name", "ts", "dur",
+        (F.least(end, F.col("end")) - F.greatest("ts", F.col("start"))).alias("overlap_ns"),
     )
 
 
