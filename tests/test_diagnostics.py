@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import force_shuffles
 from traceprofile import schema
@@ -146,7 +147,7 @@ def test_a_failing_diagnostic_leaves_the_others(spark):
     def broken(_):
         raise ValueError("no such table\ndetails")
 
-    results, status = D.run_diagnostics(tables, {**D.DIAGNOSTICS, "frame_jank": broken})
+    results, status, failures = D.run_diagnostics(tables, {**D.DIAGNOSTICS, "frame_jank": broken})
     assert results["frame_jank"].count() == 0
     assert results["frame_jank"].columns == D.frame_jank(tables).columns
     assert results["long_slices"].count() > 0
@@ -157,6 +158,32 @@ def test_a_failing_diagnostic_leaves_the_others(spark):
     assert ("a", "long_slices") in counts and ("a", "frame_jank") not in counts
 
 
+def test_a_failing_trace_leaves_the_others(spark):
+    rows = []
+    for t in range(45):
+        rows += [(f"t{t}", 100 * t + i, 1, None, "doFrame", 10 * i, 20_000_000 + i) for i in range(4)]
+    names = [f"t{t}" for t in range(45)]
+    tables = _model(spark, rows, [(t, 1, 1) for t in names], [(t, 1, 1, "main", 1) for t in names], [])
+
+    def broken(own):
+        fails = F.raise_error(F.lit("unreadable")).cast("bigint")
+        dur = F.when(F.col("trace_id").isin("t7", "t31"), fails).otherwise(F.col("dur"))
+        return D.frame_jank({**own, "slice": own["slice"].withColumn("dur", dur)})
+
+    results, status, failures = D.run_diagnostics(tables, {"frame_jank": broken, "long_slices": D.long_slices})
+    assert {r.diagnostic: r.ok for r in status.collect()} == {"frame_jank": False, "long_slices": True}
+    assert sorted((r.trace_id, r.diagnostic) for r in failures.collect()) == [
+        ("t31", "frame_jank"), ("t7", "frame_jank")]
+    assert "unreadable" in failures.first().error
+    got = {r.trace_id: r["count"] for r in results["frame_jank"].groupBy("trace_id").count().collect()}
+    assert got == {t: 4 for t in names if t not in ("t7", "t31")}
+    # given up early, all traces not told apart count as failed
+    results, _, failures = D.run_diagnostics(tables, {"frame_jank": broken}, attempts=2)
+    lost = {r.trace_id for r in failures.collect()}
+    kept = {r.trace_id for r in results["frame_jank"].collect()}
+    assert {"t7", "t31"} <= lost and lost | kept == set(names) and not lost & kept
+
+
 def test_trace_status(spark):
     tables = _model(
         spark, [("a", 1, 1, None, "x", 0, 1)], [("a", 1, 1)],

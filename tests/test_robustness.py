@@ -81,7 +81,7 @@ def test_a_diagnostic_that_fails_at_run_time_leaves_the_others(spark, tables):
     def broken(t):
         return D.frame_jank(t).withColumn("dur", F.raise_error(F.lit("broken")).cast("bigint"))
 
-    results, status = D.run_diagnostics(tables, {**D.DIAGNOSTICS, "frame_jank": broken})
+    results, status, failures = D.run_diagnostics(tables, {**D.DIAGNOSTICS, "frame_jank": broken})
     assert {r.diagnostic: r.ok for r in status.collect()} == {
         "long_slices": True, "frame_jank": False, "cpu_heavy": True, "main_thread_io": True}
     assert results["frame_jank"].count() == 0 and results["long_slices"].count() > 0

@@ -233,30 +233,80 @@ _EMPTY_SLICE = ("trace_id string, kind string, pos int, id bigint, name string,
                 "dur_ms double, ts bigint, dur bigint, parent_id bigint")
 
 
+#: Failing runs of one diagnostic before the traces not yet told apart count as failed.
+ATTEMPTS = 40
+_STATUS = T.StructType([
+    T.StructField("diagnostic", T.StringType(), False),
+    T.StructField("ok", T.BooleanType(), False),
+    T.StructField("error", T.StringType(), True),
+])
+_FAILURES = "trace_id string, diagnostic string, error string"
+
+
+def _first_line(error: Exception) -> str:
+    return (str(error) or type(error).__name__).splitlines()[0]
+
+
+def run_by_trace(
+    tables: Tables, name: str, build: Callable[[Tables], DataFrame], attempts: int = ATTEMPTS
+) -> tuple[list[DataFrame], list[tuple[Column, str]]]:
+    """The rows of a diagnostic for all traces that it can take, written in pieces, and a
+    condition on ``trace_id`` with an error for those that it cannot.
+
+    All traces are run at once. Only where that fails they are halved by the bits of a hash
+    of their id, until the trace at fault is alone; so one of N costs about log2(N) more
+    runs, each on half of the rows of the one before. A diagnostic that cannot even be
+    planned fails for all traces at once, and so does the rest after ``attempts`` failures.
+    """
+    traces = tables["thread"].select("trace_id").unionByName(tables["slice"].select("trace_id"))
+    pieces: list[DataFrame] = []
+    failed: list[tuple[Column, str]] = []
+    parts = [(0, 0)]
+    for depth, prefix in parts:
+        place = F.shiftrightunsigned(F.xxhash64("trace_id"), 64 - depth) if depth else F.lit(0).cast("bigint")
+        mine = place == prefix
+        own = {key: table.filter(mine) for key, table in tables.items()} if depth else tables
+        try:
+            planned = build(own)
+        except Exception as error:  # noqa: BLE001 - no trace is at fault
+            failed.append((mine, _first_line(error)))
+            continue
+        try:
+            pieces.append(materialize(planned, f"diagnostic-{name}"))
+        except Exception as error:  # noqa: BLE001 - any failure only skips its traces
+            attempts -= 1
+            if attempts <= 0 or depth == 63 or traces.filter(mine).distinct().limit(2).count() < 2:
+                failed.append((mine, _first_line(error)))
+            else:
+                parts += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
+    return pieces, failed
+
+
 def run_diagnostics(
-    tables: Tables, diagnostics: dict[str, Callable[[Tables], DataFrame]] | None = None
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All diagnostics; one that fails yields no rows, the others go on.
+    tables: Tables, diagnostics: dict[str, Callable[[Tables], DataFrame]] | None = None,
+    attempts: int = ATTEMPTS,
+) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """All diagnostics; one that fails leaves the others, a trace that fails the other traces.
 
     Each is run and its few rows are written, so a failure at run time is seen here too.
-    Returns the results by name and a ``(diagnostic, ok, error)`` status table.
+    Returns the results by name, a ``(diagnostic, ok, error)`` table, where ``ok`` says that
+    no trace failed, and a ``(trace_id, diagnostic, error)`` table of failed traces.
     """
     spark = tables["thread"].sparkSession
+    traces = tables["thread"].select("trace_id").unionByName(tables["slice"].select("trace_id"))
     results: dict[str, DataFrame] = {}
     status: list[tuple[str, bool, str | None]] = []
+    failures = spark.createDataFrame([], _FAILURES)
     for name, build in (diagnostics or DIAGNOSTICS).items():
-        try:
-            results[name] = materialize(build(tables), f"diagnostic-{name}")
-            status.append((name, True, None))
-        except Exception as error:  # noqa: BLE001 - any failure only skips this one
-            results[name] = spark.createDataFrame([], _EMPTY.get(name, _EMPTY_SLICE))
-            status.append((name, False, str(error).splitlines()[0]))
-    schema = T.StructType([
-        T.StructField("diagnostic", T.StringType(), False),
-        T.StructField("ok", T.BooleanType(), False),
-        T.StructField("error", T.StringType(), True),
-    ])
-    return results, spark.createDataFrame(status, schema)
+        pieces, failed = run_by_trace(tables, name, build, attempts)
+        empty = spark.createDataFrame([], _EMPTY.get(name, _EMPTY_SLICE))
+        results[name] = reduce(DataFrame.unionByName, pieces) if pieces else empty
+        status.append((name, not failed, failed[0][1] if failed else None))
+        for mine, error in failed:
+            failures = failures.unionByName(traces.filter(mine).distinct().select(
+                "trace_id", F.lit(name).alias("diagnostic"), F.lit(error).alias("error")
+            ))
+    return results, spark.createDataFrame(status, _STATUS), failures
 
 
 def diagnostic_counts(results: dict[str, DataFrame]) -> DataFrame:

@@ -98,51 +98,49 @@ class Analysis(NamedTuple):
     stacks: DataFrame
     traces: DataFrame       # trace_id, ready, error
     diagnostics: DataFrame  # diagnostic, ok, error
+    failures: DataFrame     # trace_id, diagnostic, error
 
 
-def _tolerant_findings(tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """The rows that can become issues, and the status of each diagnostic.
+def _tolerant_findings(tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that can become issues, the status of each diagnostic and the failed traces.
 
     Three searches share a pass over the slices. If that pass fails each is run alone, so
-    that the one at fault does not take the others along.
+    that the one at fault does not take the others along, and for the traces it can take.
     """
     searches = {
         "long_slices": D.LONG_SLICES.above(ISSUE_THRESHOLD_NS),
         "frame_jank": D.FRAME_JANK,
         "main_thread_io": D.MAIN_THREAD_IO.above(ISSUE_THRESHOLD_NS),
     }
-    together, status = D.run_diagnostics(tables, {
-        "slices": lambda t: D.slice_findings(t, list(searches.values())),
-        "cpu_heavy": D.cpu_heavy,
-    })
-    failed = {r["diagnostic"] for r in status.filter("not ok").collect()}
-    if "slices" not in failed:
+    cpu, status, failures = D.run_diagnostics(tables, {"cpu_heavy": D.cpu_heavy})
+    together, trial, _ = D.run_diagnostics(
+        tables, {"slices": lambda t: D.slice_findings(t, list(searches.values()))}, attempts=1
+    )
+    if trial.first()["ok"]:
         names = F.explode(F.array(*map(F.lit, searches)))
-        status = status.filter("diagnostic = 'slices'").withColumn("diagnostic", names).unionByName(
-            status.filter("diagnostic <> 'slices'")
-        )
-        return union_findings(together["slices"], together["cpu_heavy"]), status
-    alone, more = D.run_diagnostics(tables, {
+        status = trial.withColumn("diagnostic", names).unionByName(status)
+        return union_findings(together["slices"], cpu["cpu_heavy"]), status, failures
+    alone, more, failed = D.run_diagnostics(tables, {
         name: lambda t, s=search: D.slice_findings(t, [s]) for name, search in searches.items()
     })
     hits = reduce(DataFrame.unionByName, alone.values())
-    return union_findings(hits, together["cpu_heavy"]), more.unionByName(
-        status.filter("diagnostic = 'cpu_heavy'")
+    return (
+        union_findings(hits, cpu["cpu_heavy"]), more.unionByName(status), failed.unionByName(failures)
     )
 
 
 def run_analysis(tables: Tables) -> Analysis:
     """The whole analysis with all it leaves behind.
 
-    A diagnostic that fails, also at run time, has no rows and a status; a trace that is
-    not ready has a status, and :func:`~traceprofile.plans.report.reports` writes nothing
+    A diagnostic that fails, also at run time, has a status and no rows of the traces on which
+    it failed, which are listed; a trace that is not ready has a status, and :func:`~traceprofile.plans.report.reports` writes nothing
     about it when given ``traces``.
     """
-    findings, diagnostics = _tolerant_findings(tables)
+    findings, diagnostics, failures = _tolerant_findings(tables)
     issues = materialize(ranked_issues(findings), "rated-issues")
     stacks = materialize(call_stacks(issue_seeds(issues), tables["slice"]), "stacks")
     return Analysis(
-        attach_stacks(issues, stacks), findings, stacks, trace_status(tables), diagnostics
+        attach_stacks(issues, stacks), findings, stacks, trace_status(tables), diagnostics, failures
     )
 
 

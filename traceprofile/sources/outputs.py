@@ -33,7 +33,7 @@ def write_issues(issues: DataFrame, path: str, mode: str = "error") -> None:
 
 
 #: Tables kept of an analysis, besides ``issues``.
-RAW_TABLES = ("findings", "stacks", "traces", "diagnostics")
+RAW_TABLES = ("findings", "stacks", "traces", "diagnostics", "failures")
 #: Versions of an analysis that stay, so that a reader of the last but one is not cut off.
 KEPT_VERSIONS = 2
 

@@ -530,6 +530,11 @@ SELECT DISTINCT trace_id || '-' || block trace_id, block % 7 <> 3 AS valid,
 SELECT 'm' || (addr // 1000) trace_id, addr, name FROM mapping"""),
         "mapping_json_roundtrip": _with(_SAMPLES, "SELECT addr, name FROM mapping"),
     }
+    sql["diagnostic_counts_broken_trace"] = _with(_FOUR, " UNION ALL ".join(
+        f"SELECT trace_id, '{d}' diagnostic, count(*) AS \"rows\" FROM {d} {where} GROUP BY trace_id"
+        for d, where in (("long_slices", ""), ("frame_jank", "WHERE trace_id <> 't1'"),
+                         ("cpu_heavy", ""), ("main_thread_io", "")))
+        + " UNION ALL SELECT 't1', 'frame_jank', NULL")
     # the same results through other readers
     sql["parse_samples_by_range"] = sql["parse_samples"]
     sql["parse_stats_by_range"] = sql["parse_stats"]

@@ -92,6 +92,19 @@ def _all_stacks(tables: Tables) -> DataFrame:
     return C.call_stacks(slices.select("trace_id", F.col("id").alias("slice_id")), slices)
 
 
+def _counts_with_a_broken_trace(tables: Tables) -> DataFrame:
+    """Rows per trace and diagnostic when one search fails on the slices of one trace; the
+    failed pair has no number."""
+    def broken(own: Tables) -> DataFrame:
+        fails = F.raise_error(F.lit("unreadable")).cast("bigint")
+        dur = F.when(F.col("trace_id") == "t1", fails).otherwise(F.col("dur"))
+        return D.frame_jank({**own, "slice": own["slice"].withColumn("dur", dur)})
+
+    results, _, failures = D.run_diagnostics(tables, {**D.DIAGNOSTICS, "frame_jank": broken})
+    lost = failures.select("trace_id", "diagnostic", F.lit(None).cast("bigint").alias("rows"))
+    return D.diagnostic_counts(results).unionByName(lost)
+
+
 def _issues_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "issues")
     outputs.write_issues(analysis.analyze(B.slice_model(spark, sf_dir)), path)
@@ -241,6 +254,7 @@ def queries() -> dict[str, Query]:
         "frame_jank_literal": _on_slices(D.frame_jank_literal),
         "main_thread_io_undeduped": _on_slices(D.main_thread_io_undeduped),
         "cpu_heavy_all_threads": _on_slices(D.cpu_heavy_all_threads),
+        "diagnostic_counts_broken_trace": _on_slices(_counts_with_a_broken_trace),
         "diagnostic_counts": _on_slices(lambda t: D.diagnostic_counts(D.run_diagnostics(t)[0])),
         # call stacks
         "stack_seeds": _on_slices(analysis.stack_seeds),
