@@ -77,22 +77,38 @@ _FULL_WIDTH = str.maketrans({0xFF01 + i: 0x21 + i for i in range(94)})
 
 _GREEK_CYRILLIC = re.compile("[\u0370-\u052f]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
-_SIGN_INSIDE = re.compile(r"(?<=[^\W_])[@$!]+(?=[^\W_])")
+_WIDE = re.compile("[\uff01-\uff5e]")
+_NUMBER = re.compile(r"\d+")
+_SIGN = re.compile(r"[@$!]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _beside(found: re.Match) -> tuple[bool, bool]:
+    """Whether a letter or digit comes right before a match, and right after it."""
+    text, (start, end) = found.string, found.span()
+    return start > 0 and text[start - 1].isalnum(), end < len(text) and text[end].isalnum()
+
+
+def _sign(found: re.Match) -> str:
+    return found[0].translate(_SIGNS) if all(_beside(found)) else found[0]
+
+
+def _number(found: re.Match) -> str:
+    return found[0] if any(_beside(found)) else " "
+
+
 def folded_words(text: str | None) -> list[str]:
     """Folded words of a text; numbers are no words."""
     if not text:
         return []
     text = text.lower()
     if not text.isascii():
-        text = _INVISIBLE.sub("", text).translate(_FULL_WIDTH).lower()
+        text = _INVISIBLE.sub("", text)
+        if _WIDE.search(text):
+            text = text.translate(_FULL_WIDTH).lower()
         if _GREEK_CYRILLIC.search(text):
             text = text.translate(_LOOKALIKES)
-    text = _SIGN_INSIDE.sub(lambda m: m[0].translate(_SIGNS), text)
-    text = _NUMBER.sub(" ", text)
+    text = _NUMBER.sub(_number, _SIGN.sub(_sign, text))
     for digit, letter in _DIGITS:
         text = text.replace(digit, letter)
     # a capital I, a small l and 1 look alike
