@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections import Counter
 
@@ -378,3 +379,30 @@ def test_fingerprints(docs, rows, empty):
 def test_gamma_quantiles():
     table = P.gamma_quantiles(1000)
     assert table.mean() == pytest.approx(2, abs=0.02) and (np.diff(table) > 0).all()
+
+
+_SAID = "One plain sentence of an article tells what happened and why it matters to those who read. " * 3
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div data-x=it's><article><p>{_SAID}</p></article></div><p>that's</p>", [_SAID]),
+    (f"<nav><a href=/>Up</a></nav><article><p title=\"a > b\">{_SAID}</p><p>{_SAID}</p></article>", [_SAID, _SAID]),
+    (f"<article><script src=a.js/>var x = '<p>no</p>';</script><p>{_SAID}</p></article>", [_SAID]),
+    (f"<article><svg viewBox='0'/><p>{_SAID}</p></article>", [_SAID]),
+    *[(f"<div {name}><p>{_SAID}</p><p>{_SAID}</p></div><div class=sidebar><p>{_SAID}</p></div>", [_SAID, _SAID])
+      for name in ("id=main class='content search-page'", "class='post-content share-enabled'",
+                   "class='article-body login-required'", "class=main-content-with-sidebar")],
+    (f"<article><div class=story__header><h1>The title of it</h1></div><p>{_SAID}</p></article>",
+     ["The title of it", _SAID]),
+    (f"<article><p>{_SAID}</p></article><div class=post-comments><p>{_SAID}</p></div>"
+     f"<div class=article-footer><p>{_SAID}</p></div><div class=share-buttons><p>{_SAID}</p></div>", [_SAID]),
+])
+def test_hostile_markup(page, want):
+    tree = T.DecisionTree().fit(*T.labelled_table())
+    assert T.main_text(page, tree) == "\n\n".join(w.strip() for w in want)
+
+
+def test_unmatched_tags_take_linear_time():
+    start = time.perf_counter()
+    T.blocks("<div>" * 50_000 + "</section>" * 50_000 + "</div>" * 100_000 + "<p>x</p>")
+    assert time.perf_counter() - start < 5

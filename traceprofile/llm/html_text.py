@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 _RAW = frozenset(
     "script style noscript template textarea title iframe svg math select button object canvas".split()
 )
+#: Elements that a slash at the end of their tag closes.
+_FOREIGN = frozenset(("svg", "math"))
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li "
@@ -52,12 +55,14 @@ _OTHER_ROLES = frozenset(
 _MAIN_TAGS = frozenset(("article", "main"))
 #: First parts of names that tell of a page what it has, and of a header that it is an article's.
 _MODIFIERS = frozenset("has no with without not".split())
-_ARTICLE_PARTS = frozenset("entry post article".split())
+_ARTICLE_PARTS = frozenset("entry post article story".split())
+#: Last parts of names that tell the state of a part, not what it is.
+_STATES = frozenset("enabled disabled required open closed active page results".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)"
+    # quotes enclose a value only right after an equals sign
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)"
     r"|<\Z",
     re.DOTALL,
@@ -83,7 +88,9 @@ def _names_other(value: str) -> bool:
     """Whether a class or id names other matter; each of its words is taken for itself."""
     for word in value.split():
         parts = [part.lower() for part in _NAME_PARTS.findall(word)]
-        if parts and parts[0] in _MODIFIERS:
+        said = next((i for i, part in enumerate(parts) if part in _MODIFIERS), len(parts))
+        parts = parts[:said]
+        if not parts or parts[-1] in _STATES:
             continue
         if any(part in _OTHER_NAMES and not (part == "header" and before in _ARTICLE_PARTS)
                for before, part in zip(["", *parts], parts)):
@@ -116,6 +123,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     # tag, main, other by tag or role, other by name, labelled; after it
     open_tags: list[tuple[str, bool, bool, bool, bool]] = []
+    n_open: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
     paragraph = ("", False, False)  # tag, other, labelled
@@ -152,16 +160,14 @@ def blocks(page: str) -> list[Block]:
         at = hit.end()
         close, tag, attributes = hit.group(1, 2, 3)
         if tag is None:
-            close, tag, attributes = hit.group(4, 5, 6)
-            if tag is None:
-                continue
+            continue
         tag = tag.lower()
         if tag == "a":
             in_link = not close
         elif tag == "br":
             text.append(" ")
         elif tag in _RAW:
-            if not close and not attributes.endswith("/"):
+            if not close and not (tag in _FOREIGN and attributes.endswith("/")):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 text.append(" ")
@@ -171,9 +177,11 @@ def blocks(page: str) -> list[Block]:
             paragraph = ("", False, False)
             main, other, named, labelled = open_tags[-1][1:] if open_tags else [False] * 4
             if close:
-                if tag not in _PARAGRAPH and any(t[0] == tag for t in open_tags):
-                    while open_tags.pop()[0] != tag:
-                        pass
+                if tag not in _PARAGRAPH and n_open[tag]:
+                    left = ""
+                    while left != tag:
+                        left = open_tags.pop()[0]
+                        n_open[left] -= 1
             elif tag in _PARAGRAPH:
                 paragraph = (tag, any(_is_other(tag, attributes, main)), _LABEL in attributes)
             elif tag not in _VOID:
@@ -183,6 +191,7 @@ def blocks(page: str) -> list[Block]:
                     named = named and (named_now or main)
                 else:
                     named = named or named_now
+                n_open[tag] += 1
                 open_tags.append((
                     tag, main_now, other or other_now, named, labelled or _LABEL in attributes,
                 ))
