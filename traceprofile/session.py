@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +73,8 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 
 
 _staged: list[list[str]] = []
+#: Folders of the tables that are still in use.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 @contextmanager
@@ -99,4 +102,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     for paths in _staged[-1:]:
         paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables once everything made of them is written."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
