@@ -164,6 +164,24 @@ def test_links_among_many_near_copies_and_common_passages(spark, rows):
     assert [got[i] for i in range(len(made))] == want
 
 
+def test_links_of_copies_about_the_threshold(spark, rows):
+    """Families whose copies are edited so much that about half of their pairs link."""
+    import random
+    rng = random.Random(8)
+    made = []
+    for _ in range(6):
+        body = cases.sentence(rng, 90).split()
+        for i in range(40):
+            words = list(body)
+            for at in rng.sample(range(len(words)), rng.randint(1, 3)):
+                words[at] = f"w{rng.randrange(10**6)}"
+            made.append(" ".join(words[: rng.randint(75, 90)]))
+    table = [(i, t, *rows[0][2:]) for i, t in enumerate(made)]
+    got = {r["doc_id"]: r["component_id"] for r in link_report(cases.frame(spark, table)).collect()}
+    want = cases.components([(i, t) for i, t in enumerate(made)])
+    assert [got[i] for i in range(len(made))] == want and 6 < len(set(want)) < len(made)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90)], "a long, b long")
     got = dict(components(links).collect())

@@ -17,17 +17,21 @@ filled blocks loses no partner by that, as one of its filled blocks is untouched
 difference. If of two documents neither has so many, they meet on single shingles, which
 such documents send besides.
 
-*Common blocks* (a passage that many documents share) are kept apart in the same way: a
-document that has more than ``D`` other filled blocks does not need them, so in a block of
-more than :data:`HOT` classes only documents without that reserve stay.
+*Common blocks* (a passage that many documents share) are avoided in the same way: of its
+filled blocks a document shares all but ``D`` with a partner. If blocks are put in one order
+for all, by the number of their classes, the first block that both have is among the first
+``D + 1`` filled blocks of either, so the commonest others are left out.
 
 *Copies.* Documents with equal sets are one class. Blocks are joined as compressed runs of
 sorted keys; a class enters each block once per batch however many copies it has.
 
 *Links.* Every class is first compared with the class it shares most blocks with, smallest
 first. Components of these links need no more comparisons inside, which disposes of large
-groups of near copies. Then all pairs of a block that lie in different components, have
-sizes in the ratio and parity bits that differ in few enough places are compared exactly.
+groups of near copies. Then, in rounds, every class is compared with the class of another
+component whose parity bits are nearest, as long as such comparisons find links. At last all
+pairs of a block that still lie in different components, have sizes in the ratio and parity
+bits that differ in few enough places are compared exactly. Staged tables go when the next
+ones are written.
 Components are found by passing on the smallest label along links and along labels.
 
 Defined results: a document without words has an empty set and links with nothing; one
@@ -42,22 +46,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceprofile.llm import blocks as B
 from traceprofile.llm import common as C
 from traceprofile.llm import hashing as H
 from traceprofile.operators.joins import fits_broadcast
-from traceprofile.session import materialize
+from traceprofile.session import materialize, release
 
 SHINGLE_WORDS = 5
 #: Similarity in percent from which documents link.
 PERCENT = 75
 #: Blocks of a sketch for each difference to be covered.
 SPARE = 1.25
-#: Classes in a block from which it counts as common.
-HOT = 64
+#: Rounds of nearest classes go on while one in so many comparisons finds a link.
+GAIN = 20
 #: Parity bits for each shingle of the band's largest set.
 PARITY_BITS = 4
 #: Bytes of text whose blocks are sent as one run.
@@ -249,8 +253,8 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
 
 
 def _needed_blocks(raw: DataFrame, needs: DataFrame) -> DataFrame:
-    """``(key, band, class, hub, n)``: shared blocks of classes that can have a partner in
-    the band, with the smallest class of each block and their number.
+    """``(key, band, class, hub, n)``, written: shared blocks of classes that can have a partner
+    in the band, with the smallest class of each block and their number.
 
     Of the filled blocks of a class at most ``D`` differ in a linked one, so it shares more
     of them than its reserve. A class that has no more shared blocks in all has no partner.
@@ -258,9 +262,14 @@ def _needed_blocks(raw: DataFrame, needs: DataFrame) -> DataFrame:
     enough = raw.groupBy("class", "band").agg(F.count("*").alias("shared")).join(
         _small(needs), ["class", "band"]
     ).filter(F.col("shared") > F.col("reserve")).select("class", "band")
-    kept = raw.join(_small(materialize(enough, "possible")), ["class", "band"])
+    possible = materialize(enough, "possible")
+    kept = raw.join(_small(possible), ["class", "band"])
     several = kept.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("n"))
-    return kept.join(several.filter("n > 1"), "key").select("key", "band", "class", "hub", "n")
+    blocks = materialize(
+        kept.join(several.filter("n > 1"), "key").select("key", "band", "class", "hub", "n"), "blocks"
+    )
+    release(possible)
+    return blocks
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -305,7 +314,9 @@ def _verified(docs: DataFrame, first_of: DataFrame, pairs: DataFrame, name: str)
     both = pairs.join(
         texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a"
     ).join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialize(_linked(both), f"{name}-links")
+    links = materialize(_linked(both), f"{name}-links")
+    release(wanted, texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,9 +341,12 @@ def components(links: DataFrame) -> DataFrame:
         moved = materialize(nearer.join(jump, "label", "left").select(
             "class", "old", F.least("label", F.coalesce("further", "label")).alias("label")
         ), "labels")
+        release(labels)
         if moved.filter("old <> label").isEmpty():
-            return moved.select("class", "label")
-        labels = moved.select("class", "label")
+            found = materialize(moved.select("class", "label"), "labels")
+            release(edges, moved)
+            return found
+        labels = moved
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -340,56 +354,78 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if fits_broadcast(table.sparkSession, table) else table
 
 
-def _open_pairs(blocks: DataFrame, hubs: DataFrame, labels: DataFrame, sizes: DataFrame,
-                docs: DataFrame, first_of: DataFrame) -> DataFrame:
-    """Pairs of classes that share a block, lie in different components and may link.
+def _open_blocks(blocks: DataFrame, labels: DataFrame, needs: DataFrame) -> DataFrame:
+    """``(key, band, class, label)``, written: the blocks in which linked classes of different
+    components are bound to meet.
 
-    A block is open if one of its classes is in another component than its hub.
+    A block with classes of one component is closed. Classes of different components that
+    link share only open blocks, and more of them than the reserve of either, so the first
+    one they share, rarest first, is among as many as a class has open blocks beyond its
+    reserve.
     """
-    known = _small(labels)
-    of_hub = labels.select(F.col("class").alias("hub"), F.col("label").alias("hub_label"))
-    apart = materialize(
-        hubs.join(known, "class", "left").join(_small(of_hub), "hub", "left")
-        .filter(F.coalesce("label", "class") != F.coalesce("hub_label", "hub"))
-        .select("class", "hub"), "apart"
-    )
-    keys = materialize(blocks.join(_small(apart), ["class", "hub"]).select("key").distinct(), "open-keys")
-    rows = blocks.join(_small(keys), "key").select("key", "band", "class", "n")
-    rows = rows.join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    rows = materialize(rows.join(sizes, "class"), "open-blocks")
-    # who can do without common blocks: enough other filled blocks in the band
-    used = materialize(
-        first_of.join(rows.select("class").distinct(), "class"), "open-wanted"
-    )
-    sketches = materialize(_sketches(_texts_of(docs, used)), "open-sketches")
-    common = rows.filter(F.col("n") > HOT).groupBy("class", "band").agg(F.count("*").alias("n_common"))
-    rows = rows.join(sketches, ["class", "band"]).join(common, ["class", "band"], "left").filter(
-        (F.col("n") <= HOT) | (F.col("reserve") < F.coalesce("n_common", F.lit(0)))
+    rows = blocks.join(_small(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    several = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    keys = materialize(several.filter("least <> most").select("key"), "open-keys")
+    of_class = Window.partitionBy("class", "band")
+    first = (
+        rows.join(_small(keys), "key").join(_small(needs), ["class", "band"])
+        .withColumn("place", F.row_number().over(of_class.orderBy("n", "key")))
+        .withColumn("open", F.count("*").over(of_class))
+        .filter(F.col("place") <= F.col("open") - F.col("reserve"))
+        .select("key", "band", "class", "label")
     )
-    spread = F.pmod(F.xxhash64("key"), F.lit(B.n_parts(docs.sparkSession)))
-    return rows.select(
+    found = materialize(first, "open-blocks")
+    release(keys)
+    return found
+
+
+def _pairs(opened: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of one block and different components that may link: all of them, or
+    of each class the one whose parity bits are nearest."""
+    spread = F.pmod(F.xxhash64("key"), F.lit(B.n_parts(opened.sparkSession)))
+    groups = opened.join(_small(sketches), ["class", "band"]).select(
         "key", "band", "class", "label", "n_shingles", "parity", spread.alias("group")
-    ).groupBy("group").applyInArrow(_pairs_in_blocks, "a long, b long").distinct()
+    ).groupBy("group")
+    found = groups.applyInArrow(
+        _nearest_in_blocks if nearest else _pairs_in_blocks, "a long, b long, apart long"
+    )
+    if nearest:
+        best = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"))
+        found = best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """``(class, band, reserve, parity)``: filled blocks beyond those needed and the parity
-    bits of each set in its bands."""
+    """``(class, band, n_shingles, parity)``: the parity bits of each set in its bands."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             sets = shingle_sets(batch.column("text").to_pylist())
             for cls, shingles in zip(batch.column("class").to_pylist(), sets):
                 for band in bands_of(len(shingles)):
-                    out.append((cls, band, reserve(shingles, band), parity_bits(shingles, band)))
+                    out.append((cls, band, len(shingles), parity_bits(shingles, band)))
             columns = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["class", "band", "reserve", "parity"],
+                names=["class", "band", "n_shingles", "parity"],
             )
 
-    return texts.mapInArrow(work, "class long, band int, reserve int, parity binary")
+    # a repeated row gives the text of its class once per task
+    return texts.mapInArrow(work, "class long, band int, n_shingles long, parity binary").dropDuplicates(
+        ["class", "band"])
+
+
+def _nearest_in_blocks(table: pa.Table) -> pa.Table:
+    """Of each class the nearest one of another component, ``a`` and ``b``."""
+    found = _pairs_in_blocks(table)
+    a, b, apart = (found.column(c).to_numpy() for c in ("a", "b", "apart"))
+    one, other = np.concatenate([a, b]), np.concatenate([b, a])
+    apart = np.concatenate([apart, apart])
+    order = np.lexsort((other, apart, one))
+    one, other, apart = one[order], other[order], apart[order]
+    first = np.diff(one, prepend=~one[:1]) != 0
+    return pa.table({"a": one[first], "b": other[first], "apart": apart[first]})
 
 
 def _pairs_in_blocks(table: pa.Table) -> pa.Table:
@@ -413,7 +449,8 @@ def _pairs_in_blocks(table: pa.Table) -> pa.Table:
     for i, j in zip(first, np.append(first[1:], len(key))):
         stop[i:j] = i + np.searchsorted(size[i:j], size[i:j] * 100 // PERCENT, side="right")
     count = np.minimum(stop, end) - place - 1
-    low, high = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    none = np.zeros(0, dtype=np.int64)
+    low, high, distance = [none], [none], [none]
     total = np.cumsum(count)
     i = 0
     while i < len(key):
@@ -429,13 +466,16 @@ def _pairs_in_blocks(table: pa.Table) -> pa.Table:
             near = _near(parity, order, left[of_band], right[of_band], size, int(number))
             low.append(np.minimum(cls[near[0]], cls[near[1]]))
             high.append(np.maximum(cls[near[0]], cls[near[1]]))
+            distance.append(near[2])
         i = j
-    both = np.unique(np.stack([np.concatenate(high), np.concatenate(low)]), axis=1)
-    return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+    high, low, distance = (np.concatenate(c) for c in (high, low, distance))
+    _, once = np.unique(np.stack([high, low]), axis=1, return_index=True)
+    return pa.table({"a": high[once], "b": low[once], "apart": distance[once]})
 
 
 def _near(parity, order, left, right, size, band: int):
-    """Those of the pairs whose parity bits differ in no more places than linked sets may."""
+    """Those of the pairs whose parity bits differ in no more places than linked sets may,
+    and in how many."""
     rows, at = np.unique(np.concatenate([left, right]), return_inverse=True)
     bits = np.frombuffer(
         b"".join(parity.take(pa.array(order[rows])).to_pylist()), np.uint64
@@ -443,13 +483,13 @@ def _near(parity, order, left, right, size, band: int):
     most = np.minimum(
         most_different(band), (size[left] + size[right]) * (100 - PERCENT) // (100 + PERCENT)
     )
-    keep = np.zeros(len(left), dtype=bool)
+    apart = np.zeros(len(left), dtype=np.int64)
     step = max(1, (1 << 20) // bits.shape[1])
     for i in range(0, len(left), step):
         a, b = at[i:i + step][:len(left) - i], at[len(left) + i:len(left) + i + step]
-        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        keep[i:i + step] = apart <= most[i:i + step]
-    return left[keep], right[keep]
+        apart[i:i + step] = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+    keep = apart <= most
+    return left[keep], right[keep], apart[keep]
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -472,21 +512,37 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     needs = materialize(first_of.select(
         "class", own.alias("own"), F.posexplode("reserves").alias("below", "reserve")
     ).select("class", (F.col("own") - F.col("below")).alias("band"), "reserve"), "needs")
-    sizes, ids = first_of.select("class", "n_shingles"), first_of.select("class", "did", "rid")
+    ids = first_of.select("class", "did", "rid")
     raw = materialize(shared_blocks(docs), "shared-blocks")
-    blocks = materialize(_needed_blocks(raw, needs), "blocks")
-    hubs = materialize(
-        blocks.filter("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("n")), "hubs"
-    )
+    blocks = _needed_blocks(raw, needs)
+    release(raw)
+    hubs = blocks.filter("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("n"))
     best = materialize(
         hubs.groupBy("class").agg(F.max(F.struct(F.col("n"), (-F.col("hub")).alias("hub"))).alias("best"))
         .select(F.col("class").alias("a"), (-F.col("best.hub")).alias("b")), "best-hubs"
     )
     links = _verified(docs, ids, best, "near")
     labels = components(links)
-    pairs = materialize(_open_pairs(blocks, hubs, labels, sizes, docs, ids), "open-pairs")
-    more = _verified(docs, ids, pairs, "open")
-    labels = components(links.union(more))
+    opened = _open_blocks(blocks, labels, needs)
+    used = materialize(ids.join(opened.select("class").distinct(), "class"), "open-wanted")
+    sketches = materialize(_sketches(_texts_of(docs, used)), "open-sketches")
+    release(best, used)
+    nearest = True
+    while True:
+        pairs = materialize(_pairs(opened, sketches, nearest), "open-pairs")
+        more = _verified(docs, ids, pairs, "open")
+        last, n_pairs, n_links = not nearest, pairs.count(), more.count()
+        release(opened, pairs)
+        if n_links:
+            older, links = (links, labels), materialize(links.union(more), "links")
+            labels = components(links)
+            release(*older)
+        release(more)
+        if last or not n_pairs:
+            break
+        nearest = n_links * GAIN >= n_pairs
+        opened = _open_blocks(blocks, labels, needs)
+    release(blocks, links, sketches, needs, first_of)
     grouped = known.join(labels, "class", "left").withColumn(
         "group", F.coalesce("label", "class")
     )
