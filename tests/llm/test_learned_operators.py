@@ -284,6 +284,53 @@ def test_licences_against_brute_force(spark):
     assert got == want and len([v for v in want.values() if v]) > 10
 
 
+def test_usual_notices(spark):
+    table = {
+        1: ("# SPDX-License-Identifier: MIT\nimport os", "MIT"), 2: ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        3: ("It is licensed under the terms of the MIT license, as is the rest.", "MIT"),
+        4: ("Released under the GPL v3", "GPL"), 5: ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL"),
+        6: ("Distributed under the Boost Software License, Version 1.0. See the file.", "BSL-1.0"),
+        7: ("This program and the accompanying materials\nare made available under the terms of the\n"
+            "Eclipse Public License 2.0 which is at hand", "EPL-2.0"),
+        8: (S.TEMPLATES["Zlib"][1], "Zlib"), 9: ("SPDX-License-Identifier: none of these", ""),
+    }
+    frame = spark.createDataFrame([(k, v[0]) for k, v in table.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in S.license_report(frame).collect()} == {
+        k: v[1] for k, v in table.items()}
+
+
+def test_windows_and_paragraphs_against_brute_force(spark):
+    """Notices with words changed, among other words and over lines."""
+    import random
+    rng = random.Random(4)
+    every = [(n, t) for n, ts in S.TEMPLATES.items() for t in ts]
+    table, want = [], {}
+    for i in range(120):
+        words = rng.choice(every)[1].split()
+        for at in rng.sample(range(len(words)), min(len(words), rng.randint(0, 3))):
+            words[at] = rng.choice(["license", "the", "changed", "software"])
+        text = " ".join(["some", "words"] * rng.randint(0, 9) + words + ["and", "more"] * rng.randint(0, 9))
+        text = "".join("\n" if c == " " and rng.random() < 0.1 else c for c in text)
+        table.append((i, text))
+        plain = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+        pairs = list(zip(plain, plain[1:]))
+        found = set()
+        for name, template in every:
+            own = {tuple(g.split()) for g in S.bigram_set(template)}
+            wide = S._n_pairs(template)
+            units = [pairs[j:j + wide] for j in range(len(pairs))] + [pairs] + [
+                list(zip(w, w[1:])) for line in text.lower().split("\n") for w in [
+                    "".join(c if c.isascii() and c.isalnum() else " " for c in line).split()]]
+            if any(u and 2 * len(set(u) & own) >= 0.75 * (len(set(u)) + len(own)) for u in units):
+                found.add(name)
+        want[i] = found
+    got = {r["doc_id"]: {n for n in r["licenses"].split(",") if n} for r in S.license_report(
+        spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    for i, _ in table:
+        assert got[i] <= want[i] and bool(got[i]) == bool(want[i]), table[i]
+    assert 20 < sum(map(bool, want.values())) < 120
+
+
 # -- pages ---------------------------------------------------------------------------
 
 _BODY = "The council met on Monday and agreed to mend the old bridge before winter comes to town."

@@ -8,8 +8,15 @@ the sizes must satisfy ``a * t / (2 - t) <= b <= a * (2 - t) / t``; templates ou
 these bounds are not compared. A notice that shares its line or paragraph with other text is
 found by windows over the words of the whole text, as long as the template, that start at a
 bigram of the template; of overlapping windows the most similar stays, and it counts unless
-a matching line or paragraph holds it. Everything happens inside the row of a document, so no
-rows are shuffled and no document is cut.
+a matching line or paragraph holds it. Windows are not bounded by size, as they have that of
+their template. Everything happens inside the row of a document, so no rows are shuffled and
+no document is cut.
+
+Most documents hold no licence, and two exact gates tell that early. Whatever matches a
+template of ``a`` bigrams has at least ``a * t / (2 - t)`` of them, hence one of any choice of
+``a - a * t / (2 - t) + 1``: the ones with the longest words are chosen, and a document without
+these words (:func:`gate_words`) is done. In the others the bigrams of the whole text are
+counted by template, and units and windows are looked at for templates with enough of them.
 
 Defined results: a NULL or empty text, and a unit of fewer than two words, match nothing.
 Ties go to the licence that comes first by name. Repeated rows each get their row.
@@ -17,6 +24,7 @@ Ties go to the licence that comes first by name. Repeated rows each get their ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +44,8 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "The GNU Affero General Public License is a free, copyleft license for software and "
         "other kinds of works, specifically designed to ensure cooperation with the community "
         "in the case of network server software.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -48,11 +58,23 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "governing permissions and limitations under the License.",
         "\"License\" shall mean the terms and conditions for use, reproduction, and distribution "
         "as defined by Sections 1 through 9 of this document.",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the terms of the Apache License, Version 2.0.",
     ),
     "BSD": (
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met:",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Licensed under the terms of the BSD license.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS "
+        "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "BSL-1.0": (
+        "SPDX-License-Identifier: BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
@@ -78,6 +100,11 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International "
         "Public License",
     ),
+    "EPL-2.0": (
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0",
+    ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the "
@@ -85,11 +112,19 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "Foundation, either version 3 of the License, or (at your option) any later version.",
         "The GNU General Public License is a free, copyleft license for software and other kinds "
         "of works.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Released under the GPL v2.",
+        "Released under the GPL v3.",
+        "Licensed under the terms of the GNU General Public License.",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with "
         "or without fee is hereby granted, provided that the above copyright notice and this "
         "permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
     ),
     "LGPL": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -99,6 +134,8 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "This version of the GNU Lesser General Public License incorporates the terms and "
         "conditions of version 3 of the GNU General Public License, supplemented by the "
         "additional permissions listed below.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -108,6 +145,11 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so, subject to the following "
         "conditions:",
+        "SPDX-License-Identifier: MIT",
+        "Licensed under the terms of the MIT license.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
@@ -115,9 +157,16 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "https://mozilla.org/MPL/2.0/.",
         "\"Contributor\" means each individual or legal entity that creates, contributes to the "
         "creation of, or owns Covered Software.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "Zlib": (
+        "SPDX-License-Identifier: Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event "
+        "will the authors be held liable for any damages arising from the use of this software.",
     ),
 }
 
@@ -126,11 +175,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(C.lower_ascii(text), "[^a-z0-9\\n]+", " ")
 
 
-def _units(text: Column) -> Column:
-    clean = normalised(text)
-    lines = F.split(clean, "\n")
-    paragraphs = F.transform(F.split(clean, "\\n ?\\n"), lambda p: F.translate(p, "\n", " "))
-    return F.concat(lines, paragraphs)
+def _lines(clean: str) -> Column:
+    return F.split(clean, "\n")
+
+
+def _paragraphs(clean: str) -> Column:
+    return F.split(clean, "\\n ?\\n")
 
 
 def _pairs(unit: Column) -> Column:
@@ -150,10 +200,11 @@ def bigram_set(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(clean, clean[1:])})
 
 
-def _template_array(templates: Mapping[str, tuple[str, ...]]) -> Column:
+def _template_array(templates: Mapping[str, tuple[str, ...]], min_dice: float) -> Column:
     return F.array(*[
         F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"),
-                 F.lit(len(grams)).alias("size"), F.lit(_n_pairs(text)).alias("width"))
+                 F.lit(len(grams)).alias("size"), F.lit(_n_pairs(text)).alias("width"),
+                 F.lit(_least_common(len(grams), min_dice)).alias("least"))
         for name, texts in sorted(templates.items()) for text in texts for grams in [bigram_set(text)]
     ])
 
@@ -162,18 +213,27 @@ def _n_pairs(text: str) -> int:
     return max(1, len("".join(c if c.isascii() and c.isalnum() else " " for c in text).split()) - 1)
 
 
-_WINDOW = "struct<start:int,end:int,dice:double,license:string,grams:array<string>>"
+def _least_common(size: int, min_dice: float) -> int:
+    """Bigrams of a template of ``size`` that whatever matches it must have."""
+    return math.ceil(size * min_dice / (2 - min_dice) - 1e-9)
+
 
+def gate_words(templates: Mapping[str, tuple[str, ...]] = TEMPLATES, min_dice: float = MIN_DICE) -> list[str]:
+    """Words of which every text that matches a template holds one."""
+    found = set()
+    for grams in (bigram_set(text) for texts in templates.values() for text in texts):
+        longest = sorted(max(g.split(), key=len) for g in grams)
+        longest.sort(key=len, reverse=True)
+        found |= set(longest[:len(grams) - _least_common(len(grams), min_dice) + 1])
+    return sorted(found)
 
-def _window_hits(pairs: Column, some: Column, every: Column, min_dice: float) -> Column:
-    """The windows over the bigrams ``pairs`` of a text that match, none overlapping.
 
-    ``some`` are the distinct bigrams of the text that any template has. A window that matches
-    has at least ``min_dice / (2 - min_dice)`` of those of its template.
-    """
-    near = F.filter(every, lambda t: (
-        F.size(F.array_intersect(some, t["grams"])) >= t["size"] * (min_dice / (2 - min_dice))))
+_WINDOW = "struct<start:int,end:int,dice:double,license:string,grams:array<string>>"
+
 
+def _window_hits(pairs: Column, near: Column, min_dice: float) -> Column:
+    """The windows over the bigrams ``pairs`` of a text that match a template of ``near``, none
+    overlapping."""
     def of_template(t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(pairs)),
                           lambda i: F.array_contains(t["grams"], F.element_at(pairs, i)))
@@ -200,7 +260,7 @@ def _window_hits(pairs: Column, some: Column, every: Column, min_dice: float) ->
 
     found = F.array_sort(F.flatten(F.transform(near, of_template)))
     none = F.array().cast(f"array<{_WINDOW}>")
-    return F.when(F.size(some) > 0, F.reduce(found, none, keep)).otherwise(none)
+    return F.reduce(found, none, keep)
 
 
 def scan_licenses(
@@ -210,11 +270,11 @@ def scan_licenses(
     the units that match with ``license`` and ``dice``, the best template of each, then windows."""
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     sizes = [len(bigram_set(t)) for texts in templates.values() for t in texts]
-    every = _template_array(templates)
+    every = _template_array(templates, min_dice)
 
     def best(grams: Column) -> Column:
         size = F.size(grams)
-        near = F.filter(every, lambda t: (t["size"] >= size * low) & (t["size"] <= size * high))
+        near = F.filter("near", lambda t: (t["size"] >= size * low) & (t["size"] <= size * high))
         rated = F.transform(near, lambda t: F.struct(
             (F.size(F.array_intersect(grams, t["grams"])) * 2.0 / (size + t["size"])).alias("dice"),
             t["name"].alias("license"),
@@ -229,27 +289,36 @@ def scan_licenses(
     some_near = lambda g: F.size(g).between(
         int(min(sizes) / high), int(max(sizes) / low) + 1)
     known = F.array(*map(F.lit, sorted({g for ts in templates.values() for t in ts for g in bigram_set(t)})))
-    units = docs.select(
-        "doc_id", _units(C.whole_text()).alias("units"),
-        _pairs(F.translate(normalised(C.whole_text()), "\n", " ")).alias("pairs"),
+    gate = F.array(*map(F.lit, gate_words(templates, min_dice)))
+    clean = docs.select("doc_id", normalised(C.whole_text()).alias("clean"))
+    one_line = F.translate("clean", "\n", " ")
+    passed = clean.select(
+        "doc_id", (F.size(_lines("clean")) + F.size(_paragraphs("clean"))).cast("long").alias("n_units"),
+        F.when(F.arrays_overlap(F.split(one_line, " "), gate), F.col("clean")).alias("clean"),
     )
-    grams = F.filter(F.array_distinct(F.transform("units", _bigrams)), some_near)
+    # a CASE computes what stands in it for the documents that come that far only
+    pairs = passed.withColumn("pairs", F.when(F.col("clean").isNotNull(), _pairs(one_line)))
+    some = F.when(F.col("pairs").isNotNull(), F.array_intersect("pairs", known))
+    rows = pairs.withColumn("some", some).withColumn("near", F.when(
+        F.size("some") > 0,
+        F.filter(every, lambda t: F.size(F.array_intersect("some", t["grams"])) >= t["least"]),
+    )).withColumn("go", F.coalesce(F.size("near") > 0, F.lit(False)))
+    units = F.concat(_lines("clean"), F.transform(_paragraphs("clean"), lambda p: F.translate(p, "\n", " ")))
+    grams = F.filter(F.array_distinct(F.transform(units, _bigrams)), some_near)
     rated = F.filter(
         F.transform(grams, lambda g: F.struct(best(g).alias("best"), g.alias("grams"))),
         lambda r: r["best"].isNotNull())
-    found = units.select(
-        "doc_id", F.size("units").cast("long").alias("n_units"), rated.alias("rated"), "pairs",
-        F.array_intersect("pairs", known).alias("some"),
-    ).select(
-        "doc_id", "n_units", "rated",
-        _window_hits(F.col("pairs"), F.col("some"), every, min_dice).alias("windows"),
+    found = rows.select(
+        "doc_id", "n_units", F.when(F.col("go"), rated).alias("rated"),
+        F.when(F.col("go"), _window_hits(F.col("pairs"), F.col("near"), min_dice)).alias("windows"),
     )
     more = F.filter("windows", lambda w: ~F.exists("rated", lambda r: (
         (r["best"]["license"] == w["license"])
         & (F.size(F.array_intersect(w["grams"], r["grams"])) * 4 >= F.size(w["grams"]) * 3))))
     hits = F.concat(F.transform("rated", lambda r: r["best"]),
                     F.transform(more, lambda w: F.struct(w["dice"].alias("dice"), w["license"].alias("license"))))
-    return found.select("doc_id", "n_units", hits.alias("hits"))
+    none = F.array().cast("array<struct<dice:double,license:string>>")
+    return found.select("doc_id", "n_units", F.coalesce(hits, none).alias("hits"))
 
 
 def license_report(docs: DataFrame) -> DataFrame:
