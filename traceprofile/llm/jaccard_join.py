@@ -60,6 +60,9 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 #: Blocks of a sketch for each difference to be covered.
 SPARE = 1.25
+#: Rarest open blocks of a class in which its nearest one is looked for; the last step takes
+#: all that are needed.
+NEAREST_BLOCKS = 8
 #: Rounds of nearest classes go on while one in so many comparisons finds a link.
 GAIN = 20
 #: Parity bits for each shingle of the band's largest set.
@@ -355,8 +358,8 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _open_blocks(blocks: DataFrame, labels: DataFrame, needs: DataFrame) -> DataFrame:
-    """``(key, band, class, label)``, written: the blocks in which linked classes of different
-    components are bound to meet.
+    """``(key, band, class, label, place)``, written: the blocks in which linked classes of
+    different components are bound to meet; ``place`` counts those of a class, rarest first.
 
     A block with classes of one component is closed. Classes of different components that
     link share only open blocks, and more of them than the reserve of either, so the first
@@ -364,25 +367,34 @@ def _open_blocks(blocks: DataFrame, labels: DataFrame, needs: DataFrame) -> Data
     reserve.
     """
     rows = blocks.join(_small(labels), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    several = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    keys = materialize(several.filter("least <> most").select("key"), "open-keys")
+    keys = materialize(_between_components(rows), "open-keys")
     of_class = Window.partitionBy("class", "band")
-    first = (
+    first = materialize(
         rows.join(_small(keys), "key").join(_small(needs), ["class", "band"])
         .withColumn("place", F.row_number().over(of_class.orderBy("n", "key")))
         .withColumn("open", F.count("*").over(of_class))
         .filter(F.col("place") <= F.col("open") - F.col("reserve"))
-        .select("key", "band", "class", "label")
+        .select("key", "band", "class", "label", "place"), "first-blocks"
     )
-    found = materialize(first, "open-blocks")
-    release(keys)
+    # where the others of a block left it out, nothing meets
+    left = materialize(_between_components(first), "met-keys")
+    found = materialize(first.join(_small(left), "key"), "open-blocks")
+    release(keys, first, left)
     return found
 
 
+def _between_components(rows: DataFrame) -> DataFrame:
+    """The keys with classes of several components."""
+    labels = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    return labels.filter("least <> most").select("key")
+
+
 def _pairs(opened: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
     """Pairs ``(a, b)`` of one block and different components that may link: all of them, or
     of each class the one whose parity bits are nearest."""
     spread = F.pmod(F.xxhash64("key"), F.lit(B.n_parts(opened.sparkSession)))
+    if nearest:
+        opened = opened.filter(F.col("place") <= NEAREST_BLOCKS)
     groups = opened.join(_small(sketches), ["class", "band"]).select(
         "key", "band", "class", "label", "n_shingles", "parity", spread.alias("group")
     ).groupBy("group")
@@ -532,17 +544,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         pairs = materialize(_pairs(opened, sketches, nearest), "open-pairs")
         more = _verified(docs, ids, pairs, "open")
         last, n_pairs, n_links = not nearest, pairs.count(), more.count()
-        release(opened, pairs)
+        release(pairs)
         if n_links:
             older, links = (links, labels), materialize(links.union(more), "links")
             labels = components(links)
             release(*older)
         release(more)
-        if last or not n_pairs:
+        if last:
             break
-        nearest = n_links * GAIN >= n_pairs
-        opened = _open_blocks(blocks, labels, needs)
-    release(blocks, links, sketches, needs, first_of)
+        nearest = n_links > 0 and n_links * GAIN >= n_pairs
+        if n_links:
+            release(opened)
+            opened = _open_blocks(blocks, labels, needs)
+    release(opened, blocks, links, sketches, needs, first_of)
     grouped = known.join(labels, "class", "left").withColumn(
         "group", F.coalesce("label", "class")
     )
