@@ -92,7 +92,13 @@ def self_time(
     """Samples per leaf method. ``skip_runtime`` leaves out runtime bookkeeping before
     ranking; percentages keep all samples as their base. ``leaves`` are leaf counts that
     are known already."""
-    leaves = leaf_counts(samples) if leaves is None else leaves
+    return self_time_of(leaf_counts(samples) if leaves is None else leaves, mapping, n, skip_runtime)
+
+
+def self_time_of(
+    leaves: DataFrame, mapping: DataFrame, n: int = SELF_LIMIT, skip_runtime: bool = False
+) -> DataFrame:
+    """:func:`self_time` from leaf counts."""
     counts = _merge_names(leaves.filter(F.col("addr").isNotNull()), mapping)
     if skip_runtime:
         counts = counts.filter(not_runtime_overhead(short_name(F.col("name"))))
@@ -167,8 +173,12 @@ def inclusive_time(
     totals: DataFrame | None = None,
 ) -> DataFrame:
     """Samples per method anywhere in the stack; ``totals`` spares counting the samples."""
-    counts = inclusive_counts(samples, mapping)
     totals = sample_count(samples) if totals is None else totals
+    return inclusive_time_of(inclusive_counts(samples, mapping), totals, n)
+
+
+def inclusive_time_of(counts: DataFrame, totals: DataFrame, n: int = INCLUSIVE_LIMIT) -> DataFrame:
+    """:func:`inclusive_time` from the counts of names."""
     return _method_report(_most_common(counts, totals, F.col("first_seen"), n))
 
 
@@ -180,13 +190,25 @@ def hot_stacks(
     Sequences are grouped as arrays, so a name that contains the separator of the text
     form is not confused with two names.
     """
-    heads = (
+    totals = sample_count(samples) if totals is None else totals
+    return hot_stacks_of(head_counts(samples), mapping, totals, n)
+
+
+def head_counts(samples: DataFrame) -> DataFrame:
+    """Samples per first five addresses and the first of them."""
+    return (
         samples.select(
             "trace_id", F.slice("frames", 1, STACK_FRAMES).alias("head"), "sample_ord"
         )
         .groupBy("trace_id", "head")
         .agg(F.count(F.lit(1)).alias("count"), F.min("sample_ord").alias("first_seen"))
     )
+
+
+def hot_stacks_of(
+    heads: DataFrame, mapping: DataFrame, totals: DataFrame, n: int = STACK_LIMIT
+) -> DataFrame:
+    """:func:`hot_stacks` from the counts of stack heads."""
     frames = heads.select(
         "trace_id", "head", "count", "first_seen", F.posexplode("head").alias("at", "addr")
     )
@@ -198,7 +220,6 @@ def hot_stacks(
         .groupBy("trace_id", "names")
         .agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"))
     )
-    totals = sample_count(samples) if totals is None else totals
     best = _most_common(sequences, totals, F.col("first_seen"), n)
     return best.select(
         "trace_id", "pos", F.array_join("names", "|").alias("stack"),

@@ -64,6 +64,15 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     )
 
 
+def list_file_versions(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``(trace_id, path, size, modified)``: the listing with what tells one form of a file
+    from the next."""
+    return file_listing(spark, path, pattern).select(
+        "trace_id", "path", F.col("length").cast("bigint").alias("size"),
+        F.col("modificationTime").alias("modified"),
+    )
+
+
 def file_starts(listing: DataFrame, fixed: int, more: Callable[[bytes], int] | None = None,
                 opener: Opener = open_file) -> DataFrame:
     """``listing`` with ``content``, the first ``fixed`` bytes of each file and ``more`` of them.

@@ -507,6 +507,10 @@ FROM mapping"""),
         ),
         "inclusive_time_from_folder": _methods("true", "", _FILE_FRAMES),
         "hot_stacks_from_folder": _hot(_FILE_FRAMES),
+        "self_time_from_parts": _methods("frame_pos = 0"),
+        "inclusive_time_from_parts": _methods("true"),
+        "hot_stacks_from_parts": _hot(_FRAMES),
+        "self_time_from_store": _methods("frame_pos = 0"),
         "inclusive_time": _methods("true"),
         "hot_stacks": _hot(_FRAMES),
         "parse_samples": _with(_SAMPLES, """

@@ -17,7 +17,7 @@ from traceprofile.operators import sampling as S
 from traceprofile.operators.context import issue_context
 from traceprofile.operators.main_thread import SLICE_COLUMNS, main_thread_slices
 from traceprofile.operators.topk import collapse_duplicates
-from traceprofile.plans import analysis, report
+from traceprofile.plans import analysis, profile_store, report
 from traceprofile.plans.profile import sample_profile
 from traceprofile.session import new_shared_path
 from traceprofile.sources import mapping_files, outputs, trace_files
@@ -111,6 +111,39 @@ def _issues_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.read_issues(spark, path)
 
 
+def _from_parts(name: str) -> Query:
+    """A report of a store to which the samples came in three parts, one of them twice."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        samples, mapping = B.samples(spark, sf_dir), B.mapping(spark, sf_dir)
+        states = [
+            profile_store.profile_state(samples.filter(F.col("sample_ord") % 3 == i), mapping)
+            for i in range(3)
+        ]
+        path = new_shared_path(spark, "profile-parts")
+        for i in (0, 1, 2, 1):
+            states[i].write.mode("overwrite").parquet(f"{path}/part={i}")
+        kept = spark.read.schema(f"{profile_store.STATE}, part int").parquet(path).drop("part")
+        return profile_store.state_reports(profile_store.merge_states(kept), mapping)[name]
+
+    return query
+
+
+def _updated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Self time from a store that met a few traces first, then all, then nothing new."""
+    samples, mapping = B.samples(spark, sf_dir), B.mapping(spark, sf_dir)
+    files = samples.select("trace_id").distinct().select(
+        "trace_id", F.col("trace_id").alias("path"), F.lit(1).cast("long").alias("size"),
+        F.lit("2024-01-15 10:30:45").cast("timestamp").alias("modified"),
+    )
+    path = new_shared_path(spark, "profile-store")
+    first = files.filter(F.crc32(F.col("trace_id").cast("binary")) % 3 == 0)
+    for part, listed in (("000001", first), ("000002", files), ("000003", files)):
+        profile_store.update_profile(
+            listed, mapping, path, part, lambda new: samples.join(new.select("trace_id"), "trace_id", "left_semi")
+        )
+    return profile_store.state_reports(profile_store.read_state(spark, path), mapping)["self_time"]
+
+
 def _report(tables: Tables) -> DataFrame:
     found = analysis.run_analysis(tables)
     return report.reports(found.issues, found.traces, _as_of())
@@ -303,6 +336,10 @@ def queries() -> dict[str, Query]:
         "self_time_from_folder": _from_folder("self_time"),
         "inclusive_time_from_folder": _from_folder("inclusive_time"),
         "hot_stacks_from_folder": _from_folder("hot_stacks"),
+        "self_time_from_parts": _from_parts("self_time"),
+        "inclusive_time_from_parts": _from_parts("inclusive_time"),
+        "hot_stacks_from_parts": _from_parts("hot_stacks"),
+        "self_time_from_store": _updated_profile,
         "inclusive_time": _on_samples(S.inclusive_time),
         "hot_stacks": _on_samples(S.hot_stacks),
     }
