@@ -98,6 +98,12 @@ def test_language_without_labels(docs):
     assert {r["lang_pred"] for r in found} == {"und"}
 
 
+@pytest.mark.parametrize("text", ["½ ²", "①", "Ⅷ", "12 _ ½"])
+def test_number_signs_are_no_letters(text):
+    from traceprofile.llm.langid import normalised
+    assert normalised(text) == b"" and normalised(text + " ä") != b""
+
+
 def test_one_language():
     assert L.Classifier({"xx": b" some text "}).classify("some") == ("xx", 1.0)
 

@@ -42,9 +42,12 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def normalised(text: str) -> bytes:
-    """Lower-case words of letters between single spaces; empty if there is no letter."""
+    """Lower-case words of letters between single spaces; empty if there is no letter.
+
+    Number signs such as ``½`` stay inside words but are no letters.
+    """
     words = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    return f" {words} ".encode("utf-8", "replace") if words else b""
+    return f" {words} ".encode("utf-8", "replace") if any(map(str.isalpha, words)) else b""
 
 
 def training_rows() -> Column:
