@@ -9,6 +9,10 @@ import pytest
 from traceprofile import schema
 from traceprofile.operators import sampling as S
 from traceprofile.plans import profile_store as P
+from traceprofile.plans.profile import sample_profile
+from traceprofile.sources.file_ranges import list_file_versions, list_files
+from traceprofile.sources.mapping_files import parse_mapping
+from traceprofile.testing import bindings
 
 NAMES = ("self_time", "inclusive_time", "hot_stacks")
 
@@ -86,3 +90,16 @@ def test_a_part_without_its_ledger_does_not_count(spark, mapping, tmp_path):
 def test_an_empty_store(spark, mapping, tmp_path):
     state = P.read_state(spark, str(tmp_path / "none"))
     assert state.count() == 0 and P.state_reports(state, mapping)["self_time"].count() == 0
+
+
+def test_a_folder_of_files(spark, tmp_path):
+    """The same reports as from the files themselves; a second update reads nothing."""
+    folder = bindings.trace_folder(spark, "/root/testdata/sf0.001")
+    symbols = parse_mapping(list_files(spark, folder, "*-mapping"))
+    forms, path = list_file_versions(spark, folder, "sampling"), str(tmp_path / "store")
+    assert P.update_profile(forms, symbols, path, "1") == forms.count() > 0
+    assert P.update_profile(forms, symbols, path, "2") == 0
+    got = P.state_reports(P.read_state(spark, path), symbols)
+    want = sample_profile(list_files(spark, folder, "sampling"), symbols)
+    for name in ("inclusive_time", "hot_stacks", "sample_count"):
+        assert _rows(got[name]) == _rows(want[name]) != []
