@@ -142,3 +142,35 @@ def test_a_file_is_spread_over_tasks(spark, tmp_path):
     cut = file_ranges.spread(file_ranges.ranges(listing, 32 << 10), listing, 32 << 10)
     parts = cut.groupBy(F.spark_partition_id().alias("part")).count().collect()
     assert cut.count() > 25 and len(parts) > 4
+
+
+def test_small_ranges_share_tasks(spark):
+    """A task per four ranges made the blocks of the shuffle grow with the square of the files."""
+    listing = spark.range(300).select(
+        F.concat(F.lit("t"), "id").alias("trace_id"), F.concat(F.lit("/t"), "id").alias("path"),
+        F.lit(400_000).cast("bigint").alias("size"),
+    )
+    cut = file_ranges.spread(file_ranges.ranges(listing, 10_000), listing, 10_000)
+    assert cut.count() == 12_000
+    assert cut.rdd.getNumPartitions() < 300
+
+
+def test_passages_take_less_than_the_range():
+    """One row per place where a record may start, not per place where a scan may enter."""
+    content = (header() + record(list(range(1000, 1040))) * 60)[len(header()):]
+    content += bytes(trace_files.MAX_RECORD)
+    limit = 16 << 10
+    rows = trace_files._passages(content, range(trace_files.MAX_RECORD), limit)
+    assert rows.nbytes < limit
+    found = [trace_files._passage(rows, e) for e in range(trace_files.MAX_RECORD)]
+    step = trace_files.RECORD_HEADER + 8 * 40
+    records = -(-limit // step)
+    assert found[0] == (records * step, records, 0)
+    assert found[step] == (records * step, records - 1, 0)
+
+
+def test_a_map_listed_twice_is_read_once(spark, tmp_path):
+    (tmp_path / "m").write_bytes(struct.pack("<QII", 0, 1, 2) + symbol(1, b"a") + symbol(2, b"b"))
+    listing = file_ranges.list_files(spark, str(tmp_path))
+    rows = mapping_files.parse_mapping(listing.unionByName(listing)).collect()
+    assert sorted((r.addr, r.name) for r in rows) == [(1, "a"), (2, "b")]

@@ -14,7 +14,7 @@ from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceprofile.sources.binary_files import file_listing
@@ -23,8 +23,9 @@ Opener = Callable[[str], BinaryIO]
 
 #: Bytes of a file that one task reads at a time.
 RANGE_BYTES = 64 << 20
-#: Ranges of a shuffle partition, and partitions at most.
-_RANGES_PER_TASK, _MOST_TASKS = 4, 100_000
+#: Bytes of a shuffle partition of ranges, what opening a file counts for in bytes, and
+#: partitions at most.
+_TASK_BYTES, _OPEN_BYTES, _MOST_TASKS = 4 * RANGE_BYTES, 4 << 20, 100_000
 
 
 def file_system(path: str):
@@ -110,8 +111,15 @@ def spread(rows: DataFrame, listing: DataFrame, range_bytes: int) -> DataFrame:
     """``rows`` of ranges dealt over as many tasks as the files' bytes call for.
 
     Rows of ranges are tiny, so partitions merged by their size would put all into one task.
+    A task per few small ranges would cost more than they do, and its blocks of the shuffle
+    grow with the square of the files; so a range counts by its bytes and for being opened.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    count = listing.agg(F.sum(F.ceil((F.col("size") + 1) / range_bytes))).first()[0] or 1
-    tasks = min(max(cores, math.ceil(count / _RANGES_PER_TASK)), _MOST_TASKS)
-    return rows.repartition(tasks, "path", "begin")
+    number = F.ceil((F.col("size") + 1) / range_bytes)
+    return rows.repartition(task_count(listing, number), "path", "begin")
+
+
+def task_count(listing: DataFrame, opened: Column | None = None) -> int:
+    """Tasks that the bytes of the files call for, each file being opened so many times."""
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    total = listing.agg(F.sum(F.col("size") + (F.lit(1) if opened is None else opened) * _OPEN_BYTES)).first()[0] or 1
+    return min(max(cores, math.ceil(total / _TASK_BYTES)), _MOST_TASKS)

@@ -19,6 +19,7 @@ A file of one range, as most are, takes the second pass only.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceprofile.session import materialize
 from traceprofile.sources import file_ranges
 from traceprofile.sources.binary_files import little_endian
 from traceprofile.sources.file_ranges import RANGE_BYTES, Opener, open_file, read_at
@@ -43,6 +45,8 @@ MAX_RECORD = RECORD_HEADER + 8 * (MAX_DEPTH - 1)
 # ---------------------------------------------------------------------------
 
 BATCH_SAMPLES = 10_000
+#: Places looked at together, and blocks of them kept.
+_BLOCK, _BLOCKS_KEPT = 64 << 10, 16
 
 _SCAN_SCHEMA = (
     "trace_id string, sample_ord bigint, marker int, depth int, frames array<bigint>, bad bigint"
@@ -189,43 +193,85 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _samples(trace.as_py(), content, _start(content, len(content)), len(content))
 
 
-def _passages(content: bytes, entries: range, limit: int) -> list[tuple[int, int, int, int]]:
-    """``(entry, exit, samples, bad)`` of the entries from which a scan survives the content.
-
-    ``exit`` is the first position from ``limit`` on, or -1 where the file ends before.
+class _Starts:
+    """Places of a content where a record may start, looked up by blocks and in order."""
+
+    def __init__(self, content: bytes, limit: int) -> None:
+        self._octets = np.frombuffer(content, dtype=np.uint8)
+        #: no record starts from here on
+        self.stop = min(limit, len(content) - RECORD_HEADER + 1)
+        self._blocks: dict[int, tuple[list[int], list[int]]] = {}
+
+    def _block(self, number: int) -> tuple[list[int], list[int]]:
+        if number not in self._blocks:
+            if len(self._blocks) == _BLOCKS_KEPT:
+                del self._blocks[next(iter(self._blocks))]
+            begin = number * _BLOCK
+            count = min(_BLOCK, self.stop - begin)
+            octets = self._octets[begin + DEPTH_AT : begin + DEPTH_AT + count + 3].astype(np.uint32)
+            depths = octets[:count] | octets[1 : count + 1] << 8 | octets[2 : count + 2] << 16
+            depths |= octets[3:] << 24
+            places = np.flatnonzero((depths > 0) & (depths < MAX_DEPTH))
+            self._blocks[number] = (places + begin).tolist(), depths[places].tolist()
+        return self._blocks[number]
+
+    def after(self, at: int) -> tuple[int, int]:
+        """The first start from ``at`` on and its depth; ``stop`` and 0 where there is none."""
+        while at < self.stop:
+            places, depths = self._block(at // _BLOCK)
+            i = bisect_left(places, at)
+            if i < len(places):
+                return places[i], depths[i]
+            at = (at // _BLOCK + 1) * _BLOCK
+        return self.stop, 0
+
+
+def _passages(content: bytes, entries: range, limit: int) -> np.ndarray:
+    """Rows ``(start, exit, samples, skipped)`` by ascending start, for the scans that enter.
+
+    A scan that enters skips to the first start from there on; the row tells what follows.
+    ``exit`` is the first position from ``limit`` on, or -1 where the file ends before. More
+    than ``MAX_BAD_BYTES`` skipped bytes are told as one more.
     """
-    size = len(content)
-    read_u32 = struct.Struct("<I").unpack_from
-    known: dict[int, tuple[int, int, int]] = {}
-    for entry in entries:
-        path, at, bad = [], entry, 0
-        while at not in known and bad <= MAX_BAD_BYTES:
-            if at >= limit:
-                known[at] = (at, 0, 0)
+    size, starts = len(content), _Starts(content, limit)
+    end = limit if limit == starts.stop else -1
+    known: dict[int, tuple[int, int, int]] = {starts.stop: (end, 0, 0)}
+    rows, entry = [], entries.start
+    while entry < entries.stop and entry <= starts.stop:
+        place, depth = first, _ = starts.after(entry)
+        path = []
+        while place not in known:
+            after = place + RECORD_HEADER + 8 * depth
+            if after > size:
+                known[place] = (-1, 0, 0)
+                break
+            if after >= starts.stop:
+                known[place] = (after if after >= limit else -1, 1, 0)
                 break
-            depth = read_u32(content, at + DEPTH_AT)[0] if at + RECORD_HEADER <= size else None
-            if depth is None:
-                known[at] = (-1, 0, 0)
-            elif 0 < depth < MAX_DEPTH:
-                after = at + RECORD_HEADER + 8 * depth
-                if after > size:
-                    known[at] = (-1, 0, 0)
-                else:
-                    path.append((at, 1))
-                    at = after
-            else:
-                path.append((at, 0))
-                at, bad = at + 1, bad + 1
-        if at in known:
-            leaves, samples, skipped = known[at]
-            for place, record in reversed(path):
-                samples, skipped = samples + record, skipped + 1 - record
-                known[place] = (leaves, samples, skipped)
-    return [(e, *known[e]) for e in entries if e in known and known[e][2] <= MAX_BAD_BYTES]
+            following, depth = starts.after(after)
+            path.append((place, following - after))
+            place = following
+        leaves, samples, skipped = known[place]
+        for at, gap in reversed(path):
+            samples, skipped = samples + 1, min(skipped + gap, MAX_BAD_BYTES + 1)
+            known[at] = (leaves, samples, skipped)
+        rows.append((first, *known[first]))
+        entry = first + 1
+    return np.array(rows, dtype="<i8").reshape(-1, 4)
+
+
+def _passage(rows: np.ndarray, entry: int) -> tuple[int, int, int] | None:
+    """``(exit, samples, skipped)`` of a scan that enters at ``entry`` and survives."""
+    i = int(np.searchsorted(rows[:, 0], entry))
+    if i == len(rows):
+        return None
+    start, leaves, samples, skipped = rows[i].tolist()
+    skipped += start - entry
+    return (leaves, samples, skipped) if skipped <= MAX_BAD_BYTES else None
 
 
 def _passage_table(range_bytes: int, opener: Opener):
-    """Per range ``start`` of the file's records and the passages, by absolute positions."""
+    """Per range ``start`` of the file's records and the passages, by positions in the range."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +279,7 @@ def _passage_table(range_bytes: int, opener: Opener):
                 begin, end = row["begin"], row["end"]
                 with opener(row["path"]) as file:
                     start = _start(read_at(file, 0, JSON_AT), row["size"])
-                    passages = []
+                    passages = np.empty((0, 4), dtype="<i8")
                     if start < end:
                         content = read_at(file, begin, end - begin + MAX_RECORD)
                         first = max(start - begin, 0)
@@ -241,10 +287,7 @@ def _passage_table(range_bytes: int, opener: Opener):
                         passages = _passages(content, range(first, last), end - begin)
                 yield pa.RecordBatch.from_pylist([{
                     **{name: row[name] for name in ("trace_id", "path", "size", "begin", "end")},
-                    "start": start,
-                    "passages": [
-                        [begin + e, begin + x if x >= 0 else -1, n, b] for e, x, n, b in passages
-                    ],
+                    "start": start, "passages": passages.tobytes(),
                 }], schema=_TABLE_TYPE)
 
     return work
@@ -252,11 +295,11 @@ def _passage_table(range_bytes: int, opener: Opener):
 
 _TABLE_TYPE = pa.schema([
     ("trace_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("begin", pa.int64()),
-    ("end", pa.int64()), ("start", pa.int64()), ("passages", pa.list_(pa.list_(pa.int64()))),
+    ("end", pa.int64()), ("start", pa.int64()), ("passages", pa.binary()),
 ])
 _TABLE_SCHEMA = (
     "trace_id string, path string, size bigint, begin bigint, end bigint, start bigint, "
-    "passages array<array<bigint>>"
+    "passages binary"
 )
 _ENTERED_SCHEMA = (
     "trace_id string, path string, size bigint, begin bigint, end bigint, entry bigint, "
@@ -278,14 +321,14 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 **{name: row[name] for name in ("trace_id", "path", "size", "begin", "end")},
                 "entry": at, "done": done, "bad": bad,
             })
-            passage = next((p for p in row["passages"] if p[0] == at), None)
+            rows = np.frombuffer(row["passages"], dtype="<i8").reshape(-1, 4)
+            passage = _passage(rows, at - row["begin"])
             if passage is None:  # too many bytes are skipped here
                 at = -1
                 continue
-            _, at, samples, skipped = passage
+            leaves, samples, skipped = passage
             done, bad = done + samples, bad + skipped
-            if bad > MAX_BAD_BYTES:
-                at = -1
+            at = row["begin"] + leaves if leaves >= 0 and bad <= MAX_BAD_BYTES else -1
         yield pa.RecordBatch.from_pylist(entered, schema=pa.schema([
             ("trace_id", pa.string()), ("path", pa.string()),
             *((name, pa.int64()) for name in ("size", "begin", "end", "entry", "done", "bad")),
@@ -311,7 +354,10 @@ def scan_ranges(
     listing: DataFrame, range_bytes: int = RANGE_BYTES, opener: Opener = open_file
 ) -> DataFrame:
     """:func:`scan_files` of a listing, by byte ranges. A file may have several rows without
-    a depth; the largest ``bad`` counts."""
+    a depth; the largest ``bad`` counts.
+
+    The listing is read several times, so it is written first: it may open every file."""
+    listing = materialize(listing, "listing")
     cut = file_ranges.spread(file_ranges.ranges(listing, range_bytes), listing, range_bytes)
     number = F.lit(0).cast("bigint")
     single = cut.filter(F.col("size") <= range_bytes).select(
