@@ -174,3 +174,21 @@ def test_a_map_listed_twice_is_read_once(spark, tmp_path):
     listing = file_ranges.list_files(spark, str(tmp_path))
     rows = mapping_files.parse_mapping(listing.unionByName(listing)).collect()
     assert sorted((r.addr, r.name) for r in rows) == [(1, "a"), (2, "b")]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for i in range(100):
+        (tmp_path / f"t{i}").mkdir()
+        (tmp_path / f"t{i}" / "sampling").write_bytes(header())
+    seen, reader = [], type(spark.read)
+    load = reader.load
+    try:
+        reader.load = lambda self, *a, **k: seen.append(int(spark.conf.get(name))) or load(self, *a, **k)
+        before = spark.conf.get(name)
+        listing = file_ranges.list_files(spark, str(tmp_path), "sampling")
+    finally:
+        reader.load = load
+    assert seen == [8 * spark.sparkContext.defaultParallelism]
+    assert spark.conf.get(name) == before
+    assert listing.count() == 100

@@ -281,3 +281,19 @@ def test_analysis_is_replaced_with_its_raw_tables(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         tp.write_issues(found.issues, str(tmp_path / "i"))
     tp.write_issues(found.issues, str(tmp_path / "i"), mode="overwrite")
+
+
+def test_samples_are_encoded_in_columns(spark):
+    from traceprofile.testing import bindings
+
+    rows = [("a", 1, 2, 3, [7, -1, 2**62]), ("a", None, 2, 0, []), (None, 3, 258, 2, [None, 5]),
+            ("b", 4, 2, None, None), ("b", 4, 2, 1, [600])]
+    schema = "trace_id string, sample_ord bigint, marker int, depth int, frames array<bigint>"
+    layout = "trace_id string, sample_ord bigint, record binary"
+    found = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(bindings._encode, layout).collect()
+    want = [
+        None if f is None else struct.pack("<H", m) + bytes(66) + struct.pack("<II", d, d)
+        + b"".join(struct.pack("<q", x) for x in f if x is not None) for _, _, m, d, f in rows
+    ]
+    assert [(r.trace_id, r.sample_ord) for r in found] == [r[:2] for r in rows]
+    assert [r.record if r.record is None else bytes(r.record) for r in found] == want

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,10 @@ from traceprofile.functions.text import TRACE_NAME_PATTERN
 MAPPING_SUFFIX = "-mapping"
 SAMPLE_FILE = "sampling"
 
+#: Tasks per core that list folders.
+LISTING_TASKS = 8
+_LISTING_CONF = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 
 def folder_root(spark: SparkSession, path: str) -> str:
     """The folder read, as the reader spells it; the part before any wildcard."""
@@ -38,10 +44,29 @@ def trace_identity(path: Column, root: str) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), named, F.lit(root.rsplit("/", 1)[-1]))
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Some tasks per core while folders are listed; by default each folder gets a task."""
+    most = str(spark.sparkContext.defaultParallelism * LISTING_TASKS)
+    before = spark.conf.get(_LISTING_CONF, None)
+    if before is not None and int(before) <= int(most):
+        yield
+        return
+    spark.conf.set(_LISTING_CONF, most)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_LISTING_CONF)
+        else:
+            spark.conf.set(_LISTING_CONF, before)
+
+
 def file_listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """The files below ``path`` with ``trace_id``, ``path``, ``length`` and ``content``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    with _few_listing_tasks(spark):
+        files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     return files.withColumn("trace_id", trace_identity(F.col("path"), folder_root(spark, path)))
 
 

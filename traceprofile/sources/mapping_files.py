@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceprofile.functions.text import hex_address, parse_hex_address
-from traceprofile.sources.file_ranges import Opener, open_file, read_at
+from traceprofile.session import materialize
+from traceprofile.sources.file_ranges import Opener, open_file, read_at, task_count
 
 # Layout of the file format.
 FILE_HEADER = 16
@@ -99,10 +100,16 @@ def parse_mapping(
     A listing may hold files of any size; they are read by pieces, and the last piece wins.
     """
     if "content" not in files.columns:
-        found = files.select("trace_id", "path").mapInArrow(
-            _scan_listed(piece_bytes, opener), f"{_SCHEMA_WITH_PATH}, piece bigint"
-        )
-        return found.groupBy("trace_id", "path", "addr").agg(F.max_by("name", "piece").alias("name"))
+        scan, layout = _scan_listed(piece_bytes, opener), f"{_SCHEMA_WITH_PATH}, piece bigint"
+        # read several times below, and a listing asks for every file
+        files = materialize(files.select("trace_id", "path", "size"), "map-listing")
+        # duplicates of a file of one piece are settled in the task that reads it
+        one = F.coalesce(F.col("size") <= piece_bytes, F.lit(False))
+        listed = files.filter(one).repartition(task_count(files), "trace_id", "path")
+        small = listed.select("trace_id", "path").distinct().mapInArrow(scan, layout)
+        found = files.filter(~one).select("trace_id", "path").mapInArrow(scan, layout)
+        last = found.groupBy("trace_id", "path", "addr").agg(F.max_by("name", "piece").alias("name"))
+        return small.select(*last.columns).unionByName(last)
     if "path" in files.columns:
         return files.select("trace_id", "path", "content").mapInArrow(_scan, _SCHEMA_WITH_PATH)
     return files.select("trace_id", "content").mapInArrow(_scan, _SCHEMA)

@@ -8,11 +8,17 @@ purpose; the number of other traces grows with the input.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceprofile.functions.predicates import RUNTIME_OVERHEAD_METHOD
 from traceprofile.session import materialize, new_shared_path
+from traceprofile.sources.trace_files import DEPTH_AT, RECORD_HEADER
 
 CHAIN = 40             # slices per parent chain
 TRACE_BLOCK = 10_000   # events per group of four ordinary traces
@@ -216,17 +222,49 @@ def _le_hex(value: Column, size: int) -> Column:
     return F.concat(*[F.substring(big, 2 * i + 1, 2) for i in reversed(range(size))])
 
 
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(trace_id, sample_ord, record)``: each sample as the bytes of a record. A frame that is
+    NULL has no bytes, a sample without frames or depth no record."""
+    for batch in batches:
+        n, frames = batch.num_rows, batch.column("frames")
+        owner = np.asarray(pc.list_parent_indices(frames)).astype(np.int64)
+        values = frames.flatten()
+        owner = owner[np.asarray(values.is_valid())]
+        values = np.asarray(values.drop_null()).astype("<i8")
+        counts = np.bincount(owner, minlength=n)
+        offsets = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(RECORD_HEADER + 8 * counts, out=offsets[1:])
+        out = np.zeros(offsets[-1], dtype=np.uint8)
+        begins = offsets[:-1, None].astype(np.int64)
+        marker = np.asarray(batch.column("marker").fill_null(0)).astype("<u2")
+        out[begins + np.arange(2)] = marker.view(np.uint8).reshape(n, 2)
+        depth = np.asarray(batch.column("depth").fill_null(0)).astype("<u4").view(np.uint8).reshape(n, 4)
+        for at in (DEPTH_AT, DEPTH_AT + 4):
+            out[begins + np.arange(at, at + 4)] = depth
+        place = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+        at = offsets[owner] + RECORD_HEADER + 8 * place
+        out[at[:, None] + np.arange(8)] = values.view(np.uint8).reshape(-1, 8)
+        records = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+        whole = pc.and_(pc.and_(frames.is_valid(), batch.column("depth").is_valid()),
+                        batch.column("marker").is_valid())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("trace_id"), batch.column("sample_ord"),
+             pc.if_else(whole, records, pa.scalar(None, pa.binary()))],
+            names=["trace_id", "sample_ord", "record"],
+        )
+
+
 def _samples_as_files(samples: DataFrame) -> DataFrame:
     """Trace files of at most ``FILE_SAMPLES`` records, some damaged by rule: a wrong
     signature, ten junk bytes, or junk so long that the scan gives up."""
     block = F.floor(F.col("sample_ord") / FILE_SAMPLES)
-    depth = _le_hex(F.col("depth"), 4)
-    frames = F.array_join(F.transform("frames", lambda a: _le_hex(a, 8)), "")
-    record = F.concat(_le_hex(F.col("marker"), 2), F.repeat(F.lit("00"), 66), depth, depth, frames)
+    encoded = samples.select("trace_id", "sample_ord", "marker", "depth", "frames").mapInArrow(
+        _encode, "trace_id string, sample_ord bigint, record binary"
+    )
     files = (
-        samples.select("trace_id", block.alias("block"), "sample_ord", record.alias("record"))
+        encoded.select("trace_id", block.alias("block"), "sample_ord", "record")
         .groupBy("trace_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("sample_ord", "record"))).alias("records"))
+        .agg(F.sort_array(F.collect_list(F.struct("sample_ord", "record"))).alias("records"))
     )
     block = F.col("block")
     meta = F.concat(F.lit('{"processId":'), (block + 1000).cast("string"), F.lit("}"))
@@ -235,7 +273,7 @@ def _samples_as_files(samples: DataFrame) -> DataFrame:
         F.when(block % 7 == 3, "DEADBEEF").otherwise("04030201"), F.lit("00000000"),
         _le_hex(F.lit(5), 4), _le_hex(block * 1_000_000, 8), _le_hex(F.lit(25_000), 4),
         _le_hex(F.length(meta), 4), F.hex(meta), F.repeat(F.lit("00"), junk),
-        F.array_join(F.transform("records", lambda r: r["record"]), ""),
+        F.array_join(F.transform("records", lambda r: F.hex(r["record"])), ""),
     )
     return files.select(
         F.concat("trace_id", F.lit("-"), block.cast("string")).alias("trace_id"),
@@ -293,9 +331,11 @@ def _per_trace_maps(samples: DataFrame, mapping: DataFrame) -> DataFrame:
     record = F.concat(
         _le_hex(F.col("addr"), 8), _le_hex(F.octet_length("name"), 2), F.hex("name")
     )
-    files = used.join(mapping, "addr").groupBy("trace_id").agg(
+    # encoded before the join: an address is met in many files
+    records = mapping.select("addr", record.alias("record"))
+    files = used.join(records, "addr").groupBy("trace_id").agg(
         # at most as many records as the samples of one file have frames
-        F.array_sort(F.collect_list(F.struct("addr", record.alias("record")))).alias("r")
+        F.sort_array(F.collect_list(F.struct("addr", "record"))).alias("r")
     )
     text = F.concat(
         F.repeat(F.lit("00"), 8), _le_hex(F.lit(1), 4), _le_hex(F.size("r"), 4),
