@@ -109,3 +109,24 @@ def test_symbolized_frames_keep_every_frame_in_place(spark):
     s, m = _frames(spark, [("t", 0, 2, 3, [9, 1, -1])], [(None, 1, "main()")])
     rows = S.symbolized_frames(s, m).orderBy("frame_pos").collect()
     assert [r.name for r in rows] == ["native:0x9", "main()", "native:0xffffffffffffffff"]
+
+
+def test_frames_are_not_sorted_to_be_named(spark):
+    """A hot address has a part of all frames; sorting it takes memory that grows with it."""
+    samples = spark.createDataFrame(
+        [("t", i, [i % 3, 1, None]) for i in range(50)], "trace_id string, sample_ord bigint, frames array<bigint>"
+    )
+    names = spark.createDataFrame([(1, "one"), (1, "other"), (2, "two"), (None, "none")], "addr bigint, name string")
+    want = {tuple(r) for r in S.symbolized_frames(samples, names).collect()}
+    spark.conf.set("spark.traceprofile.broadcastBytes", "-1")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.symbolized_frames(samples, names)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        rows = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.traceprofile.broadcastBytes")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == 150 and set(rows) == want

@@ -24,13 +24,15 @@ STACK_FRAMES = 5
 DEFAULT_INTERVAL_US = 25_000
 
 
-def name_addresses(df: DataFrame, mapping: DataFrame) -> DataFrame:
+def name_addresses(df: DataFrame, mapping: DataFrame, hashed: bool = False) -> DataFrame:
     """Add ``name`` for ``addr``: the mapped one, else the native form.
 
     A map with ``trace_id`` applies to its trace, one without to all traces. Of several
     names of one address the last counts, in the order of their files where ``path`` is
     kept, then of the names. A map under the size limit is broadcast, otherwise AQE splits
-    a hot address.
+    a hot address. ``hashed`` is for a ``df`` that holds addresses many times: a partition of
+    the symbols, each of which is there once, is hashed, and the rows of a hot address pass by
+    it unsorted.
     """
     keys = ["trace_id", "addr"] if "trace_id" in mapping.columns else ["addr"]
     if "path" in mapping.columns:
@@ -40,6 +42,8 @@ def name_addresses(df: DataFrame, mapping: DataFrame) -> DataFrame:
     symbols = mapping.groupBy(*keys).agg(last.alias("mapped_name"))
     if fits_broadcast(df.sparkSession, mapping):
         symbols = F.broadcast(symbols)
+    elif hashed:
+        symbols = symbols.hint("shuffle_hash")
     return (
         df.join(symbols, keys, "left")
         .withColumn("name", F.coalesce("mapped_name", native_name(F.col("addr"))))
@@ -52,7 +56,7 @@ def symbolized_frames(samples: DataFrame, mapping: DataFrame) -> DataFrame:
     frames = samples.select(
         "trace_id", "sample_ord", F.posexplode("frames").alias("frame_pos", "addr")
     )
-    return name_addresses(frames, mapping).select(
+    return name_addresses(frames, mapping, hashed=True).select(
         "trace_id", "sample_ord", "frame_pos", "addr", "name"
     )
 

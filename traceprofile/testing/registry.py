@@ -19,7 +19,7 @@ from traceprofile.operators.main_thread import SLICE_COLUMNS, main_thread_slices
 from traceprofile.operators.topk import collapse_duplicates
 from traceprofile.plans import analysis, profile_store, report
 from traceprofile.plans.profile import sample_profile
-from traceprofile.session import new_shared_path
+from traceprofile.session import materialize, new_shared_path
 from traceprofile.sources import mapping_files, outputs, trace_files
 from traceprofile.sources.file_ranges import list_files
 from traceprofile.testing import bindings as B
@@ -115,8 +115,12 @@ def _from_parts(name: str) -> Query:
     """A report of a store to which the samples came in three parts, one of them twice."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         samples, mapping = B.samples(spark, sf_dir), B.mapping(spark, sf_dir)
+        # the part that comes twice is counted once, and written twice
         states = [
-            profile_store.profile_state(samples.filter(F.col("sample_ord") % 3 == i), mapping)
+            materialize(
+                profile_store.profile_state(samples.filter(F.col("sample_ord") % 3 == i), mapping),
+                "part-state",
+            )
             for i in range(3)
         ]
         path = new_shared_path(spark, "profile-parts")
