@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from tests.llm import cases
+from traceprofile.llm import jaccard_join as J
 from traceprofile.llm import registry
 from traceprofile.llm.jaccard_join import (
     band_starts, bands_of, components, keep_one_of_each, link_report, most_different, n_blocks,
@@ -182,6 +183,61 @@ def test_links_of_copies_about_the_threshold(spark, rows):
     assert [got[i] for i in range(len(made))] == want and 6 < len(set(want)) < len(made)
 
 
+def _open_blocks_of(spark, n_classes):
+    """Blocks of unlike sizes in which classes of one band meet, and the parity bits of the sets."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    band = bands_of(100)[0]
+    body = rng.integers(1, 2**62, 100).astype(np.uint64)
+    sketches, rows = [], []
+    for c in range(n_classes):
+        other = rng.integers(1, 2**62, 100).astype(np.uint64)
+        shingles = np.unique(np.concatenate([body[:100 - c % 30], other[:c % 30]]))
+        sketches.append((c, band, len(shingles), J.parity_bits(shingles, band)))
+        rows += [(key, band, c, c // 2, 1) for key in range(200) if (c * 7 + key) % (1 + key % 25) == 0]
+    sizes = Counter(r[0] for r in rows)
+    opened = spark.createDataFrame(
+        [(*r, sizes[r[0]]) for r in rows if sizes[r[0]] > 1],
+        "key long, band int, class long, label long, place int, n long",
+    )
+    return opened, spark.createDataFrame(sketches, "class long, band int, n_shingles long, parity binary")
+
+
+def test_pairs_of_small_and_of_large_blocks(spark, monkeypatch):
+    opened, sketches = _open_blocks_of(spark, 60)
+    size = {r["class"]: r["n_shingles"] for r in sketches.collect()}
+    bits = {r["class"]: int.from_bytes(r["parity"], "big") for r in sketches.collect()}
+    band = opened.first()["band"]
+    blocks = {}
+    for r in opened.collect():
+        blocks.setdefault(r["key"], []).append((r["class"], r["label"]))
+    want = {
+        (a, b) for met in blocks.values() for a, of_a in met for b, of_b in met
+        if a > b and of_a != of_b and 75 * max(size[a], size[b]) <= 100 * min(size[a], size[b])
+        and (bits[a] ^ bits[b]).bit_count() <= min(most_different(band), (size[a] + size[b]) * 25 // 175)
+    }
+    assert {len(met) > J.FEW_CLASSES for met in blocks.values()} == {True, False}
+    assert 0 < len(want) < 60 * 59 // 2 - 30
+    for few in (0, J.FEW_CLASSES, 1000):
+        monkeypatch.setattr(J, "FEW_CLASSES", few)
+        got = [tuple(r) for r in J._pairs(opened, sketches, False).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_group_of_blocks_gets_the_parity_bits_of_a_class_once(spark):
+    """A large set stands in thousands of blocks; its bits are as long as the set."""
+    import pyarrow as pa
+    opened, sketches = _open_blocks_of(spark, 60)
+
+    def work(rows, beside):
+        classes = len(set(rows.column("class").to_pylist()))
+        return pa.table({"a": [rows.num_rows], "b": [beside.num_rows], "apart": [classes]})
+
+    found = J._in_groups(opened, sketches, work).collect()
+    assert sum(r["a"] for r in found) == opened.count() > sum(r["b"] for r in found)
+    assert all(r["b"] == r["apart"] for r in found)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90)], "a long, b long")
     got = dict(components(links).collect())

@@ -30,8 +30,10 @@ first. Components of these links need no more comparisons inside, which disposes
 groups of near copies. Then, in rounds, every class is compared with the class of another
 component whose parity bits are nearest, as long as such comparisons find links. At last all
 pairs of a block that still lie in different components, have sizes in the ratio and parity
-bits that differ in few enough places are compared exactly. Staged tables go when the next
-ones are written.
+bits that differ in few enough places are compared exactly. A large set stands in thousands of
+blocks, so its parity bits are not copied to each: pairs of small blocks are made distinct
+before they meet the bits, and a group of larger blocks gets the bits of a class once. Staged
+tables go when the next ones are written.
 Components are found by passing on the smallest label along links and along labels.
 
 Defined results: a document without words has an empty set and links with nothing; one
@@ -65,6 +67,9 @@ SPARE = 1.25
 NEAREST_BLOCKS = 8
 #: Rounds of nearest classes go on while one in so many comparisons finds a link.
 GAIN = 20
+#: Classes of a block up to which its pairs are sent to the parity bits; to larger blocks the
+#: parity bits are sent.
+FEW_CLASSES = 8
 #: Parity bits for each shingle of the band's largest set.
 PARITY_BITS = 4
 #: Bytes of text whose blocks are sent as one run.
@@ -358,8 +363,9 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _open_blocks(blocks: DataFrame, labels: DataFrame, needs: DataFrame) -> DataFrame:
-    """``(key, band, class, label, place)``, written: the blocks in which linked classes of
-    different components are bound to meet; ``place`` counts those of a class, rarest first.
+    """``(key, band, class, label, place, n)``, written: the blocks in which linked classes of
+    different components are bound to meet; ``place`` counts those of a class, rarest first,
+    ``n`` the classes of a block.
 
     A block with classes of one component is closed. Classes of different components that
     link share only open blocks, and more of them than the reserve of either, so the first
@@ -370,7 +376,7 @@ def _open_blocks(blocks: DataFrame, labels: DataFrame, needs: DataFrame) -> Data
     keys = materialize(_between_components(rows), "open-keys")
     of_class = Window.partitionBy("class", "band")
     first = materialize(
-        rows.join(_small(keys), "key").join(_small(needs), ["class", "band"])
+        rows.join(_small(keys.select("key")), "key").join(_small(needs), ["class", "band"])
         .withColumn("place", F.row_number().over(of_class.orderBy("n", "key")))
         .withColumn("open", F.count("*").over(of_class))
         .filter(F.col("place") <= F.col("open") - F.col("reserve"))
@@ -384,29 +390,71 @@ def _open_blocks(blocks: DataFrame, labels: DataFrame, needs: DataFrame) -> Data
 
 
 def _between_components(rows: DataFrame) -> DataFrame:
-    """The keys with classes of several components."""
-    labels = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    return labels.filter("least <> most").select("key")
+    """The keys with classes of several components, and the number of their rows."""
+    labels = rows.groupBy("key").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")
+    )
+    return labels.filter("least <> most").select("key", "n")
 
 
 def _pairs(opened: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
     """Pairs ``(a, b)`` of one block and different components that may link: all of them, or
     of each class the one whose parity bits are nearest."""
-    spread = F.pmod(F.xxhash64("key"), F.lit(B.n_parts(opened.sparkSession)))
-    if nearest:
-        opened = opened.filter(F.col("place") <= NEAREST_BLOCKS)
-    groups = opened.join(_small(sketches), ["class", "band"]).select(
-        "key", "band", "class", "label", "n_shingles", "parity", spread.alias("group")
-    ).groupBy("group")
-    found = groups.applyInArrow(
-        _nearest_in_blocks if nearest else _pairs_in_blocks, "a long, b long, apart long"
-    )
     if nearest:
+        found = _in_groups(opened.filter(F.col("place") <= NEAREST_BLOCKS), sketches, _nearest_in_blocks)
         best = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"))
         found = best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b"))
+    else:
+        found = _in_groups(opened.filter(F.col("n") > FEW_CLASSES), sketches, _pairs_in_blocks).unionByName(
+            _of_few(opened.filter(F.col("n") <= FEW_CLASSES), sketches))
     return found.select("a", "b").distinct()
 
 
+def _in_groups(opened: DataFrame, sketches: DataFrame, work) -> DataFrame:
+    """What ``work`` finds in groups of whole blocks, beside which each class has its sketch once."""
+    spread = F.pmod(F.xxhash64("key"), F.lit(B.n_parts(opened.sparkSession)))
+    rows = opened.select("key", "band", "class", "label", spread.alias("group"))
+    # under names of their own: the two sides come of one table
+    of_group = opened.select(
+        spread.alias("beside"), *[F.col(c).alias(c) for c in ("class", "band")]
+    ).distinct().join(_small(sketches), ["class", "band"])
+    return rows.groupBy("group").cogroup(of_group.groupBy("beside")).applyInArrow(
+        work, "a long, b long, apart long"
+    )
+
+
+def _of_few(opened: DataFrame, sketches: DataFrame) -> DataFrame:
+    """:func:`_pairs_in_blocks` of blocks with few classes."""
+    one = opened.select("key", "band", F.col("class").alias("a"), F.col("label").alias("label_a"))
+    other = opened.select("key", F.col("class").alias("b"), F.col("label").alias("label_b"))
+    pairs = one.join(other, "key").filter("a > b and label_a <> label_b").select("a", "b", "band").distinct()
+    for side in ("a", "b"):
+        of_side = sketches.select(
+            F.col("class").alias(side), "band", F.col("n_shingles").alias(f"size_{side}"),
+            F.col("parity").alias(f"parity_{side}"),
+        )
+        pairs = pairs.join(
+            F.broadcast(of_side) if fits_broadcast(sketches.sparkSession, sketches) else of_side, [side, "band"]
+        )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, band, size_a, size_b = (
+                batch.column(c).to_numpy() for c in ("a", "b", "band", "size_a", "size_b")
+            )
+            for number in np.unique(band):
+                at = np.flatnonzero(band == number)
+                bits_a, bits_b = (_bits(batch.column(c), at) for c in ("parity_a", "parity_b"))
+                apart = np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64)
+                keep = apart <= _most_apart(int(number), size_a[at] + size_b[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[keep]) for c in (a[at], b[at], apart)], names=["a", "b", "apart"]
+                )
+
+    in_ratio = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * PERCENT
+    return pairs.filter(in_ratio).mapInArrow(work, "a long, b long, apart long")
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
     """``(class, band, n_shingles, parity)``: the parity bits of each set in its bands."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,9 +476,9 @@ def _sketches(texts: DataFrame) -> DataFrame:
         ["class", "band"])
 
 
-def _nearest_in_blocks(table: pa.Table) -> pa.Table:
+def _nearest_in_blocks(rows: pa.Table, sketches: pa.Table) -> pa.Table:
     """Of each class the nearest one of another component, ``a`` and ``b``."""
-    found = _pairs_in_blocks(table)
+    found = _pairs_in_blocks(rows, sketches)
     a, b, apart = (found.column(c).to_numpy() for c in ("a", "b", "apart"))
     one, other = np.concatenate([a, b]), np.concatenate([b, a])
     apart = np.concatenate([apart, apart])
@@ -440,19 +488,19 @@ def _nearest_in_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": one[first], "b": other[first], "apart": apart[first]})
 
 
-def _pairs_in_blocks(table: pa.Table) -> pa.Table:
+def _pairs_in_blocks(rows: pa.Table, sketches: pa.Table) -> pa.Table:
     """Pairs of one block whose sizes and parity bits allow a link, for many blocks.
 
     Within a block rows stand in the order of their size, so each row is compared with the
     rows after it up to the largest size that may link; pairs are made and tested in runs
     of bounded number.
     """
-    key, band, cls, label, size = (
-        table.column(c).to_numpy() for c in ("key", "band", "class", "label", "n_shingles")
-    )
-    parity = table.column("parity").combine_chunks()
+    key, band, cls, label = (rows.column(c).to_numpy() for c in ("key", "band", "class", "label"))
+    sketch_of = _sketch_places(cls, band, sketches)
+    size = sketches.column("n_shingles").to_numpy()[sketch_of]
+    parity = sketches.column("parity")
     order = np.lexsort((size, key))
-    key, band, cls, label, size = (c[order] for c in (key, band, cls, label, size))
+    key, band, cls, label, size, sketch_of = (c[order] for c in (key, band, cls, label, size, sketch_of))
     first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
     # rank of (block, size) makes the largest size that may link a place in one array
@@ -475,7 +523,7 @@ def _pairs_in_blocks(table: pa.Table) -> pa.Table:
         left, right = left[other], right[other]
         for number in np.unique(band[left]):
             of_band = band[left] == number
-            near = _near(parity, order, left[of_band], right[of_band], size, int(number))
+            near = _near(parity, sketch_of, left[of_band], right[of_band], size, int(number))
             low.append(np.minimum(cls[near[0]], cls[near[1]]))
             high.append(np.maximum(cls[near[0]], cls[near[1]]))
             distance.append(near[2])
@@ -485,22 +533,42 @@ def _pairs_in_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": high[once], "b": low[once], "apart": distance[once]})
 
 
-def _near(parity, order, left, right, size, band: int):
+def _sketch_places(cls: np.ndarray, band: np.ndarray, sketches: pa.Table) -> np.ndarray:
+    """Row of the sketch of each class in its band."""
+    of_cls, of_band = (sketches.column(c).to_numpy() for c in ("class", "band"))
+    _, at = np.unique(
+        np.stack([np.concatenate([of_cls, cls]), np.concatenate([of_band, band]).astype(np.int64)]),
+        axis=1, return_inverse=True,
+    )
+    places = np.empty(len(of_cls), dtype=np.int64)
+    at = at.ravel()
+    places[at[:len(of_cls)]] = np.arange(len(of_cls))
+    return places[at[len(of_cls):]]
+
+
+def _bits(parity: pa.Array | pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """Parity bits of some rows of one band, a line each."""
+    return np.frombuffer(
+        b"".join(parity.take(pa.array(rows)).to_pylist()), np.uint64
+    ).reshape(len(rows), -1)
+
+
+def _most_apart(band: int, sizes: np.ndarray) -> np.ndarray:
+    """Places in which the parity bits of two linked sets may differ, by the sum of their sizes."""
+    return np.minimum(most_different(band), sizes * (100 - PERCENT) // (100 + PERCENT))
+
+
+def _near(parity, sketch_of, left, right, size, band: int):
     """Those of the pairs whose parity bits differ in no more places than linked sets may,
     and in how many."""
-    rows, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    bits = np.frombuffer(
-        b"".join(parity.take(pa.array(order[rows])).to_pylist()), np.uint64
-    ).reshape(len(rows), -1)
-    most = np.minimum(
-        most_different(band), (size[left] + size[right]) * (100 - PERCENT) // (100 + PERCENT)
-    )
+    rows, at = np.unique(np.concatenate([sketch_of[left], sketch_of[right]]), return_inverse=True)
+    bits = _bits(parity, rows)
     apart = np.zeros(len(left), dtype=np.int64)
     step = max(1, (1 << 20) // bits.shape[1])
     for i in range(0, len(left), step):
         a, b = at[i:i + step][:len(left) - i], at[len(left) + i:len(left) + i + step]
         apart[i:i + step] = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-    keep = apart <= most
+    keep = apart <= _most_apart(band, size[left] + size[right])
     return left[keep], right[keep], apart[keep]
 
 
