@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 
 import pytest
@@ -297,3 +298,49 @@ def test_samples_are_encoded_in_columns(spark):
     ]
     assert [(r.trace_id, r.sample_ord) for r in found] == [r[:2] for r in rows]
     assert [r.record if r.record is None else bytes(r.record) for r in found] == want
+
+
+@pytest.mark.parametrize("name", ["self_time", "inclusive_time", "hot_stacks"])
+def test_maps_over_the_limit_are_not_broadcast_for_the_size_of_their_listing(spark, tmp_path, monkeypatch, name):
+    from tests.test_plans import plan
+    from traceprofile.operators import sampling
+
+    names = [f"t{i}" for i in range(4)]
+    two_traces(tmp_path, names[:2])
+    two_traces(tmp_path, names[2:])
+    for i, trace in enumerate(names):  # 60 kB each, 2 kB as a listing
+        data = b"".join(symbol(a, f"void C{i}.m{a}()".encode().ljust(100)) for a in range(5, 550))
+        (tmp_path / trace / "sampling-mapping").write_bytes(struct.pack("<QII", 0, 1, 2) + data)
+    files, maps = (tp.list_files(spark, str(tmp_path), p) for p in ("sampling", "*-mapping"))
+    plans, write = [], sampling.materialize
+    monkeypatch.setattr(sampling, "materialize", lambda df, n: plans.append(plan(df)) or write(df, n))
+
+    def report():
+        plans.clear()
+        found = tp.sample_profile(files, tp.parse_mapping(maps))[name]
+        rows = sorted(tuple(r) for r in found.collect())
+        joins = "\n".join([*plans, plan(found)])
+        return rows, "SortMergeJoin LeftOuter" in joins, bool(
+            re.search(r"\) BroadcastHashJoin.*\nLeft keys \[2\]: \[trace_id.*\n.*\nJoin type: LeftOuter", joins))
+
+    small, sorted_, sent = report()
+    assert sent and not sorted_
+    spark.conf.set("spark.traceprofile.broadcastBytes", "100000")
+    try:
+        large, sorted_, sent = report()
+    finally:
+        spark.conf.unset("spark.traceprofile.broadcastBytes")
+    assert sorted_ and not sent and large == small and len(small) >= 4
+
+
+def test_names_are_listed_by_few_tasks(spark, tmp_path):
+    most = spark.sparkContext.defaultParallelism * binary_files.LISTING_TASKS
+    for i in range(most + 20):
+        (tmp_path / f"{i}.bin").write_bytes(b"\x04")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # a task per file
+    try:
+        for listed in (tp.list_files, tp.list_file_versions):
+            found = listed(spark, str(tmp_path), "*.bin")
+            assert found.rdd.getNumPartitions() <= most and found.count() == most + 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

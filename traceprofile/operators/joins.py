@@ -28,6 +28,22 @@ def estimated_bytes(*frames: DataFrame) -> int:
     )
 
 
+def has_known_size(df: DataFrame) -> bool:
+    """Whether the optimizer's estimate of ``df`` tells of its rows.
+
+    Of rows that a Python function makes it knows the input only: symbols read from files are
+    taken for as few as the rows of the listing.
+    """
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if "InArrow" in node.nodeName() or "InPandas" in node.nodeName():
+            return False
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def fits_broadcast(spark: SparkSession, *inputs: DataFrame) -> bool:
     return estimated_bytes(*inputs) <= broadcast_limit(spark)
 

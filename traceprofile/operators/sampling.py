@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceprofile.functions.predicates import not_runtime_overhead
 from traceprofile.functions.text import native_name, short_name
-from traceprofile.operators.joins import fits_broadcast, join_small
+from traceprofile.operators.joins import fits_broadcast, has_known_size, join_small
 from traceprofile.operators.topk import top_k
 from traceprofile.session import materialize
 
@@ -30,9 +30,9 @@ def name_addresses(df: DataFrame, mapping: DataFrame, hashed: bool = False) -> D
     A map with ``trace_id`` applies to its trace, one without to all traces. Of several
     names of one address the last counts, in the order of their files where ``path`` is
     kept, then of the names. A map under the size limit is broadcast, otherwise AQE splits
-    a hot address. ``hashed`` is for a ``df`` that holds addresses many times: a partition of
-    the symbols, each of which is there once, is hashed, and the rows of a hot address pass by
-    it unsorted.
+    a hot address; so it is where nothing tells the size of a map before it is read. ``hashed``
+    is for a ``df`` that holds addresses many times: a partition of the symbols, each of which
+    is there once, is hashed, and the rows of a hot address pass by it unsorted.
     """
     keys = ["trace_id", "addr"] if "trace_id" in mapping.columns else ["addr"]
     if "path" in mapping.columns:
@@ -40,10 +40,14 @@ def name_addresses(df: DataFrame, mapping: DataFrame, hashed: bool = False) -> D
     else:
         last = F.max("name")
     symbols = mapping.groupBy(*keys).agg(last.alias("mapped_name"))
-    if fits_broadcast(df.sparkSession, mapping):
+    known = has_known_size(mapping)
+    if known and fits_broadcast(df.sparkSession, mapping):
         symbols = F.broadcast(symbols)
     elif hashed:
         symbols = symbols.hint("shuffle_hash")
+    elif not known:
+        # else Spark broadcasts it by itself, for the size of the listing
+        symbols = symbols.hint("merge")
     return (
         df.join(symbols, keys, "left")
         .withColumn("name", F.coalesce("mapped_name", native_name(F.col("addr"))))

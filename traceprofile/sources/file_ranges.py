@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceprofile.sources.binary_files import file_listing
+from traceprofile.sources.binary_files import LISTING_TASKS, file_listing
 
 Opener = Callable[[str], BinaryIO]
 
@@ -60,7 +60,7 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
     Spark's listing leaves out files without a byte.
     """
-    return file_listing(spark, path, pattern).select(
+    return _listed(spark, path, pattern).select(
         "trace_id", "path", F.col("length").cast("bigint").alias("size")
     )
 
@@ -68,12 +68,18 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 def list_file_versions(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """``(trace_id, path, size, modified)``: the listing with what tells one form of a file
     from the next."""
-    return file_listing(spark, path, pattern).select(
+    return _listed(spark, path, pattern).select(
         "trace_id", "path", F.col("length").cast("bigint").alias("size"),
         F.col("modificationTime").alias("modified"),
     )
 
 
+def _listed(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    """The listing in some tasks per core; Spark deals files for their content, four to a task,
+    and the driver would keep a task and a written file for each four names."""
+    return file_listing(spark, path, pattern).coalesce(spark.sparkContext.defaultParallelism * LISTING_TASKS)
+
+
 def file_starts(listing: DataFrame, fixed: int, more: Callable[[bytes], int] | None = None,
                 opener: Opener = open_file) -> DataFrame:
     """``listing`` with ``content``, the first ``fixed`` bytes of each file and ``more`` of them.

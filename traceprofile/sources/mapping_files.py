@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceprofile.functions.text import hex_address, parse_hex_address
+from traceprofile.operators.joins import broadcast_limit
 from traceprofile.session import materialize
 from traceprofile.sources.file_ranges import Opener, open_file, read_at, task_count
 
@@ -98,6 +99,8 @@ def parse_mapping(
 
     Of rows with a ``content`` duplicates are settled inside the file, so no shuffle follows.
     A listing may hold files of any size; they are read by pieces, and the last piece wins.
+    Files that are small together are read once and their symbols written, which tells later
+    joins the size; larger ones are read where the symbols are used.
     """
     if "content" not in files.columns:
         scan, layout = _scan_listed(piece_bytes, opener), f"{_SCHEMA_WITH_PATH}, piece bigint"
@@ -109,7 +112,9 @@ def parse_mapping(
         small = listed.select("trace_id", "path").distinct().mapInArrow(scan, layout)
         found = files.filter(~one).select("trace_id", "path").mapInArrow(scan, layout)
         last = found.groupBy("trace_id", "path", "addr").agg(F.max_by("name", "piece").alias("name"))
-        return small.select(*last.columns).unionByName(last)
+        symbols = small.select(*last.columns).unionByName(last)
+        total = files.agg(F.sum("size")).first()[0] or 0
+        return materialize(symbols, "symbols") if total <= broadcast_limit(files.sparkSession) else symbols
     if "path" in files.columns:
         return files.select("trace_id", "path", "content").mapInArrow(_scan, _SCHEMA_WITH_PATH)
     return files.select("trace_id", "content").mapInArrow(_scan, _SCHEMA)
