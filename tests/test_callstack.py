@@ -17,6 +17,11 @@ def _slices(spark, rows):
     return spark.createDataFrame(full, schema.SLICE)
 
 
+def _odd_slices(spark, rows):
+    layout = "trace_id string, id bigint, parent_id bigint, name string, dur bigint"
+    return spark.createDataFrame(rows, layout)
+
+
 def _walk(parents, start):
     """Plain model of the walk."""
     if start not in parents:
@@ -102,3 +107,49 @@ def test_stack_text(spark, names, cut, text):
     stack = [(n, i, i + 1) for i, n in enumerate(names)]
     df = spark.createDataFrame([("t", 1, stack, cut)], schema.STACKS)
     assert df.select(C.stack_text(F.col("stack"), F.col("truncated"))).first()[0] == text
+
+
+def _forest(seed, repeated=False):
+    """Parents by trace: chains, stars, roots, dangling parents and loops; and all slices."""
+    rng = random.Random(seed)
+    rows, models = [], {}
+    for t in range(3):
+        parents = {}
+        for i in range(150):
+            odd = rng.random()
+            parents[i] = (
+                rng.choice([None, -1, i + 10_000, i]) if odd < 0.05 else 3 if odd < 0.3
+                else (i + 1) % 150 if odd < 0.8 else rng.randrange(150)
+            )
+        models[f"t{t}"] = parents
+        rows += [(f"t{t}", i, p, None if i % 17 == 5 else f"n{i}", 1) for i, p in parents.items()]
+    rows += [(None, 1, 2, "x", 1), ("t0", None, 2, "y", 1)]
+    if repeated:
+        rows += [("t0", 7, 8, "other", 1), ("t0", 7, None, "third", 1), ("t1", 20, models["t1"][20], "n20", 1)]
+    return rows, models
+
+
+@pytest.mark.parametrize(("max_parents", "repeated"), [(25, False), (25, True), (4, True), (0, False)])
+def test_doubled_stacks_are_those_of_the_walk(spark, max_parents, repeated):
+    rows, models = _forest(8, repeated)
+    slices = _odd_slices(spark, rows)
+    seeds = slices.select("trace_id", F.col("id").alias("slice_id")).filter(
+        "slice_id % 3 != 1 OR slice_id IS NULL").distinct()
+    want = C._walked_stacks(seeds, slices, max_parents)
+    got = C._doubled_stacks(seeds, slices, max_parents)
+    assert got.dtypes == want.dtypes
+    rows_of = lambda df: sorted(df.collect(), key=repr)
+    assert rows_of(got) == rows_of(want) and got.count() > 250
+
+
+def test_all_slices_as_seeds_are_not_sent_at_every_level(spark):
+    from tests.test_plans import plan
+
+    session = spark.newSession()
+    force_shuffles(session)
+    rows, models = _forest(9)
+    slices = _odd_slices(session, rows)
+    df = C.call_stacks(slices.select("trace_id", F.col("id").alias("slice_id")), slices)
+    assert plan(df).split("== Physical Plan ==")[-1].count("SortMergeJoin LeftOuter") <= 1
+    got = {(r.trace_id, r.slice_id): ([e.id for e in r.stack], r.truncated) for r in df.collect()}
+    assert got == {(t, i): _walk(p, i) for t, p in models.items() for i in p}

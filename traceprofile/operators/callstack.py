@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceprofile.functions.annotate import method_note
 from traceprofile.functions.predicates import ROOT_PARENT
 from traceprofile.operators.diagnostics import longest_slice_by_keyword
 from traceprofile.operators.joins import estimated_bytes, fits_broadcast
-from traceprofile.session import materialize
+from traceprofile.session import materialize, release
 
 # Depth limit and the marks of the text form.
 MAX_PARENTS = 25
@@ -77,10 +77,20 @@ def call_stacks(
 ) -> DataFrame:
     """``(trace_id, slice_id, stack, truncated)`` for every seed that names a slice.
 
-    ``stack`` is leaf first. Names are looked up after the walk, in one join.
+    ``stack`` is leaf first. Few seeds walk level by level, and names are looked up after the
+    walk, in one join. Many seeds in slices over the broadcast limit would send each walk at
+    every level and each entry once more; their stacks are put together by doubling.
     """
     # written first: the size of few seeds out of many slices is known only then
     staged = materialize(seeds.select("trace_id", "slice_id").distinct(), "seeds")
+    edges = slices.select("trace_id", "id", "parent_id")
+    if fits_broadcast(slices.sparkSession, edges) or _few(staged, edges):
+        return _walked_stacks(staged, slices, max_parents)
+    return _doubled_stacks(staged, slices, max_parents)
+
+
+def _walked_stacks(staged: DataFrame, slices: DataFrame, max_parents: int) -> DataFrame:
+    """:func:`call_stacks` level by level."""
     paths = ancestor_paths(staged, slices, max_parents)
     entries = paths.select(
         "trace_id", "slice_id",
@@ -115,6 +125,88 @@ def call_stacks(
     )
 
 
+def _doubled_stacks(staged: DataFrame, slices: DataFrame, max_parents: int) -> DataFrame:
+    """:func:`call_stacks` of many seeds: runs of callers that double in length.
+
+    Every slice has a run: itself and its next callers, with their names, and ``up``, the
+    caller after the last one. An open run is joined with the run of that caller, so a stack
+    takes one join per doubling, and ended runs are left alone. Where an id names several
+    slices, one run does not tell all stacks; seeds that may meet such an id walk level by
+    level.
+    """
+    runs = materialize(_single_runs(staged, slices), "runs")
+    repeated = not runs.filter("repeated").isEmpty()
+    lengths = [max_parents + 1]
+    while lengths[0] > 1:
+        lengths.insert(0, (lengths[0] + 1) // 2)
+    for length, longer in zip(lengths, lengths[1:]):
+        doubled = _doubled(runs, length, longer)
+        if longer < max_parents + 1:
+            shorter, runs = runs, materialize(doubled, "runs")
+            release(shorter)
+        else:
+            runs = doubled
+    wanted = runs.filter("wanted")
+    stack = F.arrays_zip(
+        F.col("names").alias("name"), F.col("ids").alias("id"),
+        F.concat(
+            F.slice("ids", F.lit(2), F.size("ids")), F.array(F.coalesce("up", F.lit(ROOT_PARENT)))
+        ).alias("parent_id"),
+    )
+    stacks = wanted.filter(~F.col("repeated")).select(
+        "trace_id", F.col("id").alias("slice_id"), stack.alias("stack"),
+        ((F.size("ids") == max_parents + 1) & F.col("up").isNotNull()).alias("truncated"),
+    )
+    if not repeated:
+        return stacks
+    others = wanted.filter("repeated").select("trace_id", F.col("id").alias("slice_id"))
+    return stacks.unionByName(
+        _walked_stacks(materialize(others, "seeds-by-level"), slices, max_parents)
+    )
+
+
+def _single_runs(staged: DataFrame, slices: DataFrame) -> DataFrame:
+    """Runs of one slice: ``(trace_id, id, ids, names, up, wanted, repeated)``, a row per id."""
+    up = F.when(F.col("parent_id") != ROOT_PARENT, F.col("parent_id"))
+    same = Window.partitionBy("trace_id", "id")
+    own = (
+        slices.filter(F.col("trace_id").isNotNull() & F.col("id").isNotNull())
+        .select("trace_id", "id", "name", up.alias("up"))
+        .withColumn("place", F.row_number().over(same.orderBy("up", "name")))
+        .withColumn("slices", F.count(F.lit(1)).over(same))
+        .filter("place = 1")
+    )
+    seeds = staged.select("trace_id", F.col("slice_id").alias("id"), F.lit(True).alias("wanted"))
+    return own.join(seeds, ["trace_id", "id"], "left").select(
+        "trace_id", "id", F.array("id").alias("ids"), F.array("name").alias("names"), "up",
+        F.coalesce("wanted", F.lit(False)).alias("wanted"), (F.col("slices") > 1).alias("repeated"),
+    )
+
+
+def _doubled(runs: DataFrame, length: int, longer: int) -> DataFrame:
+    """Runs of up to ``longer`` slices from those of up to ``length``.
+
+    A run that is shorter than ``length`` has ended: at a root, or at a caller that is not there.
+    """
+    taken = longer - length
+    is_open = F.col("up").isNotNull() & (F.size("ids") == length)
+    after = F.when(F.size("ids") > taken, F.get("ids", F.lit(taken))).otherwise(F.col("up"))
+    callers = runs.select(
+        "trace_id", F.col("id").alias("up"), F.slice("ids", 1, taken).alias("more_ids"),
+        F.slice("names", 1, taken).alias("more_names"), after.alias("after"),
+        F.col("repeated").alias("more_repeated"),
+    )
+    found = F.col("more_ids").isNotNull()
+    joined = runs.filter(is_open).join(callers, ["trace_id", "up"], "left").select(
+        "trace_id", "id",
+        F.when(found, F.concat("ids", "more_ids")).otherwise(F.col("ids")).alias("ids"),
+        F.when(found, F.concat("names", "more_names")).otherwise(F.col("names")).alias("names"),
+        F.when(found, F.col("after")).otherwise(F.col("up")).alias("up"), "wanted",
+        (F.col("repeated") | F.coalesce("more_repeated", F.lit(False))).alias("repeated"),
+    )
+    return joined.unionByName(runs.filter(~is_open))
+
+
 def call_stacks_by_keyword(slices: DataFrame, keyword: str) -> DataFrame:
     """Stack of the longest slice per trace whose name contains ``keyword``."""
     hits = longest_slice_by_keyword(slices, keyword)
